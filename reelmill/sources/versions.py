@@ -1,0 +1,131 @@
+"""Tables that are rewritten as a whole: each write makes a new version, readers see the last complete one."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.columns import round_to
+from ..operators.search import delete_by_path, delete_points, upsert_points
+from ..schemas import POINTS
+
+
+class VersionedTable:
+    """Parquet versions ``v=1, v=2, ...`` below a root; a version counts once Spark marked it complete.
+
+    One writer at a time. Old versions stay until ``vacuum``, so running readers are not disturbed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, partition_by: Sequence[str] = ()):
+        self.spark, self.root, self.schema, self.partition_by = spark, root.rstrip("/"), schema, list(partition_by)
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def _path(self, text: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+
+    def versions(self) -> list[int]:
+        system, path = self._fs()
+        if not system.exists(path):
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(path)]
+        numbers = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+        return sorted(n for n in numbers if system.exists(self._path(f"{self.root}/v={n}/_SUCCESS")))
+
+    def exists(self) -> bool:
+        return bool(self.versions())
+
+    def read(self) -> DataFrame:
+        found = self.versions()
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={found[-1]}")
+
+    def write(self, df: DataFrame) -> int:
+        """Write the next version; an unfinished earlier attempt at the same number is replaced."""
+        number = (self.versions() or [0])[-1] + 1
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        writer = rows.write.mode("overwrite")
+        if self.partition_by:
+            writer = writer.partitionBy(*self.partition_by)
+        writer.parquet(f"{self.root}/v={number}")
+        return number
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        system, _ = self._fs()
+        old = self.versions()[:-keep]
+        for number in old:
+            system.delete(self._path(f"{self.root}/v={number}"), True)
+        return old
+
+    def drop(self) -> bool:
+        system, path = self._fs()
+        return bool(system.exists(path) and system.delete(path, True))
+
+
+class PointStore:
+    """A vector collection of fixed dimension, partitioned by granularity."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.table = VersionedTable(spark, root, POINTS, ["granularity"])
+
+    def create(self) -> None:
+        """An empty collection, if there is none yet."""
+        if not self.table.exists():
+            self.table.write(self.table.spark.createDataFrame([], POINTS))
+
+    def exists(self) -> bool:
+        return self.table.exists()
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+    def count(self) -> int:
+        return self.table.read().count() if self.exists() else 0
+
+    def dimension(self) -> int | None:
+        first = self.read().select(F.size("vector").alias("n")).filter("n > 0").first()
+        return None if first is None else first["n"]
+
+    def _check(self, new: DataFrame) -> None:
+        wanted = self.dimension()
+        if wanted is None:
+            head = new.select(F.size("vector").alias("n")).first()
+            if head is None:
+                return
+            wanted = head["n"]
+        if not new.filter(F.size("vector") != wanted).isEmpty():
+            raise ValueError(f"Vectors must have dimension {wanted}")
+
+    def upsert(self, new: DataFrame) -> None:
+        """Write points by id, the new row wins; the first vector fixes the dimension."""
+        self._check(new)
+        self.table.write(upsert_points(self.read(), new))
+
+    def delete(self, ids: DataFrame) -> None:
+        if self.exists():
+            self.table.write(delete_points(self.read(), ids))
+
+    def delete_path(self, path: str) -> None:
+        if self.exists():
+            self.table.write(delete_by_path(self.read(), path))
+
+    def info(self) -> DataFrame:
+        """Points and mean vector length per granularity."""
+        return self.read().groupBy("granularity").agg(
+            F.count("*").alias("points"), F.max(F.size("vector")).alias("dimension"),
+            round_to(F.avg(F.size("scores")), 2).alias("scores_per_point"),
+        )
+
+    def drop(self) -> bool:
+        return self.table.drop()
+
+
+def save_timeline(timeline: DataFrame, root: str) -> None:
+    """Replace the rows of exactly the jobs in ``timeline``; other jobs' rows stay."""
+    timeline.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(root)
