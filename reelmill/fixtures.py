@@ -15,6 +15,8 @@ from .operators.ordering import position_of
 from .operators.quality import score_map, technical_composite
 from .operators.ranking import candidate_order, composite_rank, merge_candidates, rank_candidates, resolve_weights, retrieve
 from .operators.search import point_key
+from .operators.storyboard import autofill, chronological, draft_dedupe
+from .operators.timeline import compile_timeline
 from .session import cut
 
 EPOCH_2024 = 1704067200
@@ -163,6 +165,28 @@ class Media:
             F.when(F.col("place") % 2 == 1, F.col("creation_timestamp")).alias("creation_timestamp"),
         )
 
+    @cached_property
+    def deduped(self) -> DataFrame:
+        return draft_dedupe(self.draft, self.ranked)
+
+    @cached_property
+    def filled(self) -> DataFrame:
+        """The first segments of the draft, filled to the target."""
+        return cut(autofill(self.deduped.filter("seq < 9"), self.ranked, self.jobs))
+
+    @cached_property
+    def media_files(self) -> DataFrame:
+        """Catalogue rows of the media files behind the points; one in ten is not catalogued."""
+        return self.frames.filter("frame_index = 0 and file_id % 10 <> 9").select(
+            F.col("file_id").alias("id"), "file_path", "file_type", "creation_timestamp", "duration_seconds", (F.col("file_id") * 100000).alias("file_size")
+        )
+
+    @cached_property
+    def compiled(self) -> DataFrame:
+        """Saved timelines; every second segment has to find its file by path."""
+        board = chronological(self.filled).withColumn("file_id", F.when(F.col("seq") % 2 == 0, F.col("file_id")))
+        return cut(compile_timeline(board, self.media_files))
+
     # --- catalogue
 
     @cached_property

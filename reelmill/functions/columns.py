@@ -17,7 +17,8 @@ def round_to(value: Column, digits: int) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """The value within bounds; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def nonzero(value: Column) -> Column:

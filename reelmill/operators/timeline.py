@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, millis, name_of, nonzero, round_to, suffix_of
 from ..schemas import PAN_ZOOM_CYCLE, TIMELINE
-from .ordering import first_row, nearest, sums_before, value_before
+from .ordering import first_row, nearest, position_of, sums_before, value_before
 
 POSITION_SLICE = 4096
 VIDEO_TYPES = ("video", "video_clip")
@@ -53,8 +53,8 @@ def timelines_with_files(timeline: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _is_video() -> Column:
-    by_suffix = suffix_of(F.col("file_path")).isin(*CLIP_SUFFIXES)
-    return F.lower("segment_type").isin(*VIDEO_TYPES) | by_suffix
+    by_suffix = suffix_of(F.coalesce("file_path", F.lit(""))).isin(*CLIP_SUFFIXES)
+    return F.coalesce(F.lower("segment_type").isin(*VIDEO_TYPES), F.lit(False)) | by_suffix
 
 
 def edit_list(segments: DataFrame, keys: Sequence[str] = ("job_id",), transition: float = 0.5) -> DataFrame:
@@ -95,9 +95,15 @@ def dominant_resolution(segments: DataFrame, sizes: DataFrame, keys: Sequence[st
 
 
 def inventory(timeline: DataFrame, files: DataFrame, points: DataFrame) -> DataFrame:
-    """Timeline rows with file facts and the scores of the point nearest to their start offset."""
+    """Timeline rows with file facts and the scores of the point nearest to their start offset.
+
+    ``segment_index`` counts from 1 without the gaps that positions may have; the motion follows it.
+    """
     side = files.select(F.col("id").alias("file_id"), "file_path", "file_size", "creation_timestamp")
-    rows = timeline.join(side, "file_id", "left").withColumn("start_offset", F.coalesce("start_offset", F.lit(0.0)))
+    numbered = position_of(timeline, ["job_id"], [F.col("position")], _slices(), "segment_index")
+    rows = numbered.join(side, "file_id", "left").withColumns(
+        {"start_offset": F.coalesce("start_offset", F.lit(0.0)), "file_path": F.coalesce("file_path", F.lit("unknown"))}
+    )
     order = [F.when(F.col("granularity") == "scene", 0).otherwise(1), F.asc("frame_index"), F.asc("point_id")]
     spots = first_row(points.select("file_path", "source_offset", "granularity", "frame_index", "point_id", "scores"),
                       ["file_path", "source_offset"], order)
@@ -111,8 +117,11 @@ def inventory(timeline: DataFrame, files: DataFrame, points: DataFrame) -> DataF
             "file_name": name_of(F.col("file_path")),
             "file_size_mb": round_to(nonzero(F.col("file_size")) / F.lit(1048576.0), 2),
             "effective_seconds": effective,
-            "capture_time": F.date_format(F.timestamp_micros((F.col("creation_timestamp") * 1e6).cast("long")), "yyyy-MM-dd HH:mm:ss"),
-            "motion": F.when(~video, pan_zoom_by_index(F.col("position"))),
+            "capture_time": F.coalesce(
+                F.date_format(F.timestamp_micros((nonzero(F.col("creation_timestamp")) * 1e6).cast("long")), "yyyy-MM-dd HH:mm:ss"), F.lit("Unknown")
+            ),
+            "motion": F.when(~video, pan_zoom_by_index(F.col("segment_index"))),
+            "segment_index": F.col("segment_index") + 1,
         }
     )
 

@@ -270,7 +270,7 @@ def _(m: Media) -> DataFrame:
 
 @query("detect_scenes")
 def _(m: Media) -> DataFrame:
-    return frames.detect_scenes(_feature_frames(m), 2.0, 0.1)
+    return frames.detect_scenes(_feature_frames(m), 2.0, min_change=0.1)
 
 
 @query("tag_scene")
@@ -300,7 +300,7 @@ def _(m: Media) -> DataFrame:
 
 
 def _measures(df: DataFrame) -> DataFrame:
-    return df.select("frame_id", *[round_to(F.col(c), 6).alias(c) for c in ("sharpness", "colorfulness", "contrast")])
+    return df.select("frame_id", *[round_to(F.col(c), 9).alias(c) for c in ("sharpness", "colorfulness", "contrast")])
 
 
 @query("measure_frames")
@@ -631,28 +631,20 @@ def _(m: Media) -> DataFrame:
     return storyboard.check_one_time_per_file(m.ranked)
 
 
-def _deduped(m: Media) -> DataFrame:
-    return storyboard.draft_dedupe(m.draft, m.ranked)
-
-
-def _filled(m: Media) -> DataFrame:
-    return storyboard.autofill(_deduped(m).filter("seq < 9"), m.ranked, m.jobs)
-
-
 @query("draft_dedupe")
 def _(m: Media) -> DataFrame:
-    return _deduped(m).select("job_id", "seq", "file_path", "file_id", "similarity_score", "composite_rank", "creation_timestamp",
+    return m.deduped.select("job_id", "seq", "file_path", "file_id", "similarity_score", "composite_rank", "creation_timestamp",
                               F.size("scores").alias("score_count"))
 
 
 @query("autofill")
 def _(m: Media) -> DataFrame:
-    return _filled(m).select("job_id", "seq", *SEGMENT_COLUMNS[1:])
+    return m.filled.select("job_id", "seq", *SEGMENT_COLUMNS[1:])
 
 
 @query("tail_trim")
 def _(m: Media) -> DataFrame:
-    return storyboard.tail_trim(_deduped(m), m.jobs).select("job_id", "seq", "file_path", "duration")
+    return storyboard.tail_trim(m.deduped, m.jobs).select("job_id", "seq", "file_path", "duration")
 
 
 @query("segment_limits")
@@ -664,12 +656,12 @@ def _(m: Media) -> DataFrame:
 
 @query("chronological")
 def _(m: Media) -> DataFrame:
-    return storyboard.chronological(_filled(m)).select("job_id", "position", "file_path")
+    return storyboard.chronological(m.filled).select("job_id", "position", "file_path")
 
 
 def _iterations(m: Media) -> DataFrame:
     tries = F.array(*[F.lit(i) for i in (1, 2, 3)])
-    return _filled(m).withColumn("iteration", F.explode(tries)).filter("seq % (iteration + 1) <> 0")
+    return m.filled.withColumn("iteration", F.explode(tries)).filter("seq % (iteration + 1) <> 0")
 
 
 SCORE_COLUMNS = ("total_duration", "segments", "duration_score", "pacing_score", "visual_score", "relevance_score", "diversity_score", "composite_score")
@@ -710,31 +702,19 @@ def _(m: Media) -> DataFrame:
 # --- timelines ----------------------------------------------------------------------------------
 
 
-def _media_files(m: Media) -> DataFrame:
-    """Catalogue rows of the media files behind the points; one in ten is not catalogued."""
-    return m.frames.filter("frame_index = 0 and file_id % 10 <> 9").select(
-        F.col("file_id").alias("id"), "file_path", "file_type", "creation_timestamp", "duration_seconds", (F.col("file_id") * 100000).alias("file_size")
-    )
-
-
-def _compiled(m: Media) -> DataFrame:
-    board = storyboard.chronological(_filled(m)).withColumn("file_id", F.when(F.col("seq") % 2 == 0, F.col("file_id")))
-    return timeline.compile_timeline(board, _media_files(m))
-
-
 @query("compile_timeline")
 def _(m: Media) -> DataFrame:
-    return _compiled(m)
+    return m.compiled
 
 
 @query("load_timeline")
 def _(m: Media) -> DataFrame:
-    return timeline.load_timeline(_compiled(m), "job1").select("job_id", "position", "file_id", "duration")
+    return timeline.load_timeline(m.compiled, "job1").select("job_id", "position", "file_id", "duration")
 
 
 @query("timelines_with_files")
 def _(m: Media) -> DataFrame:
-    return timeline.timelines_with_files(_compiled(m), _media_files(m)).select("job_id", "position", "file_name", "file_type", "segment_type", "duration", "total_duration")
+    return timeline.timelines_with_files(m.compiled, m.media_files).select("job_id", "position", "file_name", "file_type", "segment_type", "duration", "total_duration")
 
 
 @query("generate_timelines")
@@ -766,20 +746,20 @@ def _(m: Media) -> DataFrame:
 
 @query("inventory")
 def _(m: Media) -> DataFrame:
-    rows = _compiled(m).withColumn("start_offset", F.col("start_offset") + F.col("position") % 5 * F.lit(0.7))
-    found = timeline.inventory(rows, _media_files(m), m.points)
-    return found.select("job_id", "position", "file_name", "media_type", "effective_seconds", "file_size_mb", "motion", "nearest_point_id",
+    rows = m.compiled.withColumn("start_offset", F.col("start_offset") + F.col("position") % 5 * F.lit(0.7))
+    found = timeline.inventory(rows, m.media_files, m.points)
+    return found.select("job_id", "position", "segment_index", "file_name", "media_type", "effective_seconds", "file_size_mb", "motion", "nearest_point_id",
                         F.try_element_at("quality_scores", F.lit("contrast")).alias("contrast"))
 
 
 @query("chronology_audit")
 def _(m: Media) -> DataFrame:
-    return timeline.chronology_audit(_compiled(m), _media_files(m))
+    return timeline.chronology_audit(m.compiled, m.media_files)
 
 
 @query("duration_audit")
 def _(m: Media) -> DataFrame:
-    return timeline.duration_audit(_compiled(m), m.jobs)
+    return timeline.duration_audit(m.compiled, m.jobs)
 
 
 @query("motion_plan")
