@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 
@@ -38,22 +39,22 @@ def _pairwise(left: pa.Array, right: pa.Array, reduce) -> pa.Array:
     return pa.array(out, mask=np.isnan(out))
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def _dot(left: pa.Array, right: pa.Array) -> pa.Array:
     return _pairwise(left, right, lambda a, b: np.einsum("ij,ij->i", a, b))
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def _cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     return _pairwise(left, right, lambda a, b: np.einsum("ij,ij->i", unit_rows(a), unit_rows(b)))
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def _mean_squared_error(left: pa.Array, right: pa.Array) -> pa.Array:
     return _pairwise(left, right, lambda a, b: np.mean((a - b) ** 2, axis=1))
 
 
-@arrow_udf("array<double>")
+@arrow_udf(T.ArrayType(T.DoubleType()))
 def _unit(vectors: pa.Array) -> pa.Array:
     # ragged input keeps its own offsets, so each row is scaled by its own norm
     lengths = np.asarray(vectors.value_lengths().fill_null(0)).astype(np.int64)

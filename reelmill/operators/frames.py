@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from ..functions.columns import clamp, round_to
 from ..functions.vectors import l2_normalize
 from ..schemas import MISSING_SCORE
+from ..session import cut
 from .ordering import position_of, value_before
 from .search import point_key
 
@@ -91,50 +92,64 @@ def _accept(candidates: np.ndarray, gate: int, last: int) -> tuple[list[int], in
         taken.append(last)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def gate_cuts(candidates: DataFrame, gate: str = "min_frames", slice_frames: int = 1 << 16) -> DataFrame:
     """Cuts that keep every scene at least ``gate`` frames long: each accepted cut blocks the next ones.
 
     The rule is sequential, but what a slice of a video does depends only on how far before its start
     the last cut lies, and only up to ``gate`` frames. So each slice first tabulates its exit for every
-    possible entry, a one-row-per-slice pass resolves the entries, and the slices then accept in parallel.
+    possible entry, a pass over one short row per video resolves the entries, and the slices then accept
+    in parallel. A slice holds at most ``slice_frames`` candidates.
     """
-    sliced = candidates.withColumn("_slice", F.floor(F.col("frame_index") / F.lit(slice_frames)).cast("long"))
-
-    def exits(group: pd.DataFrame) -> pd.DataFrame:
-        frames = np.sort(group["frame_index"].to_numpy())
-        width = int(group[gate].iloc[0])
-        start = int(group["_slice"].iloc[0]) * slice_frames
-        # entry e: the last cut lies e frames before the slice; e = width already means "not blocked"
-        ends = [_accept(frames, width, start - entry)[1] for entry in range(width + 1)]
-        return pd.DataFrame({
-            "file_id": [group["file_id"].iloc[0]], "_slice": [group["_slice"].iloc[0]], "_width": [width], "_exits": [ends],
-        })
-
     key = candidates.schema["file_id"].dataType.simpleString()
-    sliced = sliced.select("file_id", "frame_index", F.col(gate).cast("long").alias(gate), "_slice")
-    table = sliced.groupBy("file_id", "_slice").applyInPandas(
-        exits, f"file_id {key}, _slice long, _width long, _exits array<long>"
+    sliced = candidates.withColumn("_slice", F.floor(F.col("frame_index") / F.lit(slice_frames)).cast("long"))
+    packed = sliced.groupBy("file_id", "_slice").agg(
+        F.sort_array(F.collect_list(F.col("frame_index").cast("long"))).alias("frames"), F.max(F.col(gate).cast("long")).alias("width")
     )
 
-    def entries(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("_slice")
-        last, found = 0, []
-        for number, width, ends in zip(ordered["_slice"], ordered["_width"], ordered["_exits"]):
-            found.append(last)
-            start = int(number) * slice_frames
-            outcome = int(ends[min(start - last, int(width))])
-            last = outcome if outcome >= start else last
-        return pd.DataFrame({"file_id": ordered["file_id"], "_slice": ordered["_slice"], "_last": found})
-
-    resolved = table.groupBy("file_id").applyInPandas(entries, f"file_id {key}, _slice long, _last long")
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        frames = np.sort(group["frame_index"].to_numpy())
-        taken, _ = _accept(frames, int(group[gate].iloc[0]), int(group["_last"].iloc[0]))
-        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]] * len(taken), "frame_index": taken})
-
-    joined = sliced.join(resolved, ["file_id", "_slice"])
-    return joined.groupBy("file_id", "_slice").applyInPandas(take, f"file_id {key}, frame_index long")
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(_lists(batch.column("frames")), batch.column("width").to_pylist(), batch.column("_slice").to_pylist())
+            # entry e: the last cut lies e frames before the slice; e = width already means "not blocked"
+            ends = [[_accept(f, width, n * slice_frames - e)[1] for e in range(width + 1)] for f, width, n in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file_id"), batch.column("_slice"), batch.column("width"), pa.array(ends, pa.list_(pa.int64()))],
+                ["file_id", "_slice", "width", "exits"],
+            )
+
+    table = packed.mapInArrow(exits, f"file_id {key}, _slice long, width long, exits array<long>")
+    chains = table.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("_slice", "width", "exits"))).alias("chain"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for chain in batch.column("chain").to_pylist():
+                last, lasts = 0, []
+                for step in chain:
+                    lasts.append({"_slice": step["_slice"], "last": last})
+                    start = step["_slice"] * slice_frames
+                    outcome = step["exits"][min(start - last, step["width"])]
+                    last = outcome if outcome >= start else last
+                found.append(lasts)
+            kind = pa.list_(pa.struct([("_slice", pa.int64()), ("last", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(found, kind)], ["file_id", "entries"])
+
+    resolved = chains.mapInArrow(entries, f"file_id {key}, entries array<struct<_slice:long,last:long>>")
+    entry = resolved.select("file_id", F.inline("entries"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(_lists(batch.column("frames")), batch.column("width").to_pylist(), batch.column("last").to_pylist())
+            taken = [_accept(f, width, last)[0] for f, width, last in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(taken, pa.list_(pa.int64()))], ["file_id", "taken"])
+
+    accepted = packed.join(entry, ["file_id", "_slice"]).select("file_id", "frames", "width", "last")
+    accepted = accepted.mapInArrow(take, f"file_id {key}, taken array<long>")
+    return accepted.select("file_id", F.explode("taken").alias("frame_index"))
 
 
 def detect_scenes(frames: DataFrame, threshold: float = 3.0, min_seconds: float = 2.0, min_change: float = 0.0) -> DataFrame:
@@ -146,7 +161,8 @@ def detect_scenes(frames: DataFrame, threshold: float = 3.0, min_seconds: float
     videos = frames.groupBy("file_id").agg(F.max("src_fps").alias("src_fps"), (F.max("frame_index") + 1).alias("frames"))
     videos = videos.withColumn("fps", rate).drop("src_fps")
     gates = videos.select("file_id", F.greatest(F.lit(15), F.bround(F.col("fps") * F.lit(min_seconds))).cast("long").alias("min_frames"))
-    cuts = gate_cuts(cut_candidates(frames, threshold, min_change).join(gates, "file_id"))
+    # candidates and cuts are a small part of the frames and feed several steps each
+    cuts = cut(gate_cuts(cut(cut_candidates(frames, threshold, min_change).join(gates, "file_id"))))
     starts = videos.select("file_id", F.lit(0).cast("long").alias("start_frame")).unionByName(
         cuts.select("file_id", F.col("frame_index").alias("start_frame"))
     )

@@ -45,15 +45,10 @@ def retrieve(points: DataFrame, queries: DataFrame, mode: str = "dual", k: int =
     crowded = queries.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > MAX_QUERIES)
     if not crowded.isEmpty():
         raise ValueError(f"A job may ask at most {MAX_QUERIES} queries")
-    passes = []
-    if mode in ("scene", "dual"):
-        passes.append((SCENE_PASS, filter_points(points, is_scene_representative=True)))
-    if mode in ("frame", "dual"):
-        passes.append((FRAME_PASS, filter_points(points, granularity="frame")))
-    hits = None
-    for number, side in passes:
-        found = search_many(side, queries, k, query_keys=[*keys, "query_idx"]).withColumn("pass", F.lit(number))
-        hits = found if hits is None else hits.unionByName(found)
+    scenes = filter_points(points, is_scene_representative=True).withColumn("pass", F.lit(SCENE_PASS))
+    single = filter_points(points, granularity="frame").withColumn("pass", F.lit(FRAME_PASS))
+    sides = {"scene": scenes, "frame": single, "dual": scenes.unionByName(single)}
+    hits = search_many(sides[mode], queries, k, query_keys=[*keys, "query_idx"], per="pass")
     seq = (F.col("query_idx").cast("long") * 2 + F.col("pass")) * F.lit(1000) + F.col("rank")
     return hits.withColumn("seq", seq)
 

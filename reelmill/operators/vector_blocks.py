@@ -20,6 +20,7 @@ from ..functions.vectors import matrix_of, unit_rows
 BROADCAST_ROWS = 4096
 SALTS = 32
 SCORE_DIGITS = 8
+SCORE_CELLS = 1 << 22
 
 BlockKernel = Callable[[pa.RecordBatch, np.ndarray, pa.Table, np.ndarray], pa.RecordBatch | None]
 
@@ -46,6 +47,13 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def _parts(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose score matrix stays within ``SCORE_CELLS``."""
+    rows = max(1, SCORE_CELLS // max(1, queries))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def apply_blocks(
     points: DataFrame,
     queries: DataFrame,
@@ -76,8 +84,8 @@ def apply_blocks(
             if query_table.num_rows == 0:
                 return
             for batch in batches:
-                if batch.num_rows:
-                    result = kernel(batch, unit_rows(matrix_of(batch.column(point_vector))), query_table, query_matrix)
+                for part in _parts(batch, len(query_matrix)):
+                    result = kernel(part, unit_rows(matrix_of(part.column(point_vector))), query_table, query_matrix)
                     if result is not None and result.num_rows:
                         yield result
 
@@ -115,9 +123,9 @@ def apply_blocks(
                 query_table = pa.Table.from_struct_array(packed.values)
                 query_matrix = unit_rows(matrix_of(query_table.column(query_vector)))
                 kernel = kernels.setdefault(block, make_kernel())
-                for point_batch in found:
-                    matrix = unit_rows(matrix_of(point_batch.column(point_vector)))
-                    result = kernel(point_batch, matrix, query_table.drop_columns([query_vector]), query_matrix)
+                for part in (p for b in found for p in _parts(b, len(query_matrix))):
+                    matrix = unit_rows(matrix_of(part.column(point_vector)))
+                    result = kernel(part, matrix, query_table.drop_columns([query_vector]), query_matrix)
                     if result is not None and result.num_rows:
                         yield result
 
@@ -131,10 +139,14 @@ class RunningBest:
         self.k, self.floor = k, floor
         self.scores, self.ids = np.zeros(0), None
 
+    @property
+    def bar(self) -> float:
+        """A score below this cannot count any more."""
+        return max(self.floor, self.scores[-1]) if len(self.scores) == self.k else self.floor
+
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Rows of this batch that can be among the first ``k``; at most ``k`` of them."""
-        floor = max(self.floor, self.scores[-1]) if len(self.scores) == self.k else self.floor
-        rows = np.flatnonzero(scores >= floor)
+        rows = np.flatnonzero(scores >= self.bar)
         if len(rows) > self.k:
             found = scores[rows]
             cut = np.partition(found, -self.k)[-self.k]
@@ -159,28 +171,40 @@ def top_k_kernel(k: int, id_column: str, point_cols: Sequence[str], query_cols:
     def make() -> BlockKernel:
         best: dict[tuple, RunningBest] = {}
 
+        def candidates(raw: np.ndarray, states: list[RunningBest]) -> np.ndarray:
+            """Pairs that may still count, judged on unrounded scores with a margin for the rounding."""
+            floors = np.array([state.bar for state in states])
+            if raw.shape[1] > k and np.isneginf(floors).any():
+                floors = np.maximum(floors, np.partition(raw, -k, axis=1)[:, -k])
+            return raw >= (floors - 10.0**-SCORE_DIGITS)[:, None]
+
         def kernel(batch: pa.RecordBatch, matrix: np.ndarray, table: pa.Table, query_matrix: np.ndarray):
-            scores = rounded(matrix @ query_matrix.T)
+            raw_scores = query_matrix @ matrix.T
             ids = batch.column(id_column).to_numpy(zero_copy_only=False)
-            groups = [(None, np.arange(len(ids)))]
+            groups = [(None, None)]
             if group_column is not None:
                 labels = batch.column(group_column).to_numpy(zero_copy_only=False)
                 groups = [(g, np.flatnonzero(labels == g)) for g in np.unique(labels)]
-            rows_out, queries_out = [], []
-            for q in range(query_matrix.shape[0]):
-                for group, members in groups:
-                    running = best.setdefault((q, group), RunningBest(k, floor))
-                    rows = members[running.offer(scores[members, q], ids[members])]
-                    if len(rows):
-                        rows_out.append(rows)
-                        queries_out.append(np.full(len(rows), q))
-            if not rows_out:
+            rows_out, queries_out, scores_out = [], [], []
+            for group, members in groups:
+                states = [best.setdefault((q, group), RunningBest(k, floor)) for q in range(len(query_matrix))]
+                raw = raw_scores if members is None else raw_scores[:, members]
+                hit_queries, hit_rows = np.nonzero(candidates(raw, states))
+                starts = np.flatnonzero(np.r_[True, hit_queries[1:] != hit_queries[:-1]]) if len(hit_queries) else []
+                for start, end in zip(starts, [*starts[1:], len(hit_queries)]):
+                    q, found = hit_queries[start], hit_rows[start:end]
+                    scores = rounded(raw[q, found])
+                    rows = found if members is None else members[found]
+                    kept = states[q].offer(scores, ids[rows])
+                    rows_out.append(rows[kept])
+                    scores_out.append(scores[kept])
+                    queries_out.append(np.full(len(kept), q))
+            if not rows_out or not sum(map(len, rows_out)):
                 return None
-            point_rows, query_rows = np.concatenate(rows_out), np.concatenate(queries_out)
-            point_index, query_index = pa.array(point_rows), pa.array(query_rows)
+            point_index, query_index = pa.array(np.concatenate(rows_out)), pa.array(np.concatenate(queries_out))
             arrays = [table.column(c).combine_chunks().take(query_index) for c in query_cols]
             arrays += [batch.column(c).take(point_index) for c in point_cols]
-            arrays.append(pa.array(scores[point_rows, query_rows]))
+            arrays.append(pa.array(np.concatenate(scores_out)))
             return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, schema.types)], schema.names)
 
         return kernel
