@@ -19,6 +19,7 @@ def media_stream(spark: SparkSession, root: str, max_files: int = IN_FLIGHT_FRAM
     """Newly found media files below ``root``; ``max_files`` bounds what one batch takes on."""
     read = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(root)
