@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import suffix_of
 from ..schemas import ALLOWED_TRANSITIONS, DATE_PATTERNS, FILES, MIME_BY_SUFFIX
-from .ordering import first_row, position_of, value_before
+from ..session import cut
+from .ordering import first_row, position_of, sum_before, value_before
 
 # --- derived file columns -----------------------------------------------------------------------
 
@@ -122,24 +123,31 @@ def classify(files: DataFrame, listing: DataFrame, force: bool = False) -> DataF
     return joined.withColumn("action", action)
 
 
-def upsert_files(files: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
+OVERWRITTEN = ("file_hash", "file_size", "file_type", "status")
+KEPT_IF_MISSING = ("file_path", "content_hash", "mime_type", "creation_timestamp", "timestamp_source", "duration_seconds", "frame_count")
+
+
+def upsert_files(files: DataFrame, changes: DataFrame, now: Column | None = None, also: Sequence[str] = (),
+                 applies: str | None = None, how: str = "full") -> DataFrame:
     """Insert by path or overwrite: some columns always, some only when a value comes in.
 
-    ``changes`` holds one row per path; ``id`` is used for new paths only.
+    ``changes`` holds one row per path; ``id`` is used for new paths only. Columns in ``also`` are taken
+    over when a value comes in. ``applies`` names a boolean column of the changes: rows where it is false
+    leave the file as it is. With ``how="right"`` files without a row in ``changes`` are dropped.
     """
     now = F.lit(None).cast("double") if now is None else now
-    old, new = files.alias("old"), changes.alias("new")
-    joined = old.join(new, F.col("old.file_path") == F.col("new.file_path"), "full")
+    joined = files.alias("old").join(changes.alias("new"), F.col("old.file_path") == F.col("new.file_path"), how)
     hit = F.col("new.file_path").isNotNull()
+    if applies is not None:
+        hit = hit & F.col(f"new.{applies}")
     incoming = set(changes.columns)
     cols = []
     for name in FILES.fieldNames():
         before = F.col(f"old.{name}")
-        after = F.col(f"new.{name}") if name in incoming else F.lit(None).cast(FILES[name].dataType)
-        if name in ("file_hash", "file_size", "file_type", "status"):
+        after = F.when(hit, F.col(f"new.{name}")) if name in incoming else F.lit(None).cast(FILES[name].dataType)
+        if name in OVERWRITTEN:
             value = F.when(hit, after).otherwise(before)
-        elif name in ("file_path", "content_hash", "mime_type", "creation_timestamp", "timestamp_source",
-                      "duration_seconds", "frame_count"):
+        elif name in KEPT_IF_MISSING or name in also:
             value = F.coalesce(after, before)
         elif name == "scanned_at":
             value = F.coalesce(before, now)
@@ -153,12 +161,16 @@ def upsert_files(files: DataFrame, changes: DataFrame, now: Column | None = None
     return joined.select(*cols)
 
 
+def _hash_slice(slices: int) -> Column:
+    return F.pmod(F.xxhash64("file_path"), F.lit(slices))
+
+
 def assign_ids(new_rows: DataFrame, max_id: int | Column, slices: int = 4096) -> DataFrame:
     """Consecutive ids after ``max_id`` in the order of (hash of the path, path).
 
     The order is by hash so that the rows can be numbered slice by slice; the ids are repeatable.
     """
-    hashed = new_rows.withColumn("_h", F.pmod(F.xxhash64("file_path"), F.lit(slices)))
+    hashed = new_rows.withColumn("_h", _hash_slice(slices))
     placed = position_of(hashed, [], [F.col("_h"), F.col("file_path")], [F.col("_h")], "_n")
     start = max_id if isinstance(max_id, Column) else F.lit(max_id)
     return placed.withColumn("id", F.col("_n") + F.lit(1).cast("long") + start).drop("_n", "_h")
@@ -166,36 +178,36 @@ def assign_ids(new_rows: DataFrame, max_id: int | Column, slices: int = 4096) ->
 
 def apply_scan(files: DataFrame, classified: DataFrame, now: Column | None = None) -> DataFrame:
     """The catalogue after a full scan: changes applied, files that are gone removed."""
-    return kept_files(apply_changes(files, classified, now), classified)
+    return _apply(files, classified, now, "right")
 
 
 def apply_changes(files: DataFrame, classified: DataFrame, now: Column | None = None) -> DataFrame:
     """Changed files are upserted, reused ones take their donor's points; files not listed stay."""
-    changed = classified.filter(F.col("action").isin("reuse", "modified", "new"))
-    status = F.when(F.col("action") == "reuse", "INDEXED").otherwise("SCANNED")
-    changes = changed.withColumn("status", status)
-    fresh = changes.filter(F.col("known_id").isNull()).select("file_path")
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    ids = assign_ids(fresh, top).select("file_path", "id")
-    changes = changes.drop("id").join(ids, "file_path", "left")
-    merged = upsert_files(files, changes.select(*[c for c in FILES.fieldNames() if c in changes.columns]), now)
-    reused = changed.filter(F.col("action") == "reuse").select(
-        "file_path", "donor_point_ids", "donor_model_name", "donor_model_version"
-    )
-    joined = merged.join(reused, "file_path", "left")
-    hit = F.col("donor_point_ids").isNotNull()
+    return _apply(files, classified, now, "full")
+
+
+def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str) -> DataFrame:
     stamp = F.lit(None).cast("double") if now is None else now
-    return joined.select(
-        *[
-            {
-                "point_ids": F.coalesce("donor_point_ids", "point_ids"),
-                "model_name": F.coalesce("donor_model_name", "model_name"),
-                "model_version": F.coalesce("donor_model_version", "model_version"),
-                "embedded_at": F.when(hit, stamp).otherwise(F.col("embedded_at")),
-            }.get(c, F.col(c)).alias(c)
-            for c in FILES.fieldNames()
-        ]
+    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    # the judged listing is numbered and merged, so it is written once
+    judged = cut(classified).withColumn("_h", _hash_slice(4096))
+    fresh = F.col("known_id").isNull().cast("long")
+    numbered = sum_before(judged, [], [F.col("_h"), F.col("file_path")], [F.col("_h")], fresh, "_n").drop("_h")
+    reused = F.col("action") == "reuse"
+    changes = numbered.withColumns(
+        {
+            "id": F.col("_n") + F.lit(top + 1),
+            "status": F.when(reused, "INDEXED").otherwise("SCANNED"),
+            "applies": F.col("action").isin("reuse", "modified", "new"),
+            "point_ids": F.when(reused, F.col("donor_point_ids")),
+            "model_name": F.when(reused, F.col("donor_model_name")),
+            "model_version": F.when(reused, F.col("donor_model_version")),
+            "embedded_at": F.when(reused, stamp),
+        }
     )
+    columns = [c for c in FILES.fieldNames() if c in changes.columns]
+    return upsert_files(files, changes.select(*columns, "applies"), now, ("point_ids", "model_name", "model_version", "embedded_at"),
+                        "applies", how)
 
 
 def scan_summary(classified: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A plain window sorts a whole key in one task. Here a key is cut into buckets that follow the order;
 rows are only windowed inside a bucket, and a one-row-per-bucket summary carries the state across.
-Both halves read the same exchange on (key, bucket), so the rows are shuffled once.
+The rows are shuffled once, by (key, bucket); the summary reads only the columns it needs, combines
+map-side, and joins on the same columns, so the rows need no second shuffle. Keys must not be null.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Sequence[Column]) -> t
     names = [f"_bucket{i}" for i in range(len(bucket))]
     for name, column in zip(names, bucket):
         df = df.withColumn(name, column)
-    cols = [*keys, *names]
-    return df.repartition(*[F.col(c) for c in cols]), cols, names
+    return df, [*keys, *names], names
+
+
+def _spread(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return rows.repartition(*[F.col(c) for c in cols])
 
 
 def _across(keys: Sequence[str], names: Sequence[str]) -> W:
@@ -37,12 +41,7 @@ def _across(keys: Sequence[str], names: Sequence[str]) -> W:
 
 
 def _attach(rows: DataFrame, summary: DataFrame, cols: Sequence[str]) -> DataFrame:
-    right = summary.select(*[F.col(c).alias(f"{c}__r") for c in cols], *[c for c in summary.columns if c not in cols])
-    match = None
-    for c in cols:
-        equal = F.col(c).eqNullSafe(F.col(f"{c}__r"))
-        match = equal if match is None else match & equal
-    return rows.join(right, match, "left").drop(*[f"{c}__r" for c in cols])
+    return rows.join(summary, list(cols), "left")
 
 
 def sums_before(
@@ -58,11 +57,12 @@ def sums_before(
     before = _across(keys, names).rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(*cols, *[F.coalesce(F.sum(f"_v_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in values])
     inside = W.partitionBy(*cols).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = _spread(rows, cols)
     for out in values:
         rows = rows.withColumn(f"_i_{out}", F.coalesce(F.sum(f"_v_{out}").over(inside), F.lit(0)))
     joined = _attach(rows, starts, cols)
     for out in values:
-        joined = joined.withColumn(out, F.col(f"_s_{out}") + F.col(f"_i_{out}")).drop(f"_s_{out}", f"_i_{out}", f"_v_{out}")
+        joined = joined.withColumn(out, F.coalesce(f"_s_{out}", F.lit(0)) + F.col(f"_i_{out}")).drop(f"_s_{out}", f"_i_{out}", f"_v_{out}")
     return joined.drop(*names)
 
 
@@ -85,7 +85,7 @@ def value_before(
     last = rows.groupBy(*cols).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
     carried = last.select(*cols, F.lag("_last").over(_across(keys, names)).alias("_carried"))
     inside = W.partitionBy(*cols).orderBy(*order)
-    rows = rows.withColumn("_lag", F.lag("_value").over(inside)).withColumn("_n", F.row_number().over(inside))
+    rows = _spread(rows, cols).withColumn("_lag", F.lag("_value").over(inside)).withColumn("_n", F.row_number().over(inside))
     joined = _attach(rows, carried, cols)
     picked = F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_lag"))
     return joined.withColumn(out, picked).drop("_carried", "_lag", "_n", "_value", *names)
@@ -106,9 +106,8 @@ def nearest(
     rights = right.select(*keys, F.col(right_at).cast("double").alias("_pos"), F.lit(0).alias("_kind"), found.alias("_right"))
     merged = lefts.unionByName(rights, allowMissingColumns=True)
     rows, cols, names = _bucketed(merged, keys, [F.floor(F.col("_pos") / F.lit(width))])
-    ends = rows.filter("_kind = 0").groupBy(*cols).agg(F.max_by("_right", "_pos").alias("_high"), F.min_by("_right", "_pos").alias("_low"))
-    every = rows.select(*cols).distinct()
-    summary = _attach(every, ends, cols)
+    at = F.when(F.col("_kind") == 0, F.col("_pos"))
+    summary = rows.groupBy(*cols).agg(F.max_by("_right", at).alias("_high"), F.min_by("_right", at).alias("_low"))
     across = W.partitionBy(*keys).orderBy(*names)
     carried = summary.select(
         *cols,
@@ -117,7 +116,7 @@ def nearest(
     )
     up = W.partitionBy(*cols).orderBy("_pos", "_kind").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*cols).orderBy(F.desc("_pos"), F.asc("_kind")).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_below", F.last("_right", True).over(up)).withColumn("_above", F.last("_right", True).over(down))
+    rows = _spread(rows, cols).withColumn("_below", F.last("_right", True).over(up)).withColumn("_above", F.last("_right", True).over(down))
     joined = _attach(rows.filter("_kind = 1"), carried, cols)
     below, above = F.coalesce("_below", "_from_low"), F.coalesce("_above", "_from_high")
     joined = joined.withColumn("_b", below).withColumn("_a", above)

@@ -247,9 +247,9 @@ def tail_trim(draft: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("job_id"
     ``jobs``: keys, ``target_duration``, ``min_segments``. Equal ranks fall in draft order.
     """
     totals = draft.groupBy(*keys).agg(F.sum(millis(_seconds())).alias("_total"), F.count("*").alias("_rows"))
-    ranked = draft.withColumn("_rank", _draft_rank())
+    ranked = draft.withColumn("_rank", F.floor(_draft_rank() * F.lit(1e8) + F.lit(0.5)))
     order = [F.asc("_rank"), F.asc("seq")]
-    # ranks have 4 decimals, so a slice of equal ranks is cut further by draft order
+    # ranks compare at 8 decimals; equal ones are cut further by draft order
     bucket = [F.col("_rank"), F.floor(F.col("seq") / F.lit(ORDER_SLICE))]
     one = F.lit(1).cast("long")
     running = sums_before(ranked, keys, order, bucket, {"_gone": millis(_seconds()), "_count": one})
