@@ -109,8 +109,10 @@ def classify(files: DataFrame, listing: DataFrame, force: bool = False) -> DataF
     known = files.select(
         "file_path", F.col("id").alias("known_id"), F.col("file_hash").alias("known_hash"), F.col("status").alias("known_status")
     )
-    # one content may be shared by very many files, so the donor side is small per key and joined by hash
-    joined = listing.join(known, "file_path", "left").join(content_donors(files), "content_hash", "left")
+    donors = content_donors(files).withColumnRenamed("content_hash", "_donor_key")
+    # files that were not read have no content hash: their own path spreads them over the join
+    keyed = listing.join(known, "file_path", "left").withColumn("_donor_key", F.coalesce("content_hash", "file_path"))
+    joined = keyed.join(donors, "_donor_key", "left").drop("_donor_key")
     same = F.coalesce(F.col("known_hash") == F.col("file_hash"), F.lit(False))
     unforced = F.lit(not force)
     action = (

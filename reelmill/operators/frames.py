@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -182,18 +182,24 @@ def detect_scenes(frames: DataFrame, threshold: float = 3.0, min_seconds: float
     )
 
 
-def tag_scene(frames: DataFrame, scenes: DataFrame) -> DataFrame:
+def tag_scene(frames: DataFrame, scenes: DataFrame, bin_seconds: float = 60.0) -> DataFrame:
     """Each frame gets the first scene that holds its offset (both ends inclusive), else the file's first.
 
-    A file's scenes are folded into one ordered array, so a frame is tagged by one equi-join on the file
-    and never meets the other scenes as rows.
+    Scenes are laid into time bins and folded into one short array per (file, bin), so a frame meets the
+    scenes of its minute only and a long video spreads over its bins.
     """
-    lists = scenes.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("scene_id", "scene_start", "scene_end"))).alias("_scenes"))
+    def bin_of(seconds: Column) -> Column:
+        return F.floor(seconds / F.lit(bin_seconds))
+
+    scene = F.struct("scene_id", "scene_start", "scene_end")
+    binned = scenes.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("scene_start")), bin_of(F.col("scene_end")))))
+    lists = binned.groupBy("file_id", "_bin").agg(F.sort_array(F.collect_list(scene)).alias("_scenes"))
+    firsts = scenes.groupBy("file_id").agg(F.min(scene).alias("_first"))
     holding = F.filter("_scenes", lambda s: (s.scene_start <= F.col("source_offset")) & (F.col("source_offset") <= s.scene_end))
-    chosen = F.coalesce(F.try_element_at(holding, F.lit(1)), F.try_element_at("_scenes", F.lit(1)))
-    tagged = frames.join(lists, "file_id", "left").withColumn("_scene", chosen)
+    placed = frames.withColumn("_bin", bin_of(F.col("source_offset"))).join(lists, ["file_id", "_bin"], "left").join(firsts, "file_id", "left")
+    tagged = placed.withColumn("_scene", F.coalesce(F.try_element_at(holding, F.lit(1)), F.col("_first")))
     fields = {c: F.col(f"_scene.{c}") for c in ("scene_id", "scene_start", "scene_end")}
-    return tagged.withColumns(fields).drop("_scene", "_scenes")
+    return tagged.withColumns(fields).drop("_scene", "_scenes", "_first", "_bin")
 
 
 def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None = None) -> DataFrame:

@@ -247,13 +247,32 @@ def _best_first(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return position_of(ranked, keys, [F.col("_down"), F.col("point_id")], bucket, "_place").drop("_down")
 
 
+def _best_copies(items: DataFrame, keys: Sequence[str], same: Sequence[Column]) -> DataFrame:
+    """The best row of each set of exact copies; its other copies are duplicates of it and need no comparing."""
+    names = [f"_same{i}" for i in range(len(same))]
+    marked = items.withColumns(dict(zip(names, same)))
+    order = [F.desc(F.floor(F.coalesce(F.col("score"), F.lit(0.0)) * F.lit(1e4) + F.lit(0.5))), F.asc("point_id")]
+    return first_row(marked, [*keys, *names], order).drop(*names)
+
+
+def _flag_all_but(items: DataFrame, survivors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    kept = survivors.select(*keys, "point_id").withColumn("_kept", F.lit(True))
+    return items.join(kept, [*keys, "point_id"], "left").withColumn("is_duplicate", F.col("_kept").isNull()).drop("_kept")
+
+
 def near_duplicates(items: DataFrame, keys: Sequence[str], max_distance: float = 0.05) -> DataFrame:
-    """Rows of a selection with ``is_duplicate``: a better row of the key lies within the cosine distance."""
+    """Rows of a selection with ``is_duplicate``: a better row of the key lies within the cosine distance.
+
+    Whatever is near a copy is near the best copy too, so only one row per distinct vector is compared,
+    in blocks. A zero vector is near nothing, not even its copies.
+    """
     limit = 1.0 - max_distance
-    flagged = better_neighbour_counts(
-        _best_first(items, keys), keys, "_place", "vector", lambda a, b: np.round(a @ b.T, 12) > limit, "_better"
+    zero = F.when(~F.exists("vector", lambda x: x != 0), F.col("point_id"))
+    distinct = _best_copies(items.select(*keys, "point_id", "vector", "score"), keys, [F.col("vector"), zero])
+    counted = better_neighbour_counts(
+        _best_first(distinct, keys), keys, "_place", "vector", lambda a, b: np.round(a @ b.T, 12) > limit, "_better"
     )
-    return flagged.withColumn("is_duplicate", F.col("_better") > 0).drop("_better", "_place")
+    return _flag_all_but(items, counted.filter("_better = 0"), keys)
 
 
 def near_duplicate_hashes(items: DataFrame, keys: Sequence[str], bits: str = "phash", max_bits: int = 5) -> DataFrame:
@@ -268,7 +287,8 @@ def near_duplicate_hashes(items: DataFrame, keys: Sequence[str], bits: str = "ph
         F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(bits), i * width).bitwiseAND(F.lit(mask)).alias("v"))
         for i in range(max_bits)
     ])
-    sliced = _best_first(items, keys).drop("_place").withColumn("_s", F.explode(slices))
+    distinct = _best_copies(items.select(*keys, "point_id", bits, "score"), keys, [F.col(bits)])
+    sliced = distinct.withColumn("_s", F.explode(slices))
     sliced = sliced.select(*keys, "point_id", "score", bits, F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v"))
     within = [*keys, "_i", "_v"]
 
@@ -277,7 +297,5 @@ def near_duplicate_hashes(items: DataFrame, keys: Sequence[str], bits: str = "ph
         return differing < max_bits
 
     counted = better_neighbour_counts(_best_first(sliced, within), within, "_place", bits, close, "_better")
-    dropped = counted.filter("_better > 0").select(*keys, "point_id").distinct().withColumn("is_duplicate", F.lit(True))
-    return items.join(dropped, [*keys, "point_id"], "left").withColumn(
-        "is_duplicate", F.coalesce("is_duplicate", F.lit(False))
-    )
+    dropped = counted.filter("_better > 0").select(*keys, "point_id").distinct()
+    return _flag_all_but(items, distinct.join(dropped, [*keys, "point_id"], "left_anti"), keys)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +28,12 @@ def build_session(app: str = "reelmill", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a scratch one where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", shared)
-    spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    """The cluster's shared checkpoint folder; a scratch folder only where none is set (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

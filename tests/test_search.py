@@ -88,11 +88,12 @@ def test_zero_vector_and_unequal_lengths(spark):
 def test_near_duplicates_in_a_hot_group(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 6))
-    vectors = np.concatenate([base, base[:1] + rng.normal(scale=0.02, size=(60, 6))])
+    vectors = np.concatenate([base, base[:1] + rng.normal(scale=0.02, size=(60, 6)), np.repeat(base[1:2], 50, axis=0), np.zeros((2, 6))])
     items = [("j", f"p{i:03d}", v.tolist(), float(i % 10) / 10) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(items, "job_id string, point_id string, vector array<double>, score double")
     got = {r.point_id: r.is_duplicate for r in search.near_duplicates(df, ["job_id"]).collect()}
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    norms = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(norms == 0, 1, norms)[:, None]
     for i, (_, name, _, score) in enumerate(items):
         better = [k for k, o in enumerate(items) if (-o[3], o[1]) < (-score, name)]
         assert got[name] == any(unit[i] @ unit[k] > 0.95 for k in better)
