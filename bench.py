@@ -37,7 +37,7 @@ def main() -> None:
     points = cut(media.points.repartition(int(CPUS)))
     queries = cut(media.table("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
     many_points = cut(points.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).withColumn(
-        "point_id", F.concat_ws("-", "point_id", F.col("_c").cast("string"))).drop("_c").repartition(int(CPUS) * 4))
+        "point_id", F.concat_ws("-", "point_id", F.col("_c").cast("string"))).drop("_c").repartition(int(CPUS)))
     thirteen = cut(queries.filter("query_id < 13"))
     jobs_of = (F.col("query_id") % 1000).cast("string")
     job_queries = cut(queries.select(jobs_of.alias("job_id"), F.col("query_id").alias("query_idx"), "query_vector"))
@@ -45,7 +45,9 @@ def main() -> None:
     merged = ranking.merge_candidates(ranking.retrieve(points, job_queries))
     ranked = cut(ranking.rank_candidates(ranking.composite_rank(merged, ranking.resolve_weights(F.lit("journey")))))
     files, listing = cut(media.files), cut(media.listing)
-    images = cut(media.images)
+    images, tagged, frame_jobs, telemetry_rows = cut(media.images), cut(media.tagged), cut(media.jobs), cut(media.telemetry)
+    label_queries = cut(media.job_queries)
+    shots = cut(media.frame_index.select("file_id", F.col("idx").alias("frame_index"), "src_fps", F.array("value").alias("features")))
 
     cases = {
         "topk_13_queries": lambda: search.search_many(points, thirteen, 15),
@@ -54,11 +56,10 @@ def main() -> None:
         "retrieve_rank_1000_jobs": lambda: ranking.rank_candidates(ranking.composite_rank(
             ranking.merge_candidates(ranking.retrieve(points, job_queries)), ranking.resolve_weights(F.lit("journey")))),
         "curate_1000_jobs": lambda: storyboard.curate(ranked, jobs),
-        "alternatives_3_jobs": lambda: generate_alternatives(points, media.job_queries, media.jobs),
+        "alternatives_3_jobs": lambda: generate_alternatives(points, label_queries, frame_jobs),
         "catalogue_sync": lambda: catalog.apply_scan(files, catalog.classify(files, listing), F.lit(1.0)),
-        "scene_points": lambda: frames.build_points(media.tagged),
-        "detect_scenes": lambda: frames.detect_scenes(
-            media.frame_index.select("file_id", F.col("idx").alias("frame_index"), "src_fps", F.array("value").alias("features")), 2.0),
+        "scene_points": lambda: frames.build_points(tagged),
+        "detect_scenes": lambda: frames.detect_scenes(shots, 2.0),
         "measure_frames": lambda: quality.technical_composite(quality.measure_frames(images)),
         "retrieval_eval": lambda: evaluate.retrieval_eval(
             media.table("embeddings").select(F.col("vec_id").alias("pair_id"), F.col("embedding").alias("vector")),
@@ -66,8 +67,8 @@ def main() -> None:
         "edit_list": lambda: timeline.edit_list(media.table("events").select(
             F.col("user_id").alias("job_id"), F.col("event_id").alias("position"), F.lit("/m/a.jpg").alias("file_path"),
             F.lit("image").alias("segment_type"), (F.col("value") / 20).alias("duration"))),
-        "telemetry_rollup": lambda: telemetry.telemetry_rollup(media.telemetry, "1 hour"),
-        "telemetry_runs": lambda: telemetry.run_rollup(media.telemetry),
+        "telemetry_rollup": lambda: telemetry.telemetry_rollup(telemetry_rows, "1 hour"),
+        "telemetry_runs": lambda: telemetry.run_rollup(telemetry_rows),
     }
     seconds = {}
     for name, build in cases.items():

@@ -106,9 +106,8 @@ class Media:
     def label_queries(self) -> DataFrame:
         """One query per label: the mean vector of the label."""
         mean = Summarizer.mean(array_to_vector(F.col("embedding")))
-        return self.table("embeddings").groupBy("label").agg(mean.alias("m")).select(
-            F.col("label").alias("query_id"), vector_to_array("m").alias("query_vector")
-        )
+        means = self.table("embeddings").groupBy("label").agg(mean.alias("m"))
+        return cut(means.select(F.col("label").alias("query_id"), vector_to_array("m").alias("query_vector")))
 
     @cached_property
     def jobs(self) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -62,8 +63,8 @@ def cut_candidates(frames: DataFrame, threshold: float = 3.0, min_change: float
     """Frames whose change against the previous one exceeds ``threshold`` times its local average.
 
     ``frames``: file_id, frame_index, features (array). Change is the mean absolute feature difference;
-    the local average leaves the frame itself out. Frames without a neighbour inside the slice borders
-    get them by an equi-join on the frame number, so one long video spreads over many tasks.
+    the local average leaves the frame itself out. A video is cut into slices, so a long one spreads over
+    many tasks.
     """
     earlier = value_before(
         frames, ["file_id"], ["frame_index"], [F.floor(F.col("frame_index") / F.lit(ORDER_SLICE))], F.col("features"), "_before"
@@ -72,12 +73,16 @@ def cut_candidates(frames: DataFrame, threshold: float = 3.0, min_change: float
     total = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)
     change = F.when(F.col("_before").isNotNull(), total / F.size("features"))
     changes = earlier.select("file_id", "frame_index", change.alias("change"))
-    steps = [s for s in range(-around, around + 1) if s]
-    spread = changes.filter("change is not null").select(
-        "file_id", F.explode(F.array(*[F.col("frame_index") + F.lit(s) for s in steps])).alias("frame_index"), "change"
-    )
-    local = spread.groupBy("file_id", "frame_index").agg(F.avg("change").alias("local"))
-    joined = changes.join(local, ["file_id", "frame_index"])
+    # a slice also gets copies of its neighbours' border frames, so the local average needs no join
+    inside = F.col("frame_index") % ORDER_SLICE
+    own = F.floor(F.col("frame_index") / F.lit(ORDER_SLICE))
+    slices = F.array(own, F.when(inside < around, own - 1), F.when(inside >= ORDER_SLICE - around, own + 1))
+    spread = changes.filter("change is not null").withColumn("_slice", F.explode(F.array_compact(slices)))
+    ordered = W.partitionBy("file_id", "_slice").orderBy("frame_index")
+    before, after = ordered.rangeBetween(-around, -1), ordered.rangeBetween(1, around)
+    sums = F.coalesce(F.sum("change").over(before), F.lit(0.0)) + F.coalesce(F.sum("change").over(after), F.lit(0.0))
+    counts = F.count("change").over(before) + F.count("change").over(after)
+    joined = spread.withColumn("local", sums / F.nullif(counts, F.lit(0))).filter((F.col("_slice") == own) & F.col("local").isNotNull())
     ratio = F.col("change") / F.greatest(F.col("local"), F.lit(1e-9))
     return joined.filter((F.col("change") > min_change) & (ratio >= threshold)).select("file_id", "frame_index", "change", "local")
 

@@ -35,7 +35,7 @@ def place_candidates(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
 def storyboard_from(cands: DataFrame, jobs: DataFrame, keys: Sequence[str], draft: DataFrame | None = None) -> DataFrame:
     """Draft completion, autofill, trim and chronological order over placed candidates."""
     draft = empty_draft(cands, keys) if draft is None else draft_dedupe(draft, cands, keys)
-    filled = autofill(draft, cands, jobs, keys)
+    filled = cut(autofill(draft, cands, jobs, keys))
     return chronological(tail_trim(filled, jobs, keys), keys)
 
 

@@ -40,6 +40,20 @@ def test_gate_equals_the_sequential_rule_across_slices(spark):
     assert got == want
 
 
+def test_cut_candidates_across_slice_borders(spark):
+    rng = np.random.default_rng(12)
+    n = 3 * frames.ORDER_SLICE + 10
+    values = rng.random(n)
+    df = spark.createDataFrame(pd.DataFrame({"file_id": 1, "frame_index": range(n), "v": values})).select("file_id", "frame_index", F.array("v").alias("features"))
+    change = np.abs(np.diff(values, prepend=np.nan))
+    want = set()
+    for i in range(1, n):
+        local = [change[k] for k in range(max(1, i - 2), min(n, i + 3)) if k != i]
+        if change[i] >= 2.0 * max(np.mean(local), 1e-9) and change[i] > 0.1:
+            want.add(i)
+    assert {r.frame_index for r in frames.cut_candidates(df, 2.0, 0.1).collect()} == want
+
+
 def test_scenes_of_a_synthetic_video(spark):
     noise = np.random.default_rng(9).random(200) * 0.01
     level = np.where(np.arange(200) < 70, 0.0, np.where(np.arange(200) < 140, 5.0, 1.0)) + noise
