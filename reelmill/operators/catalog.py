@@ -214,17 +214,22 @@ def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str
 
 def scan_summary(classified: DataFrame, files: DataFrame) -> DataFrame:
     """One row of counts over a classified listing and the snapshot it was judged against."""
-    counts = classified.agg(
-        F.count("*").alias("total_found"),
-        F.count_if(F.col("action") == "new").alias("new_files"),
-        F.count_if(F.col("action") == "modified").alias("modified_files"),
-        F.count_if(F.col("action") == "skip").alias("skipped_files"),
-        F.count_if(F.col("action") == "reuse").alias("reused_files"),
-        F.count_if(F.col("file_type") == "image").alias("images_count"),
-        F.count_if(F.col("file_type") == "video").alias("videos_count"),
+    gone = removed_files(files, classified).select(F.lit("deleted").alias("action"), F.lit(None).cast("string").alias("file_type"))
+    rows = classified.select("action", "file_type").unionByName(gone)
+
+    def count(name: str, value: str) -> Column:
+        return F.count_if(F.col(name) == value)
+
+    return rows.agg(
+        F.count_if(F.col("action") != "deleted").alias("total_found"),
+        count("action", "new").alias("new_files"),
+        count("action", "modified").alias("modified_files"),
+        count("action", "skip").alias("skipped_files"),
+        count("action", "reuse").alias("reused_files"),
+        count("file_type", "image").alias("images_count"),
+        count("file_type", "video").alias("videos_count"),
+        count("action", "deleted").alias("deleted_files"),
     )
-    deleted = removed_files(files, classified).agg(F.count("*").alias("deleted_files"))
-    return counts.join(deleted, F.lit(True))
 
 
 # --- reads --------------------------------------------------------------------------------------
