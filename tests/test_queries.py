@@ -3,10 +3,10 @@
 import pytest
 from compare import compare, connect
 
-import __spark_entry__ as contract
+from reelmill.plans.oracle import ORACLE as SQL
+from reelmill.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
