@@ -124,3 +124,14 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20
         wanted = max(rows, 2 * count)
     if held and count:
         yield pa.concat_tables(held).combine_chunks()
+
+
+def distinct_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``keys`` with one row of each run of equal keys."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+        yield batch.filter(pa.array([a != b for a, b in zip([last, *rows], rows)]))
+        last = rows[-1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import near_dups, packing
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,9 @@ def tokenizer_files() -> tuple[str, str]:
 @query("op6_best_fit_packing")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), *tokenizer_files(), capacity=1024, end_id=2)
+
+
+@query("op7_minhash_near_dedup")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, folder, "documents"), words=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
