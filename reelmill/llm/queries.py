@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups, packing
+from . import near_dups, packing, repeats
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dups.near_duplicates(table(spark, folder, "documents"), words=5, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_suffix_array_dedup")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"), length=200)
