@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups, packing, repeats
+from . import near_dups, packing, pivot_index, repeats
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,24 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"), length=200)
+
+
+@query("op9_pivot_top_k")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_index.top_k(table(spark, folder, "embeddings"), every=50, k=5, scale=256.0)
+
+
+CORPUS_ORACLE["op9_pivot_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+  select q.vec_id query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) score
+  from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank, vec_id, score
+  from scored
+)
+select * from ranked where rank <= 5
+"""
