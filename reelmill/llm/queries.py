@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dups, packing, pivot_index, repeats
+from . import language, near_dups, packing, pivot_index, quality, repeats
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,25 @@ with v as (
 )
 select * from ranked where rank <= 5
 """
+
+
+def fold(parts: int):
+    """crc32 of doc_id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@query("op3_language_id")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    filters = language.fit_filters(docs, fold(4) != 2)
+    held = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
+    return language.identify(docs, filters).select("doc_id", held, "lang_pred", "score")
+
+
+@query("op5_quality_classifier")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"), fold(5) != 0)
+    held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
+    scored = quality.score(docs, model).withColumnRenamed("__score", "score")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
