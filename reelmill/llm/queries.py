@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near_dups, packing, pivot_index, quality, repeats
+from . import decontaminate, language, near_dups, packing, pivot_index, quality, repeats
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,35 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
     scored = quality.score(docs, model).withColumnRenamed("__score", "score")
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_positional_decontamination")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contamination(docs, items, window=13, share=20).drop("row")
+
+
+CORPUS_ORACLE["op8_positional_decontamination"] = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') w from documents
+), i as (
+  select cast(item_id as varchar) item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') w from benchmark
+), windows as (
+  select distinct item_id, list_slice(w, p + 1, p + 13) words from (select item_id, w, unnest(range(greatest(len(w) - 13, 0) + 1)) p from i where len(w) > 0)
+), sizes as (select distinct len(words) size from windows),
+starts as (
+  select doc_id, size, list_slice(w, p + 1, p + size) words, p from (
+    select doc_id, w, size, unnest(range(len(w) - size + 1)) p from d, sizes where len(w) >= size)
+), hits as (
+  select doc_id, p, size, item_id from starts join windows using (words)
+), covered as (
+  select doc_id, count(distinct p + k) n_hit from (select doc_id, p, unnest(range(size)) k from (select distinct doc_id, p, size from hits)) group by 1
+), named as (
+  select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items from (select distinct doc_id, item_id from hits) group by 1
+)
+select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join covered using (doc_id) left join named using (doc_id)
+"""
