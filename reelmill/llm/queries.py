@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dups, packing, pivot_index, quality, repeats
+from . import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0)
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join covered using (doc_id) left join named using (doc_id)
 """
+
+
+@query("op10_pii_sanitisation")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_report(table(spark, folder, "documents"))
