@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats
+from . import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, urls
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,19 @@ from d left join covered using (doc_id) left join named using (doc_id)
 @query("op10_pii_sanitisation")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_report(table(spark, folder, "documents"))
+
+
+#: The given rules: host, path, action.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query("op4_url_filter")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
