@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, urls
+from . import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, secrets, urls
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ URL_RULES = (
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return urls.judge_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
+
+
+@query("op2_secret_scan")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, folder, "documents"))
