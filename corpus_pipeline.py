@@ -1,17 +1,72 @@
-"""A training corpus in five stages; each works on all rows that the stage before it kept."""
+"""A training corpus in five stages: quality, near duplicates, benchmark contamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns a DataFrame; all but the last return the
+columns of ``docs``. Null and empty texts pass through all filters that have nothing against them; packing gives
+them one piece. Of equal rows with words one stays. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from reelmill.llm import decontaminate, near_dups, packing, personal, quality
+from reelmill.llm.common import row_key, stored, table
+from reelmill.llm.queries import tokenizer_files
+
+QUALITY_LEAST, SHINGLE_WORDS, NEAR_PERCENT, WINDOW_WORDS, HIT_SHARE, SEQUENCE_TOKENS, END_TOKEN = 0.3, 5, 85, 13, 20, 1024, 2
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the positive-unlabelled scorer accepts; it learns from all trusted positives among ``docs``."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
+    return quality.score(docs, model, docs.columns).where(F.col("__score") >= QUALITY_LEAST).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component, that of the smallest doc_id."""
+    found = near_dups.near_duplicates(docs, SHINGLE_WORDS, NEAR_PERCENT)
+    keep = found.where("is_first").select(F.col("row").alias("__row"), (F.col("n_shingles") > 0).alias("__linked")).distinct()
+    joined = docs.withColumn("__row", row_key("doc_id", "text")).join(keep, "__row")
+    number = F.row_number().over(Window.partitionBy("__row").orderBy("__linked"))
+    return joined.withColumn("__number", number).where("__number = 1 or not __linked").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the contamination rule leaves."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), WINDOW_WORDS, HIT_SHARE)
+    gone = found.where("contaminated").select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", row_key("doc_id", "text")).join(gone, "__row", "left_anti").select(*docs.columns)
+
+
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked; n_chars follows the text."""
+    clean = personal.sanitise(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return clean.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents and their places in sequences."""
+    return packing.pack(docs, *tokenizer_files(), capacity=SEQUENCE_TOKENS, end_id=END_TOKEN)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("minhash_near_dedup", without_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("pii", sanitised),
+    ("best_fit_packing", packed),
+]
 
-#: The stages hold trained models, hash forests and a tokenizer: SQL can't express them.
+#: The stages hold a trained model, hash forests and a tokenizer: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result is written to the shared folder and read back by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -216,7 +216,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, num: int, d
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, row, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    """doc_id, row, n_shingles, component_id, kept and is_first (one row key of each component) for each row of ``docs``."""
     sketches = stored(sketch(docs, words), "sketches")
     sets = stored(
         sketches.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("row"), F.min("signature").alias("signature")), "sets"
@@ -229,7 +229,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     links = stored(confirmed_links(docs, members, words, percent, 100), "links")
     linked = connected_components(links).select(F.col("node").alias("set_key"), "component")
     placed = sketches.join(linked, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    least = placed.where("set_key is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    least = placed.where("set_key is not null").groupBy("component").agg(first.alias("first"))
     return placed.join(least, "component", "left").select(
-        "doc_id", "row", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id")
+        "doc_id", "row", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("is_first"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -183,16 +183,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = find_personal(docs).select(F.col("row").alias("__row"), F.concat("spans", "added").alias("__spans")).where(F.size("__spans") > 0)
     keyed = docs.withColumn("__row", row_key("doc_id", "text")).join(found.dropDuplicates(["__row"]), "__row", "left")
     at = docs.columns.index("text") + 1
-    names = keyed.columns
+    own, last = docs.columns, len(keyed.columns) - 1
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names) - 1).to_pylist()):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
                 texts.append(masked(text, [(s["kind"], s["begin"], s["end"]) for s in spans]) if spans and text else text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns[1:-1], docs.columns)
+            yield pa.RecordBatch.from_arrays(columns[1:-1], own)
 
     return keyed.mapInArrow(mask, docs.withColumn("text", F.col("text").cast("string")).schema)
 

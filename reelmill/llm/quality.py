@@ -163,11 +163,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, training: Column, sample_doc
 def score(docs: DataFrame, model: QualityModel | None, columns: list[str] | None = None) -> DataFrame:
     """Each row's doc_id (or ``columns``) and its score."""
     names = columns or ["doc_id"]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], *([] if "text" in names else ["text"]))
+    at = source.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = text_buffer(batch.column(len(names)))
+            data, starts = text_buffer(batch.column(at))
             for first, last in row_steps(starts):
                 n = last - first
                 found = np.full(n, 0.5) if model is None else model.scores(features(data, starts[first : last + 1]))
