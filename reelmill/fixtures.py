@@ -60,7 +60,7 @@ class Media:
         taken = events.select(F.col("event_id").alias("file_id"), (F.lit(EPOCH_2024) + (epoch("ts") - F.lit(EPOCH_2024)) * 10).alias("taken"))
         values = events.select(F.col("event_id").alias("vec_id"), "value")
         x = [F.element_at("embedding", i).cast("double") for i in (1, 2, 3)]
-        raw = base.join(taken, "file_id").join(values, "vec_id").select(
+        raw = base.join(taken, "file_id", "left").join(values, "vec_id", "left").select(
             "vec_id",
             F.col("embedding").alias("vector"),
             "label",
@@ -170,8 +170,9 @@ class Media:
 
     @cached_property
     def filled(self) -> DataFrame:
-        """The first segments of the draft, filled to the target."""
-        return cut(autofill(self.deduped.filter("seq < 9"), self.ranked, self.jobs))
+        """The whole draft, filled to a long target."""
+        jobs = self.jobs.withColumn("target_duration", F.col("target_duration") * 60)
+        return cut(autofill(self.deduped, self.ranked, jobs))
 
     @cached_property
     def media_files(self) -> DataFrame:
@@ -192,8 +193,8 @@ class Media:
     def _documents(self) -> DataFrame:
         kinds = F.array(F.lit(".jpg"), F.lit(".png"), F.lit(".mp4"), F.lit(".mov"))
         kind = F.element_at(kinds, (F.col("doc_id") % 4).cast("int") + 1)
-        times = self.table("events").select(F.col("event_id").alias("_e"), epoch("ts").alias("mtime"))
-        docs = self.table("documents").withColumn("_e", F.col("doc_id") % 1000).join(times, "_e")
+        mtime = F.lit(1.7e9) + F.col("doc_id") * 61 + F.col("n_chars")
+        docs = self.table("documents").withColumn("mtime", mtime)
         return docs.select(
             "doc_id",
             F.concat(F.lit("/media/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), kind).alias("file_path"),

@@ -6,9 +6,9 @@ import numpy as np
 
 
 def grey_of(pixels: np.ndarray) -> np.ndarray:
-    """Luma without rounding to 8 bits."""
+    """Luma in whole grey levels."""
     rgb = pixels.astype(np.float64)
-    return 0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2]
+    return np.floor(0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2] + 0.5)
 
 
 def sharpness(pixels: np.ndarray) -> float:

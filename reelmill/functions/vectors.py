@@ -11,11 +11,14 @@ from pyspark.sql.functions import arrow_udf
 
 
 def matrix_of(column: pa.Array, dim: int | None = None) -> np.ndarray:
-    """A list column without nulls as a float64 matrix."""
+    """A list column without nulls as a float64 matrix; rows of unequal length are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, dim or 0))
+    lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1 or (dim is not None and lengths[0] != dim):
+        raise ValueError(f"Vectors have lengths {lengths.tolist()[:5]}, expected {dim or 'one length'}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

@@ -48,7 +48,7 @@ def capture_time(tags: DataFrame, names: Sequence[str] = ("datetime_original", "
         text = F.trim(tag)
         reads = [F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS]
         if literal_z_is_utc:
-            reads[4] = F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"), F.lit(DATE_PATTERNS[5]))
+            reads[4] = F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"), F.lit(DATE_PATTERNS[-1]))
         seconds = F.unix_micros(F.coalesce(*reads)) / F.lit(1e6)
         return F.when(seconds != 0, seconds)
 
@@ -289,8 +289,13 @@ def workspace_info(files: DataFrame, points: DataFrame) -> DataFrame:
 def update_status(files: DataFrame, changes: DataFrame, now: Column | None = None, check: bool = True) -> DataFrame:
     """Set status and error message by id; an unknown id is an error.
 
-    ``changes``: ``id``, ``status`` and optionally ``error_message``.
+    ``changes``: ``id``, ``status`` and optionally ``error_message``. Of several changes of an id the last by ``changed_at``
+    counts, or any one if there is no such column.
     """
+    if "changed_at" in changes.columns:
+        changes = first_row(changes, ["id"], [F.desc("changed_at"), F.desc("status")])
+    else:
+        changes = changes.dropDuplicates(["id"])
     if check:
         unknown = changes.join(files.select("id"), "id", "left_anti").select("id").limit(5).collect()
         if unknown:

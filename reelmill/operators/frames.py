@@ -211,20 +211,31 @@ def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None =
     """One row per (file, scene): unit mean vector, mean scores (missing 0.5), first frame's bounds.
 
     All sums combine map-side, so a scene that holds very many frames costs one row per task. The score
-    keys of a scene are those of its first frame, unless ``score_keys`` fixes them.
+    keys of a scene are those of its first frame that has any, unless ``score_keys`` fixes them; frames without scores don't count.
     """
     scene_rows = frames.filter((F.col("file_type") == "video") & F.col("scene_id").isNotNull())
-    first = F.min_by(
-        F.struct("scene_start", "scene_end", "file_path", "creation_timestamp", "duration_seconds", F.map_keys("scores").alias("keys")),
-        F.struct("frame_index", "point_id"),
-    )
-    keys = list(score_keys or ("nima_aesthetic", "sharpness", "colorfulness", "contrast", "technical_composite", "epic_composite"))
-    means = [F.avg(F.coalesce(F.try_element_at("scores", F.lit(k)), F.lit(MISSING_SCORE))).alias(f"_m_{k}") for k in keys]
+    order = F.struct("frame_index", "point_id")
+    first = F.min_by(F.struct("scene_start", "scene_end", "file_path", "creation_timestamp", "duration_seconds"), order)
+    scored = F.size("scores") > 0
     grouped = scene_rows.groupBy("file_id", "scene_id").agg(
-        Summarizer.mean(array_to_vector(F.col("vector"))).alias("_mean"), first.alias("_first"), F.count("*").alias("scene_frame_count"), *means
+        Summarizer.mean(array_to_vector(F.col("vector"))).alias("_mean"), first.alias("_first"), F.count("*").alias("scene_frame_count"),
+        F.min_by(F.when(scored, F.map_keys("scores")), F.when(scored, order)).alias("_keys"), F.sum(scored.cast("int")).alias("_scored"),
+    )
+    # per key: what scored frames hold, and MISSING_SCORE for those without it
+    sums = scene_rows.select("file_id", "scene_id", F.explode("scores").alias("k", "v")).groupBy("file_id", "scene_id", "k").agg(
+        F.sum(F.coalesce("v", F.lit(MISSING_SCORE))).alias("s"), F.count("*").alias("n")
     )
-    entries = F.map_from_entries(F.array(*[F.struct(F.lit(k), round_to(F.col(f"_m_{k}"), 4)) for k in keys]))
-    kept = F.map_filter(entries, lambda k, v: F.array_contains("_first.keys", k)) if score_keys is None else entries
+    maps = sums.groupBy("file_id", "scene_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("s", "n")))).alias("_sums"))
+    grouped = grouped.join(maps, ["file_id", "scene_id"], "left")
+    wanted = F.col("_keys") if score_keys is None else F.array(*[F.lit(k) for k in score_keys])
+
+    def mean(k: Column) -> Column:
+        held = F.try_element_at("_sums", k)
+        total = F.coalesce(held["s"], F.lit(0.0)) + F.lit(MISSING_SCORE) * (F.col("_scored") - F.coalesce(held["n"], F.lit(0)))
+        return round_to(F.when(F.col("_scored") > 0, total / F.col("_scored")).otherwise(F.lit(MISSING_SCORE)), 4)
+
+    empty = F.create_map().cast("map<string,double>")
+    kept = F.coalesce(F.map_from_entries(F.transform(wanted, lambda k: F.struct(k, mean(k)))), empty)
     offset = F.coalesce(F.col("_first.scene_start"), F.lit(0.0))
     path = F.col("_first.file_path")
     return grouped.select(

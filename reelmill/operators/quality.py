@@ -54,7 +54,7 @@ def measure_frames(frames: DataFrame, pixels: str = "pixels", height: str = "h",
 
 
 def _grey() -> Column:
-    return F.lit(0.299) * F.col("r") + F.lit(0.587) * F.col("g") + F.lit(0.114) * F.col("b")
+    return F.floor(F.lit(0.299) * F.col("r") + F.lit(0.587) * F.col("g") + F.lit(0.114) * F.col("b") + F.lit(0.5)).cast("double")
 
 
 def measure_pixels(pixels: DataFrame) -> DataFrame:

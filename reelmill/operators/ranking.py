@@ -13,7 +13,6 @@ from ..functions.vectors import dot
 from ..schemas import (
     DEFAULT_SIGNALS,
     FALLBACK_CANDIDATES,
-    MAX_QUERIES,
     MIN_SCORE,
     MISSING_SCORE,
     PRESETS,
@@ -35,17 +34,11 @@ SCENE_PASS, FRAME_PASS = 0, 1
 def retrieve(points: DataFrame, queries: DataFrame, mode: str = "dual", k: int = 15, keys: Sequence[str] = ("job_id",)) -> DataFrame:
     """Scene and/or frame pass of every query; ``seq`` is the order in which a hit is seen.
 
-    A job asks at most ``MAX_QUERIES`` queries, which is checked here: it bounds the candidates per job
-    that every later step orders by window.
-
     ``queries``: keys, query_idx, query_vector. Both passes read only their own granularity.
     """
     if mode not in ("scene", "frame", "dual"):
         raise ValueError(f"Unknown retrieval mode {mode!r}")
-    crowded = queries.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > MAX_QUERIES)
-    if not crowded.isEmpty():
-        raise ValueError(f"A job may ask at most {MAX_QUERIES} queries")
-    scenes = filter_points(points, is_scene_representative=True).withColumn("pass", F.lit(SCENE_PASS))
+    scenes = filter_points(points, granularity="scene", is_scene_representative=True).withColumn("pass", F.lit(SCENE_PASS))
     single = filter_points(points, granularity="frame").withColumn("pass", F.lit(FRAME_PASS))
     sides = {"scene": scenes, "frame": single, "dual": scenes.unionByName(single)}
     hits = search_many(sides[mode], queries, k, query_keys=[*keys, "query_idx"], per="pass")
@@ -174,7 +167,7 @@ def candidate_order() -> list[Column]:
 def min_score_filter(cands: DataFrame, keys: Sequence[str] = ("job_id",), floor: float = MIN_SCORE) -> DataFrame:
     """Drop low scores; a key that would lose everything keeps its first ten.
 
-    A key holds at most ``MAX_QUERIES`` times two passes of hits, so one window per key is small.
+    A key holds the hits of its queries in two passes; a very large job sorts and spills.
     """
     whole = W.partitionBy(*keys)
     passes = F.col("score") >= floor

@@ -146,11 +146,12 @@ def get_point(points: DataFrame, point_id: str) -> DataFrame:
     return with_payload_defaults(points.filter(F.col("point_id") == point_id)).withColumn("score", F.lit(1.0))
 
 
-def points_by_file(points: DataFrame, path: str, limit: int = 1000) -> DataFrame:
-    """Points of one file by offset, scenes before frames; the read is limited as the store's page is."""
+def points_by_file(points: DataFrame, path: str, limit: int | None = None) -> DataFrame:
+    """Points of one file by offset, scenes before frames; ``limit`` keeps the first page, if given."""
     order = ["source_offset", F.when(F.col("granularity") == "scene", 0).otherwise(1), "frame_index", "point_id"]
     found = with_payload_defaults(points.drop("vector").filter(F.col("file_path") == path))
-    return found.orderBy(*order).limit(limit).withColumn("score", F.lit(1.0))
+    ordered = found.orderBy(*order)
+    return (ordered if limit is None else ordered.limit(limit)).withColumn("score", F.lit(1.0))
 
 
 def scene_list(points: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def scene_list(points: DataFrame) -> DataFrame:
 
 
 def frame_list(points: DataFrame) -> DataFrame:
-    return points.filter(F.col("granularity") != "scene").select("file_path", "point_id", "frame_index", "source_offset", "scene_id")
+    return points.filter(F.coalesce("granularity", F.lit("frame")) != "scene").select("file_path", "point_id", "frame_index", "source_offset", "scene_id")
 
 
 def scene_breakdown(points: DataFrame) -> DataFrame:
@@ -192,9 +193,11 @@ def scene_breakdown(points: DataFrame) -> DataFrame:
 
 
 def upsert_points(points: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
-    """Points by id, the new row wins; among new rows of one id the last in ``order`` wins."""
+    """Points by id, the new row wins; among new rows of one id the last in ``order``, or any one without an order."""
     if order is not None:
         new = first_row(new, ["point_id"], [F.desc(order)]).drop(order)
+    else:
+        new = new.dropDuplicates(["point_id"])
     kept = points.join(new.select("point_id"), "point_id", "left_anti")
     return kept.unionByName(new)
 

@@ -18,8 +18,6 @@ from ..schemas import (
     APPROVAL_SCORE,
     FALLBACK_CANDIDATES,
     IMAGE_SECONDS,
-    MAX_ITERATIONS,
-    MAX_TARGET_SECONDS,
     MIN_SCORE,
     VIDEO_SECONDS,
     VIDEO_SECONDS_RANGE,
@@ -31,11 +29,6 @@ DEFAULT_SECONDS = 3.0
 ORDER_SLICE = 4096
 
 
-def segments_needed(max_target: int, shortest: float) -> int:
-    """More segments than this never fit below the longest target."""
-    return int(max_target // shortest) + 1
-
-
 def check_one_time_per_file(cands: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
     """Files with two capture times; must be empty for the selection to equal the sequential rule."""
     times = cands.groupBy(*keys, "file_path").agg(F.count_distinct(F.coalesce("creation_timestamp", F.lit(0.0))).alias("times"))
@@ -208,8 +201,7 @@ DRAFT_COLUMNS = (
 )
 
 
-def autofill(draft: DataFrame, cands: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("job_id",),
-             max_target: int = MAX_TARGET_SECONDS) -> DataFrame:
+def autofill(draft: DataFrame, cands: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
     """A draft below its target takes unused files in rank order (``place``) until it reaches it.
 
     ``jobs``: keys and ``target_duration``; a job without any draft row is filled from nothing.
@@ -217,7 +209,7 @@ def autofill(draft: DataFrame, cands: DataFrame, jobs: DataFrame, keys: Sequence
     used = draft.groupBy(*keys).agg(F.sum(millis(_seconds())).alias("_used"), F.max("seq").alias("_last"))
     unused = cands.join(draft.select(*keys, "file_path"), [*keys, "file_path"], "left_anti")
     per_file = first_row(unused, [*keys, "file_path"], [F.asc("place")])
-    leading = top_n(per_file, keys, [F.asc("place")], segments_needed(max_target, IMAGE_SECONDS), "_n")
+    leading = per_file.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("place")))
     earlier = W.partitionBy(*keys).orderBy("_n").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum(_clip_millis(True)).over(earlier), F.lit(0))
     timed = with_segment(leading, segment_seconds(True), keep_image_offset=True).withColumn("_before", before)
@@ -328,12 +320,12 @@ def editor_notes(scored: DataFrame, critic: str | None = None) -> DataFrame:
     return scored.withColumn("note", note).withColumn("approved", ok)
 
 
-def best_draft(scored: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
+def best_draft(scored: DataFrame, keys: Sequence[str] = ("job_id",), max_iterations: int | None = None) -> DataFrame:
     """The iteration a job ends with: the best score so far, a later equal one wins.
 
-    An empty storyboard never holds the place. At most ``MAX_ITERATIONS`` rows per key are folded.
+    An empty storyboard never holds the place. ``max_iterations`` leaves later ones out, if given.
     """
-    tried = scored.filter(F.col("iteration") <= MAX_ITERATIONS)
+    tried = scored if max_iterations is None else scored.filter(F.col("iteration") <= max_iterations)
     item = F.struct("iteration", "composite_score", "segments")
     ordered = F.sort_array(F.collect_list(item))
     start = F.struct(F.lit(0).alias("iteration"), F.lit(0.0).alias("composite_score"), F.lit(0).cast("long").alias("segments"))
@@ -376,7 +368,7 @@ def bucket_quota(points: DataFrame, queries: DataFrame, target: int, floor: floa
                  keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """Hits per time bucket above the floor, with the seconds each bucket may fill.
 
-    ``min(10, max(5, target // 15))`` half-open buckets over the collection's time span. A query without
+    ``min(10, max(5, target // 15))`` buckets over the collection's time span, the last one closed. A query without
     any hit yields one row with ``zero_matches`` set.
     """
 
@@ -391,7 +383,7 @@ def bucket_quota(points: DataFrame, queries: DataFrame, target: int, floor: floa
     inner = F.lit(0)
     for i in range(1, count):
         inner = inner + (F.col("creation_timestamp") >= F.lit(low + i * width)).cast("int")
-    timed = points.filter((F.col("creation_timestamp") >= F.lit(low)) & (F.col("creation_timestamp") < F.lit(span["high"])))
+    timed = points.filter((F.col("creation_timestamp") >= F.lit(low)) & (F.col("creation_timestamp") <= F.lit(span["high"])))
     hits = search_many(
         timed.withColumn("bucket", inner), queries, per_bucket, query_keys=list(keys), score_threshold=floor,
         payload=["point_id", "bucket"], per="bucket",

@@ -47,7 +47,7 @@ CTES: dict[str, str] = {
         case when b.vec_id % 19 = 0 then null else least(abs(cast(embedding[1] as double)) * 4, cast(1 as double)) end as sharp,
         least(abs(cast(embedding[2] as double)) * 4, cast(1 as double)) as cont,
         least(abs(cast(embedding[3] as double)) * 4, cast(1 as double)) as color
-        from base b join events ev on ev.event_id = b.file_id join events v on v.event_id = b.vec_id""",
+        from base b left join events ev on ev.event_id = b.file_id left join events v on v.event_id = b.vec_id""",
     "frames": f"""select * exclude (sharp, cont, color), {rnd('sharp',4)} as sharpness, {rnd('cont',4)} as contrast, {rnd('color',4)} as colorfulness,
         {rnd('0.50*sharp + 0.15*color + 0.35*cont',4)} as technical_composite,
         md5(concat_ws('|', file_path, 'frame', cast({ms('source_offset')} as varchar), '-')) as point_id from raw_frames""",
@@ -108,7 +108,7 @@ CTES: dict[str, str] = {
         from (select *, row_number() over (partition by job_id, file_path order by seq) n from draft) d
         join (select *, row_number() over (partition by job_id, file_path order by place desc) n from ranked) c
           on c.job_id = d.job_id and c.file_path = d.file_path and c.n = 1 where d.n = 1""",
-    "kept_draft": "select * from deduped where seq < 9",
+    "kept_draft": "select * from deduped",
     "unused": """select c.* from (select *, row_number() over (partition by job_id, file_path order by place) n from ranked) c
           where n = 1 and not exists (select 1 from kept_draft d where d.job_id = c.job_id and d.file_path = c.file_path)""",
     "timed": """select *, case when file_type='video' then 4000 else 2500 end as len,
@@ -121,7 +121,7 @@ CTES: dict[str, str] = {
           case when a.file_type='video' then 'video_clip' else 'image' end, a.score, a.composite_rank, a.creation_timestamp, a.nima_aesthetic
         from added a join jobs j using (job_id) left join (
           select job_id, sum({ms('duration')}) as used_ms, max(seq) as last_seq from kept_draft group by 1) u using (job_id)
-        where coalesce(u.used_ms, 0) + a.before_ms < j.target_duration * 1000""",
+        where coalesce(u.used_ms, 0) + a.before_ms < j.target_duration * 60000""",
     "tries": "select f.*, i.i as iteration from filled f, (values (1), (2), (3)) i(i) where f.seq % (i.i + 1) <> 0",
     "parts": """select job_id, iteration, sum(cast(floor(duration*1000.0+0.5) as bigint)) / 1000.0::double as total_duration, stddev_pop(duration) as std,
           avg(coalesce(nima_aesthetic, 0.5)) as nima, avg(coalesce(nullif(similarity_score,0), 0.10)) as rel,
@@ -155,9 +155,9 @@ CTES: dict[str, str] = {
         union all select job_id, file_path, file_type, source_offset, creation_timestamp, len, 1000 + m from fill_picks""",
     # catalogue
     "docs": """select doc_id, '/media/' || source || '/' || doc_id || (['.jpg','.png','.mp4','.mov'])[doc_id % 4 + 1] as file_path, n_chars as file_size,
-          case when doc_id % 4 < 2 then 'image' else 'video' end as file_type, md5(text) as content_hash, epoch(e.ts) as mtime,
-          cast(cast(floor(epoch(e.ts) * 1e6 + 0.5) as bigint) as varchar) as micros
-        from documents d join events e on e.event_id = d.doc_id % 1000""",
+          case when doc_id % 4 < 2 then 'image' else 'video' end as file_type, md5(text) as content_hash, 1700000000.0::double + doc_id * 61 + n_chars as mtime,
+          cast((1700000000 + doc_id * 61 + n_chars) * 1000000 as varchar) as micros
+        from documents d""",
     "files": """select doc_id + 1 as id, file_path, md5(file_size || '_' || micros) as file_hash, content_hash, file_size, file_type,
           case when doc_id % 3 = 0 then mtime end as creation_timestamp,
           case when doc_id % 9 = 0 then 'ERROR' when doc_id % 23 = 0 then 'SCANNED' else 'INDEXED' end as status,
@@ -189,7 +189,7 @@ CTES: dict[str, str] = {
           least(255.0, greatest(0.0, floor(128.0 + 400.0 * cast(embedding[(p + 1) % 64 + 1] as double)))) as g,
           least(255.0, greatest(0.0, floor(128.0 + 400.0 * cast(embedding[(p + 2) % 64 + 1] as double)))) as b
         from embeddings, range(0, 64) t(p)""",
-    "greys": "select *, 0.299::double*r + 0.587::double*g + 0.114::double*b as grey, abs(r-g) as rg, abs((r+g)*0.5 - b) as yb from pixels",
+    "greys": "select *, floor(0.299::double*r + 0.587::double*g + 0.114::double*b + 0.5) as grey, abs(r-g) as rg, abs((r+g)*0.5 - b) as yb from pixels",
     "laplacians": """select c.frame_id, var_pop(u.grey + d.grey + l.grey + r.grey - 4 * c.grey) as v from greys c
           join greys u on u.frame_id = c.frame_id and u.x = c.x and u.y = abs(c.y - 1)
           join greys d on d.frame_id = c.frame_id and d.x = c.x and d.y = 7 - abs(7 - (c.y + 1))
@@ -252,9 +252,9 @@ ORACLE_BODIES.update({
     "sniffed_type": """select doc_id, case doc_id % 5 when 0 then 'image' when 1 then 'image' when 2 then 'image' when 3 then 'video'
         else case doc_id % 3 when 0 then 'video' when 1 then 'image' end end as file_type from documents
         where not (doc_id % 5 = 4 and doc_id % 3 = 2)""",
-    "fast_hash": "select doc_id, md5(n_chars || '_' || epoch_us(e.ts)) as file_hash from documents d join events e on e.event_id = d.doc_id % 1000",
+    "fast_hash": "select doc_id, md5(n_chars || '_' || (1700000000 + doc_id * 61 + n_chars) * 1000000) as file_hash from documents",
     "content_hash": "select doc_id, md5(text) as content_hash from documents",
-    "live_photo_pairs": """with named as (select distinct '/m/' || source || '/' || (doc_id // 3) as stem, (['.HEIC','.mov','.jpg','.MOV','.png','.mp4','.txt'])[doc_id % 7 + 1] as ext from documents),
+    "live_photo_pairs": """with named as (select distinct '/m/' || (doc_id // 3) as stem, (['.HEIC','.mov','.jpg','.MOV','.png','.mp4','.txt'])[doc_id % 7 + 1] as ext from documents),
         videos as (select *, row_number() over (partition by stem order by case ext when '.MOV' then 1 when '.mov' then 2 when '.mp4' then 3 else 4 end) n from named where ext in ('.MOV','.mov','.mp4','.MP4'))
         select s.stem || s.ext as still_path, v.stem || v.ext as companion_path from named s join videos v on v.stem = s.stem and v.n = 1
         where lower(s.ext) in ('.heic','.heif','.jpg','.jpeg','.png')""",
@@ -280,7 +280,7 @@ ORACLE_BODIES.update({
           case when f.id is null then 200.0::double else 50.0::double end as scanned_at,
           case when c.action in ('reuse','modified','new') then 200.0::double else 100.0::double end as updated_at
         from classified c left join files f on f.file_path = c.file_path""",
-    "assign_ids": """select count(*) as rows, 100001 as low, 100000 + count(*) as high, count(*) as ids from listing l where not exists (select 1 from files f where f.file_path = l.file_path)""",
+    "assign_ids": """select file_path, true as new_id, cast(1 as bigint) as files_of_id from listing l where not exists (select 1 from files f where f.file_path = l.file_path)""",
     "select_for_processing": "select id, status from files where status <> 'INDEXED'",
     "by_status": "select id, file_path, error_message from files where status = 'ERROR'",
     "lookup": "select id, file_path, 'path' as found_by from files where file_path = '/media/src1/1.png' union all select id, file_path, 'id' from files where id = 4",
@@ -305,7 +305,7 @@ ORACLE_BODIES.update({
         select file_id, changed_at, from_status, status from l2 where from_status is not null and from_status || '>' || status not in ({_edges})""",
     "check_unique": "select content_hash, count(*) as rows from files group by 1 having count(*) > 1",
     "set_meta": """with e as (select cast(user_id as varchar) as key, props as value, cast(event_id as double) as updated_at from events),
-        all_rows as (select *, 0 as fresh from e where updated_at % 10 = 0 union all select *, 1 from e where updated_at % 10 <> 0 and cast(key as integer) % 3 <> 0)
+        all_rows as (select *, 0 as fresh from e where updated_at % 10 = 0 union all select *, 1 from e where updated_at % 10 <> 0)
         select key, value, updated_at from (select *, row_number() over (partition by key order by fresh desc, updated_at desc) n from all_rows) where n = 1""",
     "scan_summary": """select count(*) as total_found, count(*) filter (action = 'new') as new_files, count(*) filter (action = 'modified') as modified_files,
           count(*) filter (action = 'skip') as skipped_files, count(*) filter (action = 'reuse') as reused_files,
@@ -340,8 +340,8 @@ ORACLE_BODIES.update({
     "aesthetic_from_distribution": f"""with p as (select vec_id, list_transform(embedding[1:10], lambda x: exp(cast(x as double) * 8)) as w from embeddings),
         s as (select vec_id, list_sum(w) as total, list_sum(list_transform(range(1, 11), lambda i: w[i] * i)) as weighted from p)
         select vec_id, case when vec_id % 50 = 1 then 0.5 when vec_id % 7 = 0 then 0.4321 else {rnd(clip('(weighted / total - 1.0) / 9.0','0.0','1.0'),4)} end as nima_aesthetic from s""",
-    "epic_composite": f"""select vec_id, {rnd('0.55*nima_aesthetic + 0.45*technical_composite',4)} as epic_composite from frames where nima_aesthetic is not null and technical_composite is not null""",
-    "prompt_text": """select doc_id, case doc_id % 4 when 0 then 'a photo of ' when 1 then 'a video of ' else 'a photo of ' end || lang || ' ' || source as prompt from documents""",
+    "epic_composite": f"""select vec_id, {rnd('0.55*nima_aesthetic + 0.45*technical_composite',4)} as epic_composite from frames""",
+    "prompt_text": """select doc_id, case doc_id % 4 when 0 then 'a photo of ' || rtrim(text, ' ') when 1 then 'a video of ' || rtrim(text, ' ') else 'a photo of ' || trim(text, ' ') end as prompt from documents""",
     "build_points": "select point_id, file_path, granularity, frame_index, source_offset, scene_id, is_scene_representative, scene_frame_count from points",
     "search_topk": _topk("points", "queries", 10, "q.query_id = 3"),
     "search_threshold": _topk("points", "queries", 25, floor="score >= 0.15"),
@@ -430,7 +430,7 @@ ORACLE_BODIES.update({
         s as (select *, sum(o) over (partition by job_id, file_path order by source_offset) - 1 as segment_no from g)
         select job_id, file_path, cast(segment_no as bigint) as segment_no, greatest(0.0, min(source_offset) - 0.5) as start_offset, 3.0::double as duration, count(*) as merged_hits from s group by 1, 2, 3""",
     "bucket_quota": f"""with span as (select min(creation_timestamp) as lo, max(creation_timestamp) as hi from points),
-        b as (select p.*, (select count(*) from range(1, 6) t(i) where p.creation_timestamp >= lo + i * ((hi - lo) / 6)) as bucket from points p, span where creation_timestamp < hi),
+        b as (select p.*, (select count(*) from range(1, 6) t(i) where p.creation_timestamp >= lo + i * ((hi - lo) / 6)) as bucket from points p, span where creation_timestamp <= hi),
         s as (select q.query_id, b.bucket, b.point_id, {rnd(cosine('b.vector','q.query_vector'),8)} as score from b, queries q),
         r as (select *, row_number() over (partition by query_id, bucket order by score desc, point_id) n from s where score >= 0.22)
         select q.query_id, cast(r.bucket as integer) as bucket, r.point_id, r.score, 15.0::double as quota, r.point_id is null as zero_matches from queries q left join (select * from r where n <= 50) r using (query_id)""",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import Media
@@ -54,8 +55,7 @@ def _(m: Media) -> DataFrame:
 
 @query("fast_hash")
 def _(m: Media) -> DataFrame:
-    events = m.table("events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime"))
-    docs = m.table("documents").join(events, F.col("doc_id") % 1000 == F.col("event_id"))
+    docs = m.table("documents").withColumn("mtime", (F.lit(1700000000) + F.col("doc_id") * 61 + F.col("n_chars")) * 1000000)
     return catalog.with_fast_hash(docs, "n_chars", "mtime").select("doc_id", "file_hash")
 
 
@@ -67,7 +67,7 @@ def _(m: Media) -> DataFrame:
 @query("live_photo_pairs")
 def _(m: Media) -> DataFrame:
     kinds = F.array(*[F.lit(s) for s in (".HEIC", ".mov", ".jpg", ".MOV", ".png", ".mp4", ".txt")])
-    name = F.concat(F.lit("/m/"), "source", F.lit("/"), F.floor(F.col("doc_id") / 3).cast("string"))
+    name = F.concat(F.lit("/m/"), F.floor(F.col("doc_id") / 3).cast("string"))
     named = m.table("documents").withColumn("file_path", F.concat(name, F.element_at(kinds, (F.col("doc_id") % 7).cast("int") + 1)))
     return listings.live_photo_pairs(named.select("file_path").distinct())
 
@@ -137,9 +137,7 @@ def _(m: Media) -> DataFrame:
 @query("assign_ids")
 def _(m: Media) -> DataFrame:
     new = m.listing.join(m.files.select("file_path"), "file_path", "left_anti")
-    ids = catalog.assign_ids(new, 100000).agg(F.count("*").alias("rows"), F.min("id").alias("low"), F.max("id").alias("high"),
-                                              F.count_distinct("id").alias("ids"))
-    return ids
+    return catalog.assign_ids(new, 100000).select("file_path", (F.col("id") > 100000).alias("new_id"), F.count("*").over(Window.partitionBy("id")).alias("files_of_id"))
 
 
 @query("select_for_processing")
@@ -213,7 +211,7 @@ def _(m: Media) -> DataFrame:
                                       F.col("event_id").cast("double").alias("updated_at"))
     old, new = events.filter("updated_at % 10 = 0"), events.filter("updated_at % 10 <> 0")
     start = old.groupBy("key").agg(F.max_by("value", "updated_at").alias("value"), F.max("updated_at").alias("updated_at"))
-    return catalog.set_meta(start, new.filter("cast(key as int) % 3 <> 0"))
+    return catalog.set_meta(start, new)
 
 
 @query("scan_summary")
@@ -331,8 +329,7 @@ def _(m: Media) -> DataFrame:
 
 @query("epic_composite")
 def _(m: Media) -> DataFrame:
-    rows = m.frames.filter("nima_aesthetic is not null and technical_composite is not null")
-    return quality.epic_composite(rows).select("vec_id", "epic_composite")
+    return quality.epic_composite(m.frames).select("vec_id", "epic_composite")
 
 
 @query("hash_embed_text")
@@ -343,7 +340,7 @@ def _(m: Media) -> DataFrame:
 
 @query("prompt_text")
 def _(m: Media) -> DataFrame:
-    text = F.concat(F.when(F.col("doc_id") % 4 == 0, "  a photo of ").when(F.col("doc_id") % 4 == 1, "a video of ").otherwise(" "), "lang", F.lit(" "), "source")
+    text = F.concat(F.when(F.col("doc_id") % 4 == 0, "  a photo of ").when(F.col("doc_id") % 4 == 1, "a video of ").otherwise(" "), "text")
     return m.table("documents").select("doc_id", quality.prompt_text(text).alias("prompt"))
 
 
@@ -406,9 +403,8 @@ def _(m: Media) -> DataFrame:
 
 @query("get_point")
 def _(m: Media) -> DataFrame:
-    wanted = m.points.filter("file_path = '/media/v16.mp4' and scene_id = 1 and granularity = 'scene'")
-    scored = search.with_payload_defaults(wanted)
-    return scored.select("point_id", "file_path", "granularity", F.lit(1.0).alias("score"), round_to(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("vector_sum"))
+    key = hashlib.md5(b"/media/v16.mp4|scene|4000|1").hexdigest()
+    return search.get_point(m.points, key).select("point_id", "file_path", "granularity", "score", round_to(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("vector_sum"))
 
 
 @query("points_by_file")
@@ -537,8 +533,8 @@ def _(m: Media) -> DataFrame:
 def _(m: Media) -> DataFrame:
     """Composite of some candidates set to 0, so that they order by their raw score."""
     zeroed = m.composed.withColumn("composite_rank", F.when(F.col("seq") % 5 != 0, F.col("composite_rank")).otherwise(F.lit(0.0)))
-    ranked = ranking.top_n(zeroed, ["job_id"], ranking.candidate_order(), 1000, "place")
-    return ranked.select("job_id", "candidate_key", "place")
+    window = Window.partitionBy("job_id").orderBy(*ranking.candidate_order())
+    return zeroed.withColumn("place", F.row_number().over(window)).select("job_id", "candidate_key", "place")
 
 
 @query("min_score_filter")

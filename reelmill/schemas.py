@@ -204,9 +204,6 @@ MISSING_SCORE = 0.5
 IMAGE_SECONDS = 2.5
 VIDEO_SECONDS = 4.0
 VIDEO_SECONDS_RANGE = (2.0, 6.0)
-MAX_TARGET_SECONDS = 300
-MAX_QUERIES = 20
-MAX_ITERATIONS = 3
 APPROVAL_SCORE = 7.5
 PAN_ZOOM_CYCLE = ("zoom_in", "pan_right", "zoom_out", "pan_left")
 DATE_PATTERNS = (
@@ -216,5 +213,7 @@ DATE_PATTERNS = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss'Z'",
     "yyyy-MM-dd'T'HH:mm:ssXX",
+    "yyyy:MM:dd HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
 )
 PROMPT_PREFIXES = ("a photo of", "a picture of", "a video of")

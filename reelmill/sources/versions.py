@@ -102,10 +102,10 @@ class PointStore:
         if not new.filter(F.size("vector") != wanted).isEmpty():
             raise ValueError(f"Vectors must have dimension {wanted}")
 
-    def upsert(self, new: DataFrame) -> None:
-        """Write points by id, the new row wins; the first vector fixes the dimension."""
+    def upsert(self, new: DataFrame, order: str | None = None) -> None:
+        """Write points by id, the new row wins (the last in ``order``); the first vector fixes the dimension."""
         self._check(new)
-        self.table.write(upsert_points(self.read(), new))
+        self.table.write(upsert_points(self.read(), new, order))
 
     def delete(self, ids: DataFrame) -> None:
         if self.exists():

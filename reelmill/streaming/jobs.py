@@ -64,8 +64,8 @@ def latest_job_state(events: DataFrame, now: float | None = None) -> DataFrame:
 def latest_job_state_stream(events: DataFrame, watermark: str = "1 minute") -> DataFrame:
     """The same over a stream: a row per job and change, and one with ``needs_check`` after 15 s of silence.
 
-    The state per job is one row; it is dropped when the job ends. Late rows beyond the watermark are
-    dropped by Spark and counted in the query's progress.
+    The state per job is one row; it is dropped when the watermark has passed the job's end. Late rows beyond the
+    watermark are dropped by Spark and counted in the query's progress.
     """
     output = "job_id string, status string, stage string, progress_pct double, timestamp double, event_no long, needs_check boolean"
     state = "status string, stage string, progress_pct double, timestamp double, event_no long"
@@ -74,10 +74,13 @@ def latest_job_state_stream(events: DataFrame, watermark: str = "1 minute") -> D
         columns = ["job_id", "status", "stage", "progress_pct", "timestamp", "event_no", "needs_check"]
         if handle.hasTimedOut:
             status, stage, pct, at, number = handle.get
+            if status in TERMINAL.values():
+                handle.remove()  # no older event can come any more
+                return
             handle.setTimeoutTimestamp(handle.getCurrentWatermarkMs() + SILENCE_SECONDS * 1000)
             yield pd.DataFrame([(key[0], status, stage, pct, at, number, True)], columns=columns)
             return
-        best = handle.get if handle.exists else None
+        best = before = handle.get if handle.exists else None
         for batch in batches:
             top = batch.sort_values(["timestamp", "event_no"]).iloc[-1]
             seen = (top["status"], top["stage"], float(top["progress_pct"]), float(top["timestamp"]), int(top["event_no"]))
@@ -85,13 +88,12 @@ def latest_job_state_stream(events: DataFrame, watermark: str = "1 minute") -> D
                 best = seen
         if best is None:
             return
-        if best[0] in TERMINAL.values():
-            if handle.exists:
-                handle.remove()
-        else:
-            handle.update(best)
-            due = int(best[3] * 1000) + SILENCE_SECONDS * 1000
-            handle.setTimeoutTimestamp(max(due, handle.getCurrentWatermarkMs() + 1))
+        handle.update(best)
+        # an ended job stays known until the watermark has passed its end, so a late event can't open it again
+        wait = 1 if best[0] in TERMINAL.values() else SILENCE_SECONDS * 1000
+        handle.setTimeoutTimestamp(max(int(best[3] * 1000) + wait, handle.getCurrentWatermarkMs() + 1))
+        if before is not None and tuple(before) == best:
+            return
         yield pd.DataFrame([(key[0], *best, False)], columns=columns)
 
     def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

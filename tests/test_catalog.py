@@ -89,3 +89,16 @@ def test_dates(spark):
         "datetime_original string, datetime_digitized string, datetime string").withColumn("filesystem_time", F.lit(7.0))
     got = [(r.creation_timestamp, r.timestamp_source) for r in catalog.capture_time(tags).collect()]
     assert got == [(1755268200.0, "exif"), (1755261000.0, "exif"), (1755268200.0, "exif"), (7.0, "filesystem")]
+
+
+def test_capture_times_with_offsets(spark):
+    tags = ["2025:08:15 14:30:00+05:30", "2025-08-15T14:30:00+05:30", "2025:08:15 14:30:00+0530", "2025-08-15T09:00:00Z"]
+    df = spark.createDataFrame([(t, None, None, 1.0) for t in tags], "datetime_original string, datetime_digitized string, datetime string, filesystem_time double")
+    assert {r.creation_timestamp for r in catalog.capture_time(df).collect()} == {1755248400.0}
+
+
+def test_several_changes_of_one_file(spark):
+    files = spark.createDataFrame([(1, "A", None), (2, "B", None)], "id long, status string, error_message string")
+    changes = spark.createDataFrame([(1, "X", 1.0), (1, "Y", 2.0)], "id long, status string, changed_at double")
+    assert sorted((r.id, r.status) for r in catalog.update_status(files, changes).collect()) == [(1, "Y"), (2, "B")]
+    assert catalog.update_status(files, changes.drop("changed_at")).count() == 2

@@ -70,6 +70,16 @@ def test_tagging_prefers_the_earlier_scene_and_falls_back(spark):
     assert got == {(1, 4.0): 0, (1, 4.1): 1, (1, 7.0): 0, (2, 1.0): None}
 
 
+def test_scene_scores_keep_open_keys(spark):
+    """Keys come from the first frame that has any; a scored frame without a key counts 0.5, one without scores not at all."""
+    scores = [{}, {"new_score": 0.8, "sharpness": 0.9}, {"sharpness": 0.5, "new_score": 0.8}, {}, {"contrast": 0.1, "sharpness": 0.7, "new_score": 0.8}]
+    rows = [(f"p{i}", "/v.mp4", 1, "video", 10.0, 8.0, i, float(i), 0, 0.0, 4.0, [1.0, 0.0], s) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "point_id string, file_path string, file_id long, file_type string, creation_timestamp double, duration_seconds double, "
+                               "frame_index int, source_offset double, scene_id int, scene_start double, scene_end double, vector array<float>, scores map<string,double>")
+    assert frames.scene_representatives(df).first().scores == {"new_score": 0.8, "sharpness": 0.7}
+    assert frames.scene_representatives(df, ["contrast"]).first().scores == {"contrast": 0.3667}
+
+
 def test_scene_point_counts_and_means(spark):
     row = ("v", "/v.mp4", 1, "video", 10.0, 8.0)
     rows = [(f"p{i}", *row, i, float(i), 0, 0.0, 4.0, [1.0, 0.0] if i else [0.0, 1.0], {"sharpness": 0.2} if i == 0 else {}) for i in range(3)]
@@ -78,7 +88,7 @@ def test_scene_point_counts_and_means(spark):
     points = frames.build_points(df)
     assert points.filter("granularity = 'frame'").count() == 3
     scene = points.filter("granularity = 'scene'").collect()
-    assert len(scene) == 1 and scene[0].scene_frame_count == 3 and scene[0].scores == {"sharpness": 0.4}
+    assert len(scene) == 1 and scene[0].scene_frame_count == 3 and scene[0].scores == {"sharpness": 0.2}
     assert abs(np.linalg.norm(scene[0].vector) - 1) < 1e-6 and scene[0].frame_index == -1
 
 

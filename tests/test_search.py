@@ -97,3 +97,21 @@ def test_near_duplicates_in_a_hot_group(spark):
     for i, (_, name, _, score) in enumerate(items):
         better = [k for k, o in enumerate(items) if (-o[3], o[1]) < (-score, name)]
         assert got[name] == any(unit[i] @ unit[k] > 0.95 for k in better)
+
+
+def test_ragged_vectors_are_an_error(spark):
+    points = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 0.0, 0.0])], "point_id string, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
+    with pytest.raises(Exception, match="lengths"):
+        search.search_many(points.coalesce(1), queries, 2).collect()
+
+
+def test_upsert_keeps_one_row_of_an_id(spark):
+    points = spark.createDataFrame([("a", 1)], "point_id string, n int")
+    new = spark.createDataFrame([("b", 2), ("b", 3), ("a", 4)], "point_id string, n int")
+    assert search.upsert_points(points, new).groupBy("point_id").count().filter("count > 1").count() == 0
+
+
+def test_points_without_granularity_are_frames(spark):
+    points = spark.createDataFrame([("/a", "p", None, 0, 0.0, None)], "file_path string, point_id string, granularity string, frame_index int, source_offset double, scene_id int")
+    assert search.frame_list(points).count() == 1
