@@ -239,7 +239,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs``; ``with_text`` adds the kept bytes."""
-    spans = repeated_spans(docs, length).groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    # equal rows have equal spans; one of each is collected
+    places = repeated_spans(docs, length).groupBy("row", "begin").agg(F.max("end").alias("end"))
+    spans = places.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     texts = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), F.col("text").cast("string"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
