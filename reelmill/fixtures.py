@@ -22,15 +22,12 @@ from .session import cut
 EPOCH_2024 = 1704067200
 
 
-_SHARED: dict[tuple[str, str], Media] = {}
-
-
 def epoch(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
 
 
 class Media:
-    """Views over one folder of tables; each is built once and stays a lazy plan."""
+    """Views over one folder of tables. Those that many views stand on are written to the shared folder, the others stay lazy."""
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -38,11 +35,7 @@ class Media:
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> Media:
-        """The views of a folder, shared within one application so that cut tables are written once."""
-        key = (spark.sparkContext.applicationId, folder)
-        if key not in _SHARED:
-            _SHARED[key] = cls(spark, folder)
-        return _SHARED[key]
+        return cls(spark, folder)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -107,7 +100,7 @@ class Media:
         """One query per label: the mean vector of the label."""
         mean = Summarizer.mean(array_to_vector(F.col("embedding")))
         means = self.table("embeddings").groupBy("label").agg(mean.alias("m"))
-        return cut(means.select(F.col("label").alias("query_id"), vector_to_array("m").alias("query_vector")))
+        return means.select(F.col("label").alias("query_id"), vector_to_array("m").alias("query_vector"))
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -126,7 +119,7 @@ class Media:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return cut(retrieve(self.points, self.job_queries))
+        return retrieve(self.points, self.job_queries)
 
     @cached_property
     def merged(self) -> DataFrame:

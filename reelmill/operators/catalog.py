@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import suffix_of
 from ..schemas import ALLOWED_TRANSITIONS, DATE_PATTERNS, FILES, MIME_BY_SUFFIX
-from ..session import cut
 from .ordering import first_row, position_of, sum_before, value_before
 
 # --- derived file columns -----------------------------------------------------------------------
@@ -190,15 +189,14 @@ def apply_changes(files: DataFrame, classified: DataFrame, now: Column | None =
 
 def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str) -> DataFrame:
     stamp = F.lit(None).cast("double") if now is None else now
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    # the judged listing is numbered and merged, so it is written once
-    judged = cut(classified).withColumn("_h", _hash_slice(4096))
+    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
+    judged = classified.withColumn("_h", _hash_slice(4096))
     fresh = F.col("known_id").isNull().cast("long")
     numbered = sum_before(judged, [], [F.col("_h"), F.col("file_path")], [F.col("_h")], fresh, "_n").drop("_h")
     reused = F.col("action") == "reuse"
-    changes = numbered.withColumns(
+    changes = numbered.join(F.broadcast(top)).withColumns(  # one row
         {
-            "id": F.col("_n") + F.lit(top + 1),
+            "id": F.col("_n") + F.col("_top") + F.lit(1).cast("long"),
             "status": F.when(reused, "INDEXED").otherwise("SCANNED"),
             "applies": F.col("action").isin("reuse", "modified", "new"),
             "point_ids": F.when(reused, F.col("donor_point_ids")),

@@ -15,7 +15,6 @@ from pyspark.ml.stat import Summarizer
 from ..functions.columns import clamp, round_to
 from ..functions.vectors import l2_normalize
 from ..schemas import MISSING_SCORE
-from ..session import cut
 from .ordering import position_of, value_before
 from .search import point_key
 
@@ -166,16 +165,14 @@ def detect_scenes(frames: DataFrame, threshold: float = 3.0, min_seconds: float
     videos = frames.groupBy("file_id").agg(F.max("src_fps").alias("src_fps"), (F.max("frame_index") + 1).alias("frames"))
     videos = videos.withColumn("fps", rate).drop("src_fps")
     gates = videos.select("file_id", F.greatest(F.lit(15), F.bround(F.col("fps") * F.lit(min_seconds))).cast("long").alias("min_frames"))
-    # candidates and cuts are a small part of the frames and feed several steps each
-    cuts = cut(gate_cuts(cut(cut_candidates(frames, threshold, min_change).join(gates, "file_id"))))
+    cuts = gate_cuts(cut_candidates(frames, threshold, min_change).join(gates, "file_id"))
     starts = videos.select("file_id", F.lit(0).cast("long").alias("start_frame")).unionByName(
         cuts.select("file_id", F.col("frame_index").alias("start_frame"))
     )
-    numbered = position_of(
-        starts, ["file_id"], [F.col("start_frame")], [F.floor(F.col("start_frame") / F.lit(1 << 16))], "scene_id"
-    )
-    following = numbered.select("file_id", (F.col("scene_id") - 1).alias("scene_id"), F.col("start_frame").alias("_next"))
-    scenes = numbered.join(following, ["file_id", "scene_id"], "left").join(videos, "file_id")
+    # scenes are at least 15 frames long: a few rows per minute of a video
+    order = W.partitionBy("file_id").orderBy("start_frame")
+    numbered = starts.withColumns({"scene_id": F.row_number().over(order) - 1, "_next": F.lead("start_frame").over(order)})
+    scenes = numbered.join(videos, "file_id")
     end = F.coalesce(F.col("_next"), F.col("frames"))
     return scenes.select(
         "file_id",

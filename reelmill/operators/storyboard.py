@@ -260,6 +260,36 @@ def chronological(draft: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFr
     return position_of(timed, keys, order, bucket, "position").drop("_time")
 
 
+def board_from_ranks(cands: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
+    """Autofill of an empty draft, trim and chronological order as windows over one partitioning by key.
+
+    ``jobs``: keys, ``target_duration``, ``min_segments``. The same rows as the three operators one after another.
+    """
+    whole = _whole(keys)
+    target = F.col("target_duration").cast("double")
+
+    def earlier(*order: str) -> W:
+        return whole.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+    planned = cands.join(jobs.select(*keys, "target_duration", "min_segments"), list(keys)).repartition(*[F.col(k) for k in keys])
+    leads = planned.withColumn("_n", F.row_number().over(_whole([*keys, "file_path"]).orderBy("place"))).filter("_n = 1")
+    placed = leads.withColumns({
+        "_before": F.coalesce(F.sum(_clip_millis(True)).over(earlier("place")), F.lit(0)),
+        "seq": (F.row_number().over(whole.orderBy("place")) - 1).cast("long"),
+    }).filter(F.col("_before") < millis(target))
+    filled = with_segment(placed, segment_seconds(True), keep_image_offset=True)
+    ranked = filled.withColumns({"retrieval_strategy": F.coalesce("granularity", F.lit("frame")), "_rank": F.floor(_draft_rank() * F.lit(1e8) + F.lit(0.5))})
+    length = millis(_seconds())
+    summed = ranked.withColumns({
+        "_total": F.sum(length).over(whole), "_rows": F.count("*").over(whole),
+        "_gone": F.coalesce(F.sum(length).over(earlier("_rank", "seq")), F.lit(0)), "_count": F.row_number().over(whole.orderBy("_rank", "seq")) - 1,
+    })
+    removed = (F.col("_total") - F.col("_gone") > target * F.lit(1250.0)) & (F.col("_rows") - F.col("_count") > F.col("min_segments"))
+    board = summed.filter(~removed).withColumn("_time", F.coalesce("creation_timestamp", F.lit(0.0)))
+    board = board.withColumn("position", (F.row_number().over(whole.orderBy("_time", "seq")) - 1).cast("long"))
+    return board.select(*keys, *DRAFT_COLUMNS, "position")
+
+
 # --- evaluation ---------------------------------------------------------------------------------
 
 

@@ -7,36 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.ranking import candidate_order, composite_rank, merge_candidates, rank_candidates, resolve_weights, retrieve
-from ..operators.storyboard import DRAFT_COLUMNS, autofill, chronological, draft_dedupe, segment_limits, tail_trim
+from ..operators.storyboard import autofill, board_from_ranks, chronological, draft_dedupe, segment_limits, tail_trim
 from ..schemas import PROFILES
-from ..session import cut
-
-
-def empty_draft(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """No drafted segments, in the shape of a draft over these candidates."""
-    types = {f.name: f.dataType for f in cands.schema}
-    renamed = {
-        "start_offset": T.DoubleType(), "end_offset": T.DoubleType(), "duration": T.DoubleType(), "segment_type": T.StringType(),
-        "retrieval_strategy": T.StringType(), "similarity_score": T.DoubleType(), "seq": T.LongType(),
-    }
-    columns = [F.lit(None).cast(renamed.get(c) or types[c]).alias(c) for c in (*keys, *DRAFT_COLUMNS)]
-    return cands.limit(0).select(*columns)
 
 
 def place_candidates(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``place``, the 0-based rank. A job asks at most 20 queries of 30 hits, so a key stays small."""
+    """Adds ``place``, the 0-based rank."""
     window = W.partitionBy(*keys).orderBy(*candidate_order())
     return ranked.withColumn("place", (F.row_number().over(window) - 1).cast("long"))
 
 
 def storyboard_from(cands: DataFrame, jobs: DataFrame, keys: Sequence[str], draft: DataFrame | None = None) -> DataFrame:
     """Draft completion, autofill, trim and chronological order over placed candidates."""
-    draft = empty_draft(cands, keys) if draft is None else draft_dedupe(draft, cands, keys)
-    filled = cut(autofill(draft, cands, jobs, keys))
-    return chronological(tail_trim(filled, jobs, keys), keys)
+    if draft is None:
+        return board_from_ranks(cands, jobs, keys)
+    return chronological(tail_trim(autofill(draft_dedupe(draft, cands, keys), cands, jobs, keys), jobs, keys), keys)
 
 
 def generate_timelines(points: DataFrame, queries: DataFrame, jobs: DataFrame, profile: str = "journey", mode: str = "dual",
@@ -44,7 +31,7 @@ def generate_timelines(points: DataFrame, queries: DataFrame, jobs: DataFrame, p
     """One storyboard per job. Drafts come from outside; without one the ranked candidates fill the time."""
     keys = ["job_id"]
     merged = merge_candidates(retrieve(points, queries, mode))
-    ranked = cut(place_candidates(rank_candidates(composite_rank(merged, resolve_weights(F.lit(profile)))), keys))
+    ranked = place_candidates(rank_candidates(composite_rank(merged, resolve_weights(F.lit(profile)))), keys)
     fewest, _ = segment_limits(F.col("target_duration"), F.lit(PROFILES[profile]["segments_factor"]))
     return storyboard_from(ranked, jobs.withColumn("min_segments", fewest), keys, draft)
 
@@ -54,7 +41,7 @@ def generate_alternatives(points: DataFrame, queries: DataFrame, jobs: DataFrame
     keys = ["job_id", "profile"]
     names = F.array(*[F.lit(p) for p in profiles])
     merged = merge_candidates(retrieve(points, queries)).withColumn("profile", F.explode(names))
-    ranked = cut(place_candidates(rank_candidates(composite_rank(merged, resolve_weights(F.col("profile"))), keys), keys))
+    ranked = place_candidates(rank_candidates(composite_rank(merged, resolve_weights(F.col("profile"))), keys), keys)
     factors = F.create_map(*[F.lit(x) for p in profiles for x in (p, PROFILES[p]["segments_factor"])])
     fewest, _ = segment_limits(F.col("target_duration"), F.element_at(factors, F.col("profile")))
     planned = jobs.withColumn("profile", F.explode(names)).withColumn("min_segments", fewest)
