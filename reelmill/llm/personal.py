@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, stored
@@ -131,23 +131,27 @@ def revealing_terms(docs: DataFrame, detected: DataFrame) -> DataFrame:
     """(entity, term, action) of the terms that disclose an entity of the corpus."""
     each = detected.select(F.explode("nearby").alias("n")).select("n.entity", "n.context", "n.term")
     contexts = stored(each.distinct(), "contexts")
-    judged = stored(contexts.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_CONTEXTS), "judged")
-    wanted = judged.select("term").distinct()
-    wanted = F.broadcast(wanted) if judged.count() <= BROADCAST_TERMS else wanted
-    # a term's observations: its contexts, or the documents that hold it if those are more
     pairs = contexts.select("entity", "context").distinct()
+    bits = F.log2(F.lit(float(max(1, pairs.count()))) / F.col("with_entity"))
+    both = contexts.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_CONTEXTS)
     with_entity = pairs.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    with_term = contexts.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("near"))
+    with_term = contexts.groupBy("term").agg(F.count("*").alias("near"))
+
+    def share(seen: Column) -> Column:
+        return (F.log2(F.col("both") / seen) + bits) / bits
+
+    # other occurrences only weaken a term: what contexts alone don't make strong enough needs no further count
+    judged = both.join(with_entity, "entity").join(with_term, "term").where((bits > 0) & (share(F.col("near")) >= NARROWED))
+    judged = stored(judged, "judged")
+    wanted = judged.select("term").distinct()
+    wanted = F.broadcast(wanted) if judged.count() <= BROADCAST_TERMS else wanted
     words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+")
     used = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(wanted, "term", "left_semi")
-    with_word = used.groupBy("term").agg(F.count("*").alias("documents"))
-    total = pairs.count()
-    measured = judged.join(with_entity, "entity").join(with_term, "term").join(with_word, "term", "left")
-    bits = F.log2(F.lit(float(max(1, total))) / F.col("with_entity"))
-    seen = F.greatest(F.col("near"), F.coalesce("documents", F.lit(0)))
-    share = (F.log2(F.col("both") / seen) + bits) / bits
-    return measured.where((bits > 0) & (share >= NARROWED)).select(
-        "entity", "term", F.when(share >= DISCLOSED, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("action")
+    measured = judged.join(used.groupBy("term").agg(F.count("*").alias("documents")), "term", "left")
+    # a term's observations: its contexts, or the documents that hold it if those are more
+    final = share(F.greatest("near", F.coalesce("documents", F.lit(0))))
+    return measured.where(final >= NARROWED).select(
+        "entity", "term", F.when(final >= DISCLOSED, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("action")
     )
 
 
