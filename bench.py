@@ -44,6 +44,7 @@ def main() -> None:
     jobs = cut(job_queries.select("job_id").distinct().withColumn("target_duration", F.lit(60)))
     merged = ranking.merge_candidates(ranking.retrieve(points, job_queries))
     ranked = cut(ranking.rank_candidates(ranking.composite_rank(merged, ranking.resolve_weights(F.lit("journey")))))
+    one_job, one_ranked = cut(job_queries.filter("job_id = '1'")), cut(ranked.filter("job_id = '1'"))
     files, listing = cut(media.files), cut(media.listing)
     images, tagged, frame_jobs, telemetry_rows = cut(media.images), cut(media.tagged), cut(media.jobs), cut(media.telemetry)
     label_queries = cut(media.job_queries)
@@ -56,6 +57,9 @@ def main() -> None:
         "retrieve_rank_1000_jobs": lambda: ranking.rank_candidates(ranking.composite_rank(
             ranking.merge_candidates(ranking.retrieve(points, job_queries)), ranking.resolve_weights(F.lit("journey")))),
         "curate_1000_jobs": lambda: storyboard.curate(ranked, jobs),
+        "retrieve_rank_one_job": lambda: ranking.rank_candidates(ranking.composite_rank(
+            ranking.merge_candidates(ranking.retrieve(points, one_job)), ranking.resolve_weights(F.lit("journey")))),
+        "curate_one_job": lambda: storyboard.curate(one_ranked, jobs),
         "alternatives_3_jobs": lambda: generate_alternatives(points, label_queries, frame_jobs),
         "catalogue_sync": lambda: catalog.apply_scan(files, catalog.classify(files, listing), F.lit(1.0)),
         "scene_points": lambda: frames.build_points(tagged),

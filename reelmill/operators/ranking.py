@@ -64,12 +64,16 @@ def normalize_cosine(score: Column) -> Column:
     return clamp((score - F.lit(0.05)) / F.lit(0.20), 0.0, 1.0)
 
 
-def retrieval_report(hits: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
-    """Matched scenes and frames per query."""
-    return hits.groupBy(*keys, "query_idx").agg(
+def retrieval_report(hits: DataFrame, keys: Sequence[str] = ("job_id",), queries: DataFrame | None = None) -> DataFrame:
+    """Matched scenes and frames per query; with ``queries`` (keys, query_idx) also those without any."""
+    found = hits.groupBy(*keys, "query_idx").agg(
         F.count_if(F.col("pass") == SCENE_PASS).alias("matched_scenes"),
         F.count_if(F.col("pass") == FRAME_PASS).alias("matched_frames"),
     )
+    if queries is None:
+        return found
+    asked = queries.select(*keys, "query_idx").distinct()
+    return asked.join(found, [*keys, "query_idx"], "left").fillna(0, ["matched_scenes", "matched_frames"])
 
 
 def filter_report(cands: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:

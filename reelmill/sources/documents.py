@@ -33,12 +33,16 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TELEMETRY).json(path)
 
 
-def export_session(timeline: DataFrame, files: DataFrame, points: DataFrame, jobs: DataFrame, out: str) -> None:
-    """Inventory, order audit and duration audit as JSON, one folder per job in each."""
+def export_session(
+    timeline: DataFrame, files: DataFrame, points: DataFrame, jobs: DataFrame, out: str, alternatives: DataFrame | None = None
+) -> None:
+    """Inventory, order audit and duration audit as JSON, one folder per job in each; likewise the alternatives, if given."""
     tables = {
         "inventory": inventory(timeline, files, points),
         "chronology": chronology_audit(timeline, files),
         "durations": duration_audit(timeline, jobs),
     }
+    if alternatives is not None:
+        tables["alternatives"] = alternatives
     for name, table in tables.items():
         table.write.mode("overwrite").partitionBy("job_id").json(f"{out.rstrip('/')}/{name}")

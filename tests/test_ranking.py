@@ -106,6 +106,13 @@ def test_many_queries_of_one_job(spark):
     assert ranking.retrieve(points, queries).count() == 25
 
 
+def test_report_lists_queries_without_hits(spark):
+    hits = hits_of(spark, [("j", 0, 1, 1, "/a", None, 0.0, 0.2, {})])
+    queries = spark.createDataFrame([("j", 0), ("j", 1)], "job_id string, query_idx int")
+    got = {r.query_idx: (r.matched_scenes, r.matched_frames) for r in ranking.retrieval_report(hits, queries=queries).collect()}
+    assert got == {0: (0, 1), 1: (0, 0)}
+
+
 def test_epic_parity_flag(spark):
     cands = spark.createDataFrame([("j", "p", 0.2)], "job_id string, point_id string, score double")
     points = spark.createDataFrame([("p", [1.0, 0.0])], "point_id string, vector array<double>")

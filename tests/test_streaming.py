@@ -90,6 +90,18 @@ def test_latest_state_stream_and_silence(spark, tmp_path):
     assert batch["a"].needs_check and batch["b"].status == "COMPLETED" and not batch["z"].needs_check
 
 
+def test_a_late_event_does_not_open_an_ended_job(spark, tmp_path):
+    schema = "job_id string, event_no long, event_type string, stage string, progress_pct double, message string, timestamp double"
+    path = str(tmp_path / "in")
+    batches = [[("b", 1, "progress", 10.0, 102.0)], [("b", 4, "completed", 100.0, 103.0)], [("b", 3, "progress", 50.0, 102.8)], [("z", 9, "progress", 1.0, 400.0)]]
+    for rows in batches:
+        frame = spark.createDataFrame([(j, n, k, "stage", p, "m", t) for j, n, k, p, t in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(spark, jobs.latest_job_state_stream(stream, watermark="1 second"), "late", tmp_path, "append").collect()
+    assert [r.status for r in sorted(got, key=lambda r: r.event_no) if r.job_id == "b"] == ["RUNNING", "COMPLETED"]
+
+
 def test_sessions_and_runs(spark):
     rows = [(i, "pipeline_start" if i in (0, 5) else None, 100.0 + 2 * i + (60 if i >= 5 else 0), i, 0, 1.0, 1.0) for i in range(10)]
     df = spark.createDataFrame(rows, "event_no long, event string, timestamp double, decode_qsize long, index_qsize long, cpu_percent double, memory_rss_mb double")
