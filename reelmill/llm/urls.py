@@ -8,8 +8,9 @@ The score of a url is the mean over its characters of log p_allow - log p_block.
 the models don't see: the threshold lies between both classes' means, nearer to the one that spreads less.
 
 Scores are sums of one number per character and context length: what the longer context adds to the shorter one's log ratio. These come
-from a table of at most ``MODEL_GRAMS`` n-grams, the most frequent ones (with a string all its endings are kept), so it may be
-broadcast. Counts cover all ruled urls. Each distinct url is counted and scored once, so a hot url is one row.
+from a table of all n-grams of the ruled urls, which is broadcast only if it is counted to have at most ``MODEL_GRAMS`` rows. Beyond
+that each distinct n-gram of the urls to score is looked up once by shuffle; the ``MODEL_GRAMS`` most used ones are broadcast to the
+urls, so that none of the others, which are joined by shuffle, is hot. Each distinct url is counted and scored once, so a hot url is one row.
 
 A null url, or one without ``://``, has an empty host and path; it is judged by the models like any string (null as empty). Without both
 classes among the ruled urls, everything is allowed that no rule blocks. Equal rows get equal results; null page_ids are kept; extra columns
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Longest n-gram (context and character), smoothing, size of the alphabet, n-grams kept, rules that may be broadcast.
+#: Longest n-gram (context and character), smoothing, size of the alphabet, n-grams and rules that may be broadcast.
 ORDER, ALPHA, ALPHABET, MODEL_GRAMS, BROADCAST_RULES = 5, 2.0, 256, 50_000, 100_000
 _BEGIN, _END = "\x02", "\x03"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,13 +70,12 @@ def markov_ratio(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = _grams(labelled, "accepted", "n")
     yes, no = F.when(F.col("accepted"), F.col("n")).otherwise(0), F.when(F.col("accepted"), 0).otherwise(F.col("n"))
     counts = each.groupBy("gram", "context", "k").agg(F.sum(yes).alias("yes"), F.sum(no).alias("no"))
-    # a gram's endings are at least as frequent and shorter: no gram is kept without them
-    top = stored(counts.orderBy((F.col("yes") + F.col("no")).desc(), "k", "gram").limit(MODEL_GRAMS), "grams")
-    known = stored(top.groupBy("context").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no")), "known_contexts")
-    level = top.where("k = 0").select("gram", F.lit(0.0).alias("p_yes"), F.lit(0.0).alias("p_no"))
+    counts = stored(counts, "grams")
+    known = stored(counts.groupBy("context").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no")), "known_contexts")
+    level = counts.where("k = 0").select("gram", F.lit(0.0).alias("p_yes"), F.lit(0.0).alias("p_no"))
     table = None
     for k in range(1, ORDER + 1):
-        own = top.where(F.col("k") == k).join(known, "context").withColumn("ending", F.substring("gram", 2, ORDER))
+        own = counts.where(F.col("k") == k).join(known, "context").withColumn("ending", F.substring("gram", 2, ORDER))
         if k == 1:
             own = own.withColumns({"s_yes": F.lit(1.0 / ALPHABET), "s_no": F.lit(1.0 / ALPHABET)})
         else:
@@ -91,10 +91,19 @@ def markov_ratio(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ratio_scores(urls: DataFrame, deltas: DataFrame, backs: DataFrame) -> DataFrame:
-    """(url, score) of distinct urls. Both tables have at most MODEL_GRAMS rows."""
-    each = _grams(urls, "url").join(F.broadcast(deltas), "gram", "left").join(F.broadcast(backs), "context", "left")
-    total = F.sum(F.coalesce("delta", "back", F.lit(0.0)))
-    return each.groupBy("url").agg(total.alias("total")).select("url", F.round(F.col("total") / (F.length("url") + 1), 6).alias("score"))
+    """(url, score) of distinct urls."""
+    each = _grams(urls, "url")
+    step = F.coalesce("delta", "back", F.lit(0.0)).alias("step")
+    if deltas.limit(MODEL_GRAMS + 1).count() <= MODEL_GRAMS:  # each context begins a gram, so there are no more of them
+        steps = each.join(F.broadcast(deltas), "gram", "left").join(F.broadcast(backs), "context", "left").select("url", step)
+    else:
+        used = each.groupBy("gram", "context").agg(F.count("*").alias("uses"))
+        used = stored(used.join(deltas, "gram", "left").join(backs, "context", "left").select("gram", "uses", step), "steps")
+        most = stored(used.orderBy(F.col("uses").desc(), "gram").limit(MODEL_GRAMS).select("gram", F.col("step").alias("known")), "most_used")
+        first = each.select("url", "gram").join(F.broadcast(most), "gram", "left")
+        rest = first.where("known is null").join(used.join(F.broadcast(most), "gram", "left_anti"), "gram").select("url", "step")
+        steps = first.where("known is not null").select("url", F.col("known").alias("step")).unionByName(rest)
+    return steps.groupBy("url").agg(F.sum("step").alias("total")).select("url", F.round(F.col("total") / (F.length("url") + 1), 6).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -301,3 +301,14 @@ def test_url_filter(spark):
     for r in unruled.values():
         if abs(r["score"] - threshold) > 1e-4:
             assert r["verdict"] == ("allow" if r["score"] >= threshold else "block")
+
+
+def test_url_model_beyond_the_broadcast_bound(spark, monkeypatch):
+    """With more n-grams than may be broadcast all of them still count."""
+    whole = {r["page_id"]: (r["verdict"], r["score"]) for r in result(spark, "op4_url_filter")}
+    monkeypatch.setattr(urls, "MODEL_GRAMS", 100)
+    found = {r["page_id"]: (r["verdict"], r["score"]) for r in result(spark, "op4_url_filter")}
+    assert found.keys() == whole.keys() and any(s is not None for _, s in whole.values())
+    for page, (verdict, score) in whole.items():
+        assert found[page][0] == verdict and (score is None) == (found[page][1] is None)
+        assert score is None or abs(score - found[page][1]) < 2e-6
