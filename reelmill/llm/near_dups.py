@@ -2,13 +2,11 @@
 
 1. One pass turns each text into the set of its word shingles: size, a 128-bit digest of the set, and a signature of
    ``COLUMNS`` one-byte minima. Equal sets become one representative, so groups of copies cost one row from here on.
-2. The forest: each of ``TREES`` orders permutes the columns and sorts all representatives by the permuted signature, as
-   one range-partitioned sort. Rows next to each other that share their first ``LEAST_DEPTH`` columns are candidates. How long
-   that shared prefix is adapts to the region: in a crowded one neighbours in the order share far more of it.
-   A crowded region is split among tasks by the deeper columns of the key.
-3. Candidates whose whole signatures agree enough span families. A family holds every pair within reach of the
-   threshold, and is confirmed by full sets: all of its pairs are judged, in blocks of ``BLOCK_ROWS``, so none is lost to an
-   unlucky order. Only one link per joined class leaves a block.
+2. The forest: each of ``TREES`` orders permutes the columns; representatives that share the first columns of an order
+   (``prefix_depth``, at most ``LEAST_DEPTH``) are one group. All pairs of a group are held against each other by their whole
+   signatures, however crowded it is; groups of more than ``GROUP_ROWS`` are split in blocks, and each pair of blocks is a task's work.
+3. Signatures that agree enough span families; a group emits only spanning links. A family is confirmed by full sets: all of
+   its pairs are judged, in blocks of ``BLOCK_ROWS``. Only one link per joined class leaves a block.
 4. Links give components; members get them through their set's digest.
 
 Null texts and texts without words have an empty set and are linked with nothing. Fewer words than a shingle make
@@ -29,13 +27,15 @@ from pyspark.sql import functions as F
 from .common import PrefixHash, distinct_runs, groups_of, mix, row_key, row_steps, stored, text_buffer
 from .components import connected_components
 
-#: Signature columns, orders, and columns that neighbours must share at least.
+#: Signature columns, orders, and the most columns that a group shares.
 COLUMNS, TREES, LEAST_DEPTH = 64, 16, 4
-#: Following rows that each row is held against in an order, and how far an agreement may fall below the threshold
-#: (over four standard deviations of its estimate).
+#: Following rows of a group that are compared before all others, and how far an agreement may fall below the threshold
+#: (near four standard deviations of its estimate).
 REACH, SLACK = 3, 0.19
-#: Representatives of a family that one block holds.
-BLOCK_ROWS = 512
+#: Representatives that one block holds, of a family and of a group; split groups whose list may be broadcast.
+BLOCK_ROWS, GROUP_ROWS, BROADCAST_GROUPS = 512, 2048, 100_000
+#: Probability that no order brings a pair at the threshold together.
+MISSED = 2e-5
 
 _FACTORS = mix(np.arange(1, COLUMNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ORDERS = [np.random.default_rng(tree).permutation(COLUMNS) for tree in range(TREES)]
@@ -106,44 +106,82 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
     return source.mapInArrow(work, "doc_id long, row long, n_shingles long, set_key binary, signature binary")
 
 
+def prefix_depth(threshold: float) -> int:
+    """Columns that a group shares: as many as find a pair at the threshold in some order but for a share of ``MISSED``."""
+    return next((d for d in range(LEAST_DEPTH, 1, -1) if (1 - threshold**d) ** TREES < MISSED), 1)
+
+
+def _agreeing(signs: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, enough: int) -> list[tuple[int, int]]:
+    """Spanning links of the rows of a group that agree in ``enough`` columns (all pairs, or those across two halves)."""
+    links = []
+    across = left is not right
+    for i in left.tolist():
+        others = right if across else right[right > i]
+        others = others[root[others] != root[i]]
+        if not len(others):
+            continue
+        for j in others[(signs[others] == signs[i]).sum(axis=1) >= enough].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                links.append((i, j))
+    return links
+
+
 def forest_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of set keys that stand close in one of the sorted orders and agree enough over all columns."""
+    """Links (a, b) that span the set keys which share a group in one of the orders and agree enough over all columns."""
     enough = int(np.ceil((threshold - SLACK) * COLUMNS))
+    depth = prefix_depth(threshold)
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COLUMNS)
             for tree, order in enumerate(_ORDERS):
-                keys = np.empty((len(signs), COLUMNS + 1), np.uint8)
-                keys[:, 0], keys[:, 1:] = tree, signs[:, order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.tobytes() for k in keys], pa.binary()), batch.column(0)], ["place", "set_key"]
-                )
+                group = np.full(len(signs), tree, np.int64)
+                for column in order[:depth]:
+                    group = (group << 8) | signs[:, column]
+                yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], ["group", "set_key", "signature"])
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([*held, batch]).combine_chunks()
-            places = np.frombuffer(b"".join(rows["place"].to_pylist()), np.uint8).reshape(-1, COLUMNS + 1)
-            old = sum(h.num_rows for h in held)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ["group", "i", "j"]):
+            signs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(-1, COLUMNS)
+            group, i, j, own = (rows[c].to_numpy() for c in ("group", "i", "j", "block"))
+            change = np.flatnonzero((np.diff(group) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            bounds = np.concatenate([[0], change, [len(group)]])
+            run = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             left, right = [], []
             for step in range(1, REACH + 1):
-                near = (places[:-step, : LEAST_DEPTH + 1] == places[step:, : LEAST_DEPTH + 1]).all(axis=1)
-                at = np.flatnonzero(near)
-                at = at[at + step >= old]  # the others were met with the batch before
-                at = at[(places[at, 1:] == places[at + step, 1:]).sum(axis=1) >= enough]
+                at = np.flatnonzero(run[:-step] == run[step:])
+                at = at[(signs[at] == signs[at + step]).sum(axis=1) >= enough]
                 left.append(at)
                 right.append(at + step)
             a, b = np.concatenate(left), np.concatenate(right)
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            more = []
+            for k in np.flatnonzero(np.diff(bounds) > REACH + 1).tolist():
+                first, last = int(bounds[k]), int(bounds[k + 1])
+                root = np.arange(last - first)
+                for x, y in zip(*(v[np.searchsorted(a, first) : np.searchsorted(a, last)] - first for v in (a, b))):
+                    if root[x] != root[y]:
+                        root[root == root[y]] = root[x]
+                half = np.flatnonzero(own[first:last] == i[first])
+                other = half if i[first] == j[first] else np.flatnonzero(own[first:last] == j[first])
+                more += [(first + x, first + y) for x, y in _agreeing(signs[first:last], root, half, other, enough)]
+            a = np.concatenate([a, np.array([x for x, _ in more], np.int64)])
+            b = np.concatenate([b, np.array([y for _, y in more], np.int64)])
             keys = rows["set_key"].combine_chunks()
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
-            held = rows.slice(max(0, rows.num_rows - REACH)).combine_chunks().to_batches()
 
-    places = sets.select("set_key", "signature").mapInArrow(orders, "place binary, set_key binary")
-    sorted_rows = places.repartitionByRange("place", "set_key").sortWithinPartitions("place", "set_key")
-    pairs = sorted_rows.mapInArrow(neighbours, "a binary, b binary")
+    places = sets.select("set_key", "signature").mapInArrow(orders, "group long, set_key binary, signature binary")
+    counts = places.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
+    large = stored(counts.select("group", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("blocks")), "large_groups")
+    known = places.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, "group", "left")
+    known = known.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    dealt = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", "set_key", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    parts = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "signature", "set_key")
+    pairs = parts.mapInArrow(compare, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

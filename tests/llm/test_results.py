@@ -109,6 +109,32 @@ def test_near_duplicates_of_a_crowd(spark, monkeypatch):
     assert found == brute_components(dict(enumerate(documents)))
 
 
+@pytest.mark.parametrize("group_rows", [2048, 64])
+def test_candidates_in_a_template_crowd(spark, monkeypatch, group_rows):
+    """Pairs at the threshold among many sets that share a template: members of the crowd sort between them in every order."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    template, rows, planted = draw(200), [], []
+    for n in range(800):
+        own, changes = draw(100), draw(2 * 24)
+        for side in range(2):
+            values = np.unique(np.concatenate([template, own, changes[side * 24 : side * 24 + 24]]))
+            rows.append((b"%06d" % (2 * n + side), near_dups.signature(values)))
+        planted.append((rows[-2][0], rows[-1][0]))
+    monkeypatch.setattr(near_dups, "GROUP_ROWS", group_rows)
+    sets = spark.createDataFrame(rows, "set_key binary, signature binary")
+    pairs = [(bytes(r["a"]), bytes(r["b"])) for r in near_dups.forest_candidates(sets, 0.85).collect()]
+    root = {key: key for key, _ in rows}
+    for a, b in pairs:
+        if root[a] != root[b]:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+    signs = {key: np.frombuffer(s, np.uint8) for key, s in rows}
+    close = [(a, b) for a, b in planted if (signs[a] == signs[b]).sum() >= 43 and any((signs[a] == signs[b])[o[:4]].all() for o in near_dups._ORDERS)]
+    assert len(close) > 790 and all(root[a] == root[b] for a, b in close)
+    assert len(pairs) < near_dups.TREES * 4 * len(rows)
+
+
 # --- packing
 
 
