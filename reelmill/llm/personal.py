@@ -2,10 +2,11 @@
 
 The patterns find emails, IP addresses, card and phone numbers; their values are the protected entities. A term (word) near an entity
 may reveal it: over the corpus, the term's pointwise mutual information with the entity,
-    log2( p(entity | term) / p(entity) ),   p(entity | term) = contexts of the term that hold the entity / its contexts,
+    log2( p(entity | term) / p(entity) ),   p(entity | term) = contexts of the term that hold the entity / its observations,
 counts how many bits of the entity's identity it discloses, out of the log2(1 / p(entity)) that name it wholly. A term is removed
 beside the entity if it discloses at least ``DISCLOSED`` of those bits and stands near it in at least ``LEAST_CONTEXTS``
-different contexts; contexts are told apart by their words, so copies of a document count once. Terms that only
+different contexts. A context is a text and the words near the entity in it: copies of a text count once, a footer once in each
+different text. A term's observations are its contexts, and one for each different text that holds it near no entity. Terms that only
 narrow an entity down (at least ``NARROWED`` of the bits) are generalised instead. Terms are words of four letters or more.
 
 Both counts cover the whole corpus: nearby words of every occurrence, and all occurrences of the terms that come up for
@@ -95,18 +96,18 @@ def nearby_terms(text: str, start: int, end: int, spans: list[tuple[str, int, in
 
 
 _DETECTED = (
-    "doc_id long, row long, spans array<struct<kind:string,begin:int,end:int>>, "
+    "doc_id long, row long, copy long, spans array<struct<kind:string,begin:int,end:int>>, "
     "nearby array<struct<entity:string,context:bigint,term:string,begin:int,end:int>>"
 )
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, row, the base spans of each row, and the terms near each of its entities with their context."""
+    """doc_id, row, copy (the same for equal texts), the base spans of each row, and the terms near each of its entities with their context."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_spans, all_near = [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 spans = base_spans(text or "")
                 near = []
                 for kind, start, end in spans:
@@ -120,22 +121,25 @@ def detect(docs: DataFrame) -> DataFrame:
             span = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
             term = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(all_spans, span), pa.array(all_near, term)], ["doc_id", "row", "spans", "nearby"]
+                [*batch.columns[:3], pa.array(all_spans, span), pa.array(all_near, term)], ["doc_id", "row", "copy", "spans", "nearby"]
             )
 
-    source = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), F.col("text").cast("string"))
+    source = docs.select(
+        F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), row_key("text").alias("copy"), F.col("text").cast("string")
+    )
     return source.mapInArrow(work, _DETECTED)
 
 
 def revealing_terms(docs: DataFrame, detected: DataFrame) -> DataFrame:
     """(entity, term, action) of the terms that disclose an entity of the corpus."""
-    each = detected.select(F.explode("nearby").alias("n")).select("n.entity", "n.context", "n.term")
+    each = detected.select("copy", F.explode("nearby").alias("n")).select("n.entity", "copy", "n.context", "n.term")
     contexts = stored(each.distinct(), "contexts")
-    pairs = contexts.select("entity", "context").distinct()
+    pairs = contexts.select("entity", "copy", "context").distinct()
     bits = F.log2(F.lit(float(max(1, pairs.count()))) / F.col("with_entity"))
     both = contexts.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_CONTEXTS)
     with_entity = pairs.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    with_term = contexts.groupBy("term").agg(F.count("*").alias("near"))
+    near_texts = contexts.groupBy("term", "copy").agg(F.count("*").alias("n"))
+    with_term = near_texts.groupBy("term").agg(F.sum("n").alias("near"), F.count("*").alias("near_texts"))
 
     def share(seen: Column) -> Column:
         return (F.log2(F.col("both") / seen) + bits) / bits
@@ -146,10 +150,11 @@ def revealing_terms(docs: DataFrame, detected: DataFrame) -> DataFrame:
     wanted = judged.select("term").distinct()
     wanted = F.broadcast(wanted) if judged.count() <= BROADCAST_TERMS else wanted
     words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+")
-    used = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(wanted, "term", "left_semi")
-    measured = judged.join(used.groupBy("term").agg(F.count("*").alias("documents")), "term", "left")
-    # a term's observations: its contexts, or the documents that hold it if those are more
-    final = share(F.greatest("near", F.coalesce("documents", F.lit(0))))
+    each = docs.select(row_key("text").alias("copy"), F.array_distinct(words).alias("words"))
+    used = each.select("copy", F.explode("words").alias("term")).join(wanted, "term", "left_semi").distinct()
+    measured = judged.join(used.groupBy("term").agg(F.count("*").alias("texts")), "term", "left")
+    # a term's observations: its contexts, and the texts that hold it near no entity
+    final = share(F.col("near") + F.greatest(F.lit(0), F.coalesce("texts", F.lit(0)) - F.col("near_texts")))
     return measured.where(final >= NARROWED).select(
         "entity", "term", F.when(final >= DISCLOSED, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("action")
     )

@@ -246,6 +246,20 @@ def test_revealing_terms(spark):
     assert clean[-5:] == rows[-5:] and all("[TERM]" not in t for t in clean[6:])
 
 
+def test_revealing_terms_with_copies_and_footers(spark):
+    """A copied document does not weaken a term; a footer in many documents counts in each."""
+    rng = np.random.default_rng(6)
+    filler = lambda: " ".join(rng.choice(["river", "stone", "cloud", "garden", "window", "paper", "candle", "meadow"], 6))
+    near = [f"{filler()} zorblax ann@x.org {filler()}" for _ in range(4)]
+    footer = [f"{filler()} {n}\n" + "x " * 150 + "quibnor bob@x.org" for n in range(9)]
+    rows = near + [near[0]] * 200 + footer + [f"{filler()} u{i}@y.org {filler()}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = [r["text"] for r in personal.sanitise(docs).orderBy("doc_id").collect()]
+    assert not any("zorblax" in t or "quibnor" in t for t in clean)
+    assert clean[-1].split("[EMAIL]") == rows[-1].split("u199@y.org")
+    assert all("[TERM]" not in t for t in clean[:204])
+
+
 # --- classifiers
 
 
