@@ -5,12 +5,13 @@ each other: a slot holds one bit per language, and the AND of an n-gram's slots
 it. A text's votes are the popcounts per language over its n-grams, corrected for each filter's false positives
 (n grams give n * rate of them), and the largest share wins.
 
-Filters are fitted on a bounded sample of labelled texts (about ``SAMPLE_DOCS``, chosen by hash). An n-gram belongs to each language
+Filters are fitted on a bounded sample of labelled texts (about ``SAMPLE_DOCS`` of each language, or all if it has fewer, chosen by
+hash; the shares come from counts of the labelled rows). An n-gram belongs to each language
 in which it is common enough: at least ``LEAST_SHARE`` of its rate in the language that has it most, among that
-language's ``GRAMS_PER_LANGUAGE`` most frequent. At most 64 languages.
+language's ``GRAMS_PER_LANGUAGE`` most frequent. A slot has as many 64-bit words as the languages need.
 
-A null text, or one without a letter, is ``und`` with score 0. Texts without a known n-gram get the language most frequent in the
-sample, with score 0. Ties go to the language that sorts first. With nothing to learn from, all are ``und``. Equal rows get equal
+A null text, or one without a letter, is ``und`` with score 0. Texts without a known n-gram get the language most frequent among
+the labelled rows, with score 0. Ties go to the language that sorts first. With nothing to learn from, all are ``und``. Equal rows get equal
 rows. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -78,30 +79,35 @@ class LanguageFilters:
 
     @classmethod
     def build(cls, languages: list[str], grams: list[np.ndarray], default: int) -> "LanguageFilters":
-        kind = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-        slots = np.zeros(SLOTS, kind)
-        for bit, own in enumerate(grams):
+        bits, kind = next(((b, t) for b, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= b), (64, np.uint64))
+        slots = np.zeros((-(-len(languages) // bits), SLOTS), kind)
+        for number, own in enumerate(grams):
             for at in _slots(own):
-                slots[at] |= kind(1 << bit)
-        fill = np.array([np.count_nonzero(slots & kind(1 << bit)) / SLOTS for bit in range(len(languages))])
+                slots[number // bits, at] |= kind(1 << number % bits)
+        fill = np.array([np.count_nonzero(slots[n // bits] & kind(1 << n % bits)) / SLOTS for n in range(len(languages))])
         return cls(languages, slots, fill**HASHES, default)
 
     def votes(self, grams: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
         """Corrected counts of each text's n-grams in each language."""
-        masks = np.bitwise_and.reduce([self.slots[at] for at in _slots(grams)])
+        masks = np.bitwise_and.reduce([self.slots[:, at] for at in _slots(grams)])
+        bits = 8 * masks.dtype.itemsize
         total = np.bincount(owner, minlength=texts)
         found = np.empty((texts, len(self.languages)))
-        for bit, rate in enumerate(self.rates):
-            raw = np.bincount(owner[(masks & masks.dtype.type(1 << bit)) != 0], minlength=texts)
-            found[:, bit] = np.maximum(0, raw - total * rate) / (1 - rate)
+        for number, rate in enumerate(self.rates):
+            raw = np.bincount(owner[(masks[number // bits] & masks.dtype.type(1 << number % bits)) != 0], minlength=texts)
+            found[:, number] = np.maximum(0, raw - total * rate) / (1 - rate)
         return found
 
 
 def fit_filters(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS) -> LanguageFilters | None:
-    """Filters from text and lang of a sample of the rows where ``training`` holds. None if there are no such rows."""
+    """Filters from text and lang of the rows where ``training`` holds, about ``sample_docs`` of each language. None if there are no such rows."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    part = min(1.0, sample_docs / max(1, docs.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("lang", "text")
+    labelled = {r["lang"]: r["count"] for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
+    if not labelled:
+        return None
+    least = {lang: int(min(1.0, sample_docs / n) * (1 << 40)) + 1 for lang, n in labelled.items()}
+    bound = F.create_map(*[F.lit(x) for item in least.items() for x in item])[F.col("lang").cast("string")]
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 40)) < bound).select(F.col("lang").cast("string"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +126,6 @@ def fit_filters(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOC
     try:
         totals = {r["lang"]: (r["n"], r["docs"]) for r in sums.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()}
         languages = sorted(totals)
-        if not languages:
-            return None
         rate = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(1.0 / max(1, totals[lang][0])))])[F.col("lang")]
         best = sums.groupBy("gram").agg(F.max(F.col("n") * rate).alias("best"))
         typical = sums.join(best, "gram").where((F.col("n") > 1) & (F.col("n") * rate >= LEAST_SHARE * F.col("best")))
@@ -131,7 +135,7 @@ def fit_filters(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOC
             grams.append(top["gram"].to_numpy().astype(np.int64).view(np.uint64))
     finally:
         sums.unpersist()
-    return LanguageFilters.build(languages, grams, int(np.argmax([totals[lang][1] for lang in languages])))
+    return LanguageFilters.build(languages, grams, int(np.argmax([labelled[lang] for lang in languages])))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters | None) -> DataFrame:

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
-from reelmill.llm import decontaminate, near_dups, packing, personal, pivot_index, quality, repeats, urls
+from reelmill.llm import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, urls
 from reelmill.llm.common import row_steps, text_buffer
 from reelmill.llm.queries import CORPUS_ORACLE, CORPUS_QUERIES, URL_RULES, tokenizer_files
 
@@ -275,6 +276,24 @@ def test_language_and_quality_held_out(spark):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_rare_and_many_languages(spark):
+    """Few labelled rows among many others, a rare language, and more languages than one word has bits."""
+    rng = np.random.default_rng(7)
+    letters = [chr(0x4E00 + i) for i in range(80 * 6)]
+    text = lambda n: " ".join("".join(rng.choice(letters[6 * n : 6 * n + 6], 6)) for _ in range(60))
+    rows = [("common", text(0)) for _ in range(300)] + [("rare", text(1)) for _ in range(2)] + [(None, text(0)) for _ in range(3000)]
+    rows += [(f"many{n}", text(n)) for n in range(2, 80) for _ in range(2)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    few = language.fit_filters(docs.where("lang is null or lang in ('common', 'rare')"), F.lit(True), 20)
+    assert few.languages == ["common", "rare"] and few.languages[few.default] == "common"
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.where("lang = 'rare'"), few).collect()}
+    assert set(found.values()) == {"rare"}
+    filters = language.fit_filters(docs, F.lit(True), 20)
+    assert len(filters.languages) == 80
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, filters).collect()}
+    assert all(found[i] == lang for i, (lang, _) in enumerate(rows) if lang)
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(4)
     positive = rng.normal(1, 1, (4000, 3))
