@@ -14,7 +14,7 @@ from reelmill.llm import decontaminate, near_dups, packing, personal, quality
 from reelmill.llm.common import row_key, stored, table
 from reelmill.llm.queries import tokenizer_files
 
-QUALITY_LEAST, SHINGLE_WORDS, NEAR_PERCENT, WINDOW_WORDS, HIT_SHARE, SEQUENCE_TOKENS, END_TOKEN = 0.3, 5, 85, 13, 20, 1024, 2
+QUALITY_LEAST, SHINGLE_WORDS, NEAR_PERCENT, WINDOW_WORDS, HIT_SHARE, SEQUENCE_TOKENS, END_TOKEN = 0.3, 5, 80, 13, 20, 1024, 2
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component, that of the smallest doc_id."""
+    """One row of each component of texts with a similarity of ``NEAR_PERCENT`` or more, that of the smallest doc_id."""
     found = near_dups.near_duplicates(docs, SHINGLE_WORDS, NEAR_PERCENT)
     keep = found.where("is_first").select(F.col("row").alias("__row"), (F.col("n_shingles") > 0).alias("__linked")).distinct()
     joined = docs.withColumn("__row", row_key("doc_id", "text")).join(keep, "__row")

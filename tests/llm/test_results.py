@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -136,6 +137,14 @@ def test_candidates_in_a_template_crowd(spark, monkeypatch, group_rows):
     assert len(pairs) < near_dups.TREES * 4 * len(rows)
 
 
+def test_pipeline_stage_links_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    other = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 shingles: 0.81
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "something else")], "doc_id long, text string")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, FOLDER).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
 # --- packing
 
 
