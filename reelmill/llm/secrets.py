@@ -5,8 +5,9 @@ by its length, its character transitions (mean bigram surprise, and how often th
 much of it dictionary words cover, whether it lies in a path or link, and its neighbouring words. A random forest, trained from labelled
 findings, gives the probability that a candidate is a secret.
 
-The dictionary (``DICTIONARY`` words) and the bigrams come from a bounded sample of documents, and the forest from a bounded
-sample of findings (about ``SAMPLE_FINDINGS``). Everything else covers all rows and whole texts.
+The dictionary (the ``DICTIONARY`` most frequent words) and the bigrams are counted over all documents. The forest is fitted on weighted
+findings, one for each different description and label; beyond ``SAMPLE_FINDINGS`` of them the light ones are a sample with raised
+weights. Everything else covers all rows and whole texts.
 
 Null and empty texts have no candidates. Equal rows give equal findings. With findings of one class only, every candidate
 gets that class; without any, none is removed. Extra columns are ignored. An empty table gives no rows.
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-LEAST, DICTIONARY, SAMPLE_DOCS, SAMPLE_FINDINGS, NEIGHBOUR_SLOTS = 12, 5000, 5000, 20_000, 32
+LEAST, DICTIONARY, SAMPLE_FINDINGS, NEIGHBOUR_SLOTS = 12, 5000, 20_000, 32
 TREES, DEPTH = 24, 6
 
 _KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"
 _FROM_DIGIT = re.compile(r"[0-9][A-Za-z0-9_+/=-]*")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api_?key|access_?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"']{6,200})")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api_?key|access_?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"']{6,})")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +46,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for m in _FROM_DIGIT.finditer(text):
         if m.start() < done:
             continue
-        head = text[max(done, m.start() - 4096) : m.start()]
+        head = text[done : m.start()]
         begin = m.start() - (len(head) - len(head.rstrip(_KEY_CHARACTERS)))
         done = m.end()
         if done - begin >= LEAST and not any(a < done and b > begin for a, b in assigned):
@@ -60,9 +61,7 @@ class Vocabulary:
 
     @classmethod
     def learn(cls, docs: DataFrame) -> "Vocabulary":
-        """Frequent words of a sample, and their letter bigrams."""
-        part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-        sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000) + 1)
+        """The most frequent words, and the letter bigrams of all words."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -71,12 +70,21 @@ class Vocabulary:
                     seen.update(w for w in _WORD.findall((text or "").lower()) if 3 <= len(w) <= 16)
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-        counts = sample.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((128, 128), np.int64)
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    codes = [min(127, ord(c)) for c in f" {word} "]
+                    np.add.at(sums, (codes[:-1], codes[1:]), n)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], ["pair", "n"])
+
+        counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = stored(counts, "words")
         top = counts.orderBy(F.col("n").desc(), "word").limit(DICTIONARY).collect()
         pairs = np.ones((128, 128))
-        for row in top:
-            codes = [min(127, ord(c)) for c in f" {row['word']} "]
-            np.add.at(pairs, (codes[:-1], codes[1:]), row["n"])
+        for row in counts.mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            pairs[divmod(row["pair"], 128)] += row["n"]
         return cls(frozenset(r["word"] for r in top), -np.log2(pairs / pairs.sum(axis=1, keepdims=True)))
 
     def describe(self, text: str, begin: int, end: int) -> list[float]:
@@ -129,13 +137,12 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, least: floa
     described = stored(describe_candidates(docs, Vocabulary.learn(docs)), "candidates")
     findings = format_findings(described) if findings is None else findings
     known = described.join(findings.select("doc_id", "begin", "label").distinct(), ["doc_id", "begin"]).select("x", F.col("label").cast("double"))
-    part = min(1.0, SAMPLE_FINDINGS / max(1, known.count()))
-    sample = stored(known.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(part * 1_000_000) + 1), "findings")
+    sample = bounded(stored(known.groupBy("x", "label").agg(F.count("*").cast("double").alias("weight")), "findings"))
     classes = sorted(r["label"] for r in sample.select("label").distinct().collect())
     if len(classes) < 2:
         scored = described.withColumn("probability", F.lit(classes[0] if classes else 1.0))
     else:
-        forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="p")
+        forest = RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="p")
         ordered = sample.orderBy("x", "label").coalesce(1)  # a bounded sample; the order makes the forest repeatable
         model = forest.fit(ordered.withColumn("v", array_to_vector("x")))
         scored = model.transform(described.withColumn("v", array_to_vector("x"))).withColumn("probability", vector_to_array("p")[1])
@@ -145,6 +152,17 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, least: floa
     )
 
 
+def bounded(weighted: DataFrame, most: int | None = None) -> DataFrame:
+    """All rows of ``weighted`` (x, label, weight), or about ``most``: heavy rows stay, light ones are drawn by weight and then weigh the same."""
+    most = SAMPLE_FINDINGS if most is None else most
+    n, total = weighted.agg(F.count("*"), F.sum("weight")).first()
+    if n <= most:
+        return weighted
+    least = total / most
+    drawn = F.pmod(F.xxhash64("x", "label"), F.lit(1_000_000)) < F.col("weight") / least * 1_000_000
+    return weighted.where(drawn).withColumn("weight", F.greatest("weight", F.lit(least)))
+
+
 def format_findings(described: DataFrame) -> DataFrame:
     """Labels of candidates whose form leaves no doubt: known key formats and long hexadecimal values are secrets, plain numbers are not."""
     s = F.col("secret")

@@ -13,7 +13,7 @@ import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
 
-from reelmill.llm import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, urls
+from reelmill.llm import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, secrets, urls
 from reelmill.llm.common import row_steps, text_buffer
 from reelmill.llm.queries import CORPUS_ORACLE, CORPUS_QUERIES, URL_RULES, tokenizer_files
 
@@ -324,6 +324,19 @@ def test_secrets(spark):
     assert any(r["is_secret"] for r in found)
 
 
+def test_secrets_are_whole_and_counted_over_all_documents(spark):
+    key = "aB3x" * 75
+    assert secrets.candidates(f"token={key} end") == [(6, 306)]
+    assert secrets.candidates("k" * 5000 + "1") == [(0, 5001)]
+    rows = [(i, f"alpha beta {'rare' + chr(97 + i // 1000) if i % 1000 == 0 else ''} t{i}") for i in range(20_000)]
+    words = secrets.Vocabulary.learn(spark.createDataFrame(rows, "doc_id long, text string")).words
+    assert {"rare" + chr(97 + i) for i in range(20)} <= words
+    weighted = spark.createDataFrame([([float(i)], float(i % 2), 500.0 if i == 0 else 1.0) for i in range(1000)], "x array<double>, label double, weight double")
+    kept = secrets.bounded(weighted, 100).collect()
+    assert 30 < len(kept) < 130 and any(r["x"] == [0.0] and r["weight"] == 500.0 for r in kept)
+    assert abs(sum(r["weight"] for r in kept) - 1499) < 400
+
+
 # --- urls
 
 
