@@ -74,8 +74,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _place_values(seed: int, places: int = 256) -> np.ndarray:
+    """A random value for each byte at each of the first places of a span."""
+    return mix(np.arange(1, places * 256 + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+_PLACE_VALUES = [_place_values(seed) for seed in (1 << 20, 1 << 40)]
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of a byte buffer: sums of a random value for each byte at its place in the span.
+
+    Unlike a polynomial no text has a structure that the sum repeats. Two seeds give independent hashes.
+    """
+    sizes = ends - begins
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    after = np.cumsum(sizes)
+    within = np.arange(int(after[-1])) - np.repeat(after - sizes, sizes)
+    letters = data[np.repeat(begins, sizes) + within].astype(np.int64)
+    values = _PLACE_VALUES[seed][((within & 255) << 8) | letters]
+    far = np.flatnonzero(within > 255)
+    if len(far):
+        values[far] = mix(values[far] + (within[far] >> 8).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    return mix(sums[after] - sums[after - sizes] + sizes.astype(np.uint64))
+
+
 class PrefixHash:
-    """Hashes of any substring of a byte buffer from one running sum (polynomial, modulo 2^64)."""
+    """Hashes of any substring of a byte buffer from one running sum (polynomial, modulo 2^64).
+
+    Texts of some thousand letters can be made on which such sums agree, so it serves only short spans (op1's windows).
+    """
 
     _base = np.uint64(0x5851F42D4C957F2D)
     _inverse = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))

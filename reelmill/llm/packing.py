@@ -11,6 +11,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -20,54 +21,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, row_steps, text_buffer
+from .common import mix, row_steps, text_buffer
 
 #: Rows that one task packs together, and the most it holds at once.
 GROUP_ROWS = 8192
 HELD_ROWS = 65_536
 #: Word forms whose ids a Python worker keeps, the most ids kept of a form, and the bytes handled in a step.
 FORM_SLOTS, FORM_IDS, TEXT_STEP = 1 << 20, 12, 4 << 20
+#: The longest form that is kept, in bytes, and the bits of its integers that belong to a form of each length.
+FORM_BYTES = 24
+_MASKS = np.where(np.arange(FORM_BYTES) < np.arange(FORM_BYTES + 1)[:, None], 255, 0).astype(np.uint8).view(np.uint64)
 
 
 class FormTokenizer:
     """Ids of many texts at once, form by form.
 
     A single space between two other characters always begins a new token group, so a text is the sequence of its
-    forms: the pieces before, between and after such spaces. Ids of met forms stay in a table of fixed size, in
-    which a newer form takes the place of an older one. Unknown forms go to the tokenizer: through its rank file (the
-    same vocabulary, read by tiktoken, much faster for many forms) if there is one, else through ``tokenizers``.
-    Texts that hold the string of a special token always go through ``tokenizers`` whole.
+    forms: the pieces before, between and after such spaces. Ids of met forms of up to ``FORM_BYTES`` bytes stay in a table of
+    fixed size, in which a newer form takes the place of an older one; a form is known only if all of its bytes are those of the table.
+    Other forms go to the tokenizer: through its rank file (the same vocabulary, read by tiktoken, much faster for many forms) if there
+    is one, else through ``tokenizers``. Texts that hold the string of a special token go through ``tokenizers`` whole, unless
+    ``specials`` is off: then such strings are plain text.
     """
 
     _of: dict[tuple, "FormTokenizer"] = {}
 
-    def __init__(self, path: str, ranks: str | None) -> None:
+    def __init__(self, path: str, ranks: str | None, specials: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not specials
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         self.encoding = None
         if ranks:
-            import base64
-
             import public_tokenizers
             import tiktoken
 
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            table = read_ranks(ranks)
             self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.token_bytes = np.zeros(max(table.values()) + 1, np.int64)
             for token, rank in table.items():
                 self.token_bytes[rank] = len(token)
-        self.keys = np.zeros(FORM_SLOTS, np.uint64)
+        self.keys = np.zeros((FORM_SLOTS, FORM_BYTES // 8), np.uint64)
+        self.sizes = np.zeros(FORM_SLOTS, np.int64)
         self.counts = np.zeros(FORM_SLOTS, np.int64)
         self.pool = np.zeros(FORM_SLOTS * FORM_IDS, np.uint32)
 
     @classmethod
-    def at(cls, path: str, ranks: str | None) -> "FormTokenizer":
-        if (path, ranks) not in cls._of:
-            cls._of[path, ranks] = cls(path, ranks)
-        return cls._of[path, ranks]
+    def at(cls, path: str, ranks: str | None, specials: bool = True) -> "FormTokenizer":
+        if (path, ranks, specials) not in cls._of:
+            cls._of[path, ranks, specials] = cls(path, ranks, specials)
+        return cls._of[path, ranks, specials]
 
     def _text_ids(self, text: str) -> np.ndarray:
         if self.encoding is not None:
@@ -76,6 +80,8 @@ class FormTokenizer:
 
     def _form_ids(self, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of forms that begin with a space and end with none, one after another, and their counts."""
+        if not forms:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.encoding is None:
             each = [self._text_ids(f.decode()) for f in forms]
             return np.concatenate(each), np.array([len(e) for e in each], np.int64)
@@ -89,16 +95,26 @@ class FormTokenizer:
         base, raw = int(starts[0]), data[starts[0] : starts[-1]].tobytes()
         data, starts = data[starts[0] : starts[-1]], starts - base
         begins, ends, inner = form_bounds(data, starts)
-        hashes = PrefixHash(data).of(begins, ends)
+        short = inner & (ends - begins <= FORM_BYTES)
+        words = form_words(data, begins, ends)
+        hashes = mix((ends - begins).astype(np.uint64))
+        for k in range(FORM_BYTES // 8):
+            hashes = mix(hashes ^ words[:, k])
         slots = (hashes & np.uint64(FORM_SLOTS - 1)).astype(np.int64)
-        known = inner & (self.keys[slots] == hashes)
+        known = short & (self.sizes[slots] == ends - begins) & (self.keys[slots] == words).all(axis=1)
         offset, count = slots * FORM_IDS, np.where(known, self.counts[slots], 0)
-        lost = np.flatnonzero(inner & ~known)
+        # unknown short forms once each; forms that only share a hash with another, and long ones, by themselves
+        lost = np.flatnonzero(short & ~known)
         _, which, back = np.unique(hashes[lost], return_index=True, return_inverse=True)
         new = lost[which]
-        tail, sizes = self._form_ids([raw[b:e] for b, e in zip(begins[new].tolist(), ends[new].tolist())]) if len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        other = (words[new][back] != words[lost]).any(axis=1) | ((ends - begins)[new][back] != (ends - begins)[lost])
+        alone = np.concatenate([lost[other], np.flatnonzero(inner & ~short)])
+        lost, back = lost[~other], back[~other]
+        asked = np.concatenate([new, alone])
+        tail, sizes = self._form_ids([raw[b:e] for b, e in zip(begins[asked].tolist(), ends[asked].tolist())])
         at = len(self.pool) + np.cumsum(sizes) - sizes
         offset[lost], count[lost] = at[back], sizes[back]
+        offset[alone], count[alone] = at[len(new) :], sizes[len(new) :]
         edges = np.flatnonzero(~inner)
         each = [self._text_ids(raw[b:e].decode()) for b, e in zip(begins[edges].tolist(), ends[edges].tolist())]
         lengths = np.array([len(e) for e in each], np.int64)
@@ -110,15 +126,16 @@ class FormTokenizer:
         own = index < len(self.pool)
         ids = np.empty(len(index), np.uint32)
         ids[own], ids[~own] = self.pool[index[own]], rest[index[~own] - len(self.pool)]
-        # the table takes the new forms only after all ids are read
-        kept = sizes <= FORM_IDS
+        # the table takes the new forms only after all ids are read; of forms with one slot the last stays
+        sizes, at = sizes[: len(new)], at[: len(new)] - len(self.pool)
+        kept = np.flatnonzero(sizes <= FORM_IDS)
+        _, last = np.unique(slots[new[kept]][::-1], return_index=True)
+        kept = kept[len(kept) - 1 - last]
         place = slots[new[kept]]
-        self.keys[place], self.counts[place] = hashes[new[kept]], 0
+        self.keys[place], self.sizes[place], self.counts[place] = words[new[kept]], (ends - begins)[new[kept]], sizes[kept]
         for n in range(FORM_IDS):
             has = sizes[kept] > n
-            self.pool[place[has] * FORM_IDS + n] = tail[at[kept][has] - len(self.pool) + n]
-        winner = self.keys[place] == hashes[new[kept]]
-        self.counts[place[winner]] = sizes[kept][winner]
+            self.pool[place[has] * FORM_IDS + n] = tail[at[kept][has] + n]
         first = np.searchsorted(begins, starts[:-1], side="left")
         bounds = np.concatenate([[0], total])[np.append(first, len(begins))]
         texts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -132,6 +149,19 @@ class FormTokenizer:
         return texts
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The bytes of each token of a rank file and its id."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def form_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first ``FORM_BYTES`` bytes of each form as integers, zero beyond its end."""
+    padded = np.concatenate([data, np.zeros(FORM_BYTES, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, FORM_BYTES)[begins].view(np.uint64)
+    return words & _MASKS[np.minimum(ends - begins, FORM_BYTES)]
+
+
 #: Bytes that may belong to white space: ASCII white space and the lead bytes of longer white space characters.
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
@@ -217,19 +247,27 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
     fill = [sum(sizes[i] for i in b) for b in bins]
     version = [0] * len(bins)
     offers: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+    reaches = 0  # bit r is set where offers[r] may hold some
 
     def offer(b: int) -> None:
+        nonlocal reaches
         room = capacity - fill[b]
         if 0 < room < capacity:
             for i in [-1, *{sizes[i]: i for i in bins[b]}.values()]:
-                offers[room + (sizes[i] if i >= 0 else 0)].append((b, version[b], i))
+                reach = room + (sizes[i] if i >= 0 else 0)
+                offers[reach].append((b, version[b], i))
+                reaches |= 1 << reach
 
     def taker(size: int, giver: int) -> tuple[int, int] | None:
-        for reach in range(size, capacity + 1):
-            kept = offers[reach]
+        nonlocal reaches
+        ahead = reaches >> size << size
+        while ahead:
+            bit = ahead & -ahead
+            ahead ^= bit
+            reach = bit.bit_length() - 1
+            offers[reach] = kept = [o for o in offers[reach] if version[o[0]] == o[1]]
             if not kept:
-                continue
-            offers[reach] = kept = [o for o in kept if version[o[0]] == o[1]]
+                reaches ^= bit
             for b, _, i in kept:
                 gain = size - (sizes[i] if i >= 0 else 0)
                 if b != giver and gain > 0 and fill[b] + gain > fill[giver]:
@@ -245,11 +283,14 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
             again = True
             while again and bins[giver] and fill[giver] < capacity:
                 again = False
-                own = sorted({sizes[i]: i for i in bins[giver]}.values(), key=lambda i: -sizes[i])
-                pairs = [[a, b] for n, a in enumerate(own) for b in own[n + 1 :]][:64]
-                for sent in [[i] for i in own] + pairs:
-                    total = sum(sizes[i] for i in sent)
-                    if total > capacity or (found := taker(total, giver)) is None:
+                own = sorted(bins[giver], key=lambda i: -sizes[i])
+                # of all exchanges that send one total one is tried: they change the fills alike
+                sums = {sizes[i]: [i] for i in own}
+                for n, a in enumerate(own):
+                    for c in own[n + 1 :]:
+                        sums.setdefault(sizes[a] + sizes[c], [a, c])
+                for total, sent in sums.items():
+                    if (found := taker(total, giver)) is None:
                         continue
                     b, back = found
                     for i in sent:

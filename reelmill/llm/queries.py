@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, secrets, urls
+from . import alignment, decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, secrets, urls, warc
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,28 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_secret_scan")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
+
+
+@query("op13_warc_normaliser")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_records(table(spark, folder, "pages"))
+
+
+CORPUS_ORACLE["op13_warc_normaliser"] = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) payload_digest,
+    case when strlen(coalesce(html, '')) >= 1000 then max(page_id) over (partition by coalesce(html, '')) end first_id
+  from pages
+)
+select page_id, payload_bytes, payload_digest,
+  case when first_id is not null and (page_id is null or page_id < first_id) then 'revisit' else 'response' end record_type,
+  case when first_id is not null and (page_id is null or page_id < first_id) then first_id end refers_to
+from p
+"""
+
+
+@query("op12_tokenizer_alignment")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, folder, "documents"), *tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model"))
