@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, language, near_dups, packing, personal, pivot_index, quality, repeats, secrets, urls, warc
+from . import alignment, decontaminate, language, near_dups, packing, personal, phrases, pivot_index, quality, repeats, secrets, urls, warc
 from .common import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,32 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return alignment.align(table(spark, folder, "documents"), *tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_phrase_collocations")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(table(spark, folder, "documents"), top=2000, least=100, longest=5, percent=100)
+
+
+CORPUS_ORACLE["op11_phrase_collocations"] = r"""
+with d as (
+  select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents
+), p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece from d
+), w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') w from p
+), totals as (select lang, cast(sum(len(w)) as bigint) n from w group by 1
+), places as (select lang, w, unnest(range(len(w))) i from w
+), grams as (select lang, w[i + 1 : i + m] g, m from places, (select unnest(range(1, 6)) m) where i + m <= len(w)
+), f as (select lang, g, m, count(*) f from grams group by all having count(*) >= 100
+), c as (select lang, g, m, f a, array_to_string(g, ' ') phrase from f where m > 1
+), cuts as (
+  select c.lang, phrase, a, k, l.f l, r.f r, n, (1000::hugeint * a * n) // (l.f::hugeint * r.f) score
+  from (select *, unnest(range(1, c.m)) k from c) c join totals t using (lang)
+  join f l on l.lang = c.lang and l.g = c.g[1 : k] join f r on r.lang = c.lang and r.g = c.g[k + 1 : c.m]
+), lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), kept as (
+  select * from lowest x where not exists (
+    select 1 from c y where y.lang = x.lang and y.a >= x.a and y.phrase <> x.phrase and contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, cast(score as bigint) score
+from kept qualify rank <= 2000
+"""
