@@ -37,11 +37,10 @@ STEP, ENTRY_BITS, LEAST_BITS, MOST_BITS = 8 << 20, 16, 16, 27
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Fixed characters of the contract: those that end a piece, and white space between words.
-_STOP = np.zeros(256, bool)
-_STOP[[*b".,;:!?", *range(10, 14)]] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 32]] = True
+#: Fixed characters of the contract: white space between words (1), and those that end a piece (2).
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 32]] = 1
+_KIND[[*b".,;:!?", *range(10, 14)]] = 2
 _CHAIN = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -49,19 +48,24 @@ class Words:
     """Words of some texts in order: ``entry`` numbers in ``entries`` (distinct words), ``piece`` numbers, ``row``, hashes with the language."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, langs: pa.Array) -> None:
-        data = _LOWER[data]
-        n, stop = len(data), _STOP[data]
-        letter = ~(stop | _SPACE[data])
+        n, kind = len(data), _KIND[data]
+        letter = kind == 0
         edge = np.zeros(n + 1, bool)
         edge[starts] = True
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = letter[:-1], letter[1:]
-        begins = np.flatnonzero(letter & (~before | edge[:n]))
-        ends = np.flatnonzero(letter & (~after | edge[1:])) + 1
+        begins = np.flatnonzero(letter & ~(np.concatenate([[False], letter[:-1]]) & ~edge[:n])) if n else np.zeros(0, np.int64)
+        ends = np.flatnonzero(letter & ~(np.concatenate([letter[1:], [False]]) & ~edge[1:])) + 1 if n else begins
         self.row = np.searchsorted(starts, begins, side="right") - 1
-        self.piece = np.cumsum(stop)[begins] + self.row
+        # a piece ends where a stop stands between two words: mostly beside one of them
+        new = np.ones(len(begins), bool)
+        if len(begins) > 1:
+            gap = begins[1:] - ends[:-1]
+            new[1:] = (self.row[1:] != self.row[:-1]) | ((gap > 0) & ((kind[ends[:-1]] == 2) | (kind[begins[1:] - 1] == 2)))
+            wide = np.flatnonzero(~new[1:] & (gap > 2))
+            if len(wide):
+                new[wide + 1] = np.maximum.reduceat(kind, np.column_stack([ends[wide], begins[wide + 1]]).ravel())[::2] == 2
+        self.piece = np.cumsum(new)
         offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
-        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[letter].tobytes())])
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[letter]])])
         coded = packed.dictionary_encode()
         self.entry, self.entries = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         self.langs = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
@@ -114,7 +118,7 @@ def _parts(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
         while at < end:
             cut = min(at + STEP, end)
             while cut < end:
-                found = np.flatnonzero(_STOP[data[cut : min(cut + 65_536, end)]])
+                found = np.flatnonzero(_KIND[data[cut : min(cut + 65_536, end)]] == 2)
                 if len(found):
                     cut += int(found[0]) + 1
                     break
