@@ -1,10 +1,13 @@
 """Near duplicates by an LSH forest of MinHash signatures, confirmed on full shingle sets (operator 7).
 
 1. One pass turns each text into the set of its word shingles: size, a 128-bit digest of the set, and a signature of
-   ``COLUMNS`` one-byte minima. Equal sets become one representative, so groups of copies cost one row from here on.
-2. The forest: each of ``TREES`` orders permutes the columns; representatives that share the first columns of an order
-   (``prefix_depth``, at most ``LEAST_DEPTH``) are one group. All pairs of a group are held against each other by their whole
-   signatures, however crowded it is; groups of more than ``GROUP_ROWS`` are split in blocks, and each pair of blocks is a task's work.
+   ``COLUMNS`` one-byte minima. Equal sets become one representative, so groups of copies cost one row from here on. Words are hashed
+   with a random value for each byte at its place, shingles from their words; the digest holds two independent hashes of each shingle.
+2. The forest: each order permutes the columns; representatives whose sorted signatures share a long enough prefix in an order are
+   neighbours, and all pairs of such a group are held against each other by their whole signatures. The depth adapts to the region: it
+   begins at ``prefix_depth`` columns; where a group holds more than ``GROUP_ROWS``, its rows descend by ``DESCENT`` columns, in as many
+   more orders as a longer prefix needs to find a pair at the threshold as surely. At ``MOST_DEPTH`` columns, groups that are still
+   crowded are split in blocks, and each pair of blocks is a task's work: nothing is left out.
 3. Signatures that agree enough span families; a group emits only spanning links. A family is confirmed by full sets: all of
    its pairs are judged, in blocks of ``BLOCK_ROWS``. Only one link per joined class leaves a block.
 4. Links give components; members get them through their set's digest.
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, distinct_runs, groups_of, mix, row_key, row_steps, stored, text_buffer
+from .common import distinct_runs, groups_of, mix, row_key, row_steps, span_hashes, stored, text_buffer
 from .components import connected_components
 
-#: Signature columns, orders, and the most columns that a group shares.
-COLUMNS, TREES, LEAST_DEPTH = 64, 16, 4
+#: Signature columns, orders and most columns of the first depth; columns added by a descent, and where descents end.
+COLUMNS, TREES, LEAST_DEPTH, DESCENT, MOST_DEPTH = 64, 16, 4, 4, 12
 #: Following rows of a group that are compared before all others, and how far an agreement may fall below the threshold
 #: (near four standard deviations of its estimate).
 REACH, SLACK = 3, 0.19
@@ -38,15 +41,14 @@ BLOCK_ROWS, GROUP_ROWS, BROADCAST_GROUPS = 512, 2048, 100_000
 MISSED = 2e-5
 
 _FACTORS = mix(np.arange(1, COLUMNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ORDERS = [np.random.default_rng(tree).permutation(COLUMNS) for tree in range(TREES)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text in a byte buffer."""
+def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int, seeds: tuple[int, ...] = (0,)) -> Iterator[list[np.ndarray]]:
+    """The distinct shingles of each text in a byte buffer: their 64-bit hashes, sorted by the first seed's, for each seed."""
     data = _LOWER[data[starts[0] : starts[-1]]]
     starts = starts - starts[0]
     n = len(data)
@@ -59,21 +61,24 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> Iterator[n
     after = np.zeros(n, bool)
     after[:-1] = letter[1:]
     ends = np.flatnonzero(letter & (~after | edge[1:])) + 1
-    hashes = PrefixHash(data).of(begins, ends)
     first = np.searchsorted(begins, starts)
     weights = [np.uint64(pow(0x2545F4914F6CDD1D, k + 1, 1 << 64)) for k in range(words)]
-    runs = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
-    for k, weight in enumerate(weights):
-        runs += hashes[k : k + len(runs)] * weight
-    runs = mix(runs)
+    hashes = [span_hashes(data, begins, ends, seed) for seed in seeds]
+    runs = []
+    for own in hashes:
+        sums = np.zeros(max(0, len(own) - words + 1), np.uint64)
+        for k, weight in enumerate(weights):
+            sums += own[k : k + len(sums)] * weight
+        runs.append(mix(sums))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= words:
-            yield np.unique(runs[a : b - words + 1])
+            least, at = np.unique(runs[0][a : b - words + 1], return_index=True)
+            yield [least, *(other[a : b - words + 1][at] for other in runs[1:])]
         elif b > a:
-            short = hashes[a:b] * np.array(weights[: b - a], np.uint64)
-            yield mix(np.array([short.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
+            short = (own[a:b] * np.array(weights[: b - a], np.uint64) for own in hashes)
+            yield [mix(np.array([part.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)) for part in short]
         else:
-            yield np.zeros(0, np.uint64)
+            yield [np.zeros(0, np.uint64) for _ in seeds]
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -92,9 +97,9 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
             data, starts = text_buffer(batch.column(2))
             for first, last in row_steps(starts):
                 sizes, keys, signs = [], [], []
-                for own in shingle_sets(data, starts[first : last + 1], words):
+                for own, other in shingle_sets(data, starts[first : last + 1], words, (0, 1)):
                     sizes.append(len(own))
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                    keys.append(hashlib.blake2b(own.tobytes() + other.tobytes(), digest_size=16).digest() if len(own) else None)
                     signs.append(signature(own) if len(own) else None)
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
@@ -127,19 +132,48 @@ def _agreeing(signs: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.n
     return links
 
 
-def forest_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that span the set keys which share a group in one of the orders and agree enough over all columns."""
-    enough = int(np.ceil((threshold - SLACK) * COLUMNS))
-    depth = prefix_depth(threshold)
+def orders_at(depth: int, threshold: float) -> int:
+    """Orders that find a pair at the threshold at a depth in some order but for a share of ``MISSED``."""
+    return max(TREES, int(np.ceil(np.log(MISSED) / np.log1p(-(threshold**depth)))))
+
+
+def forest_groups(sets: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(group, set_key, signature): rows of one group share the first ``depth`` columns of one of the orders."""
+    orders = [np.random.default_rng((depth, tree)).permutation(COLUMNS)[:depth] for tree in range(trees)]
 
-    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COLUMNS)
-            for tree, order in enumerate(_ORDERS):
-                group = np.full(len(signs), tree, np.int64)
-                for column in order[:depth]:
-                    group = (group << 8) | signs[:, column]
-                yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], ["group", "set_key", "signature"])
+            for tree, order in enumerate(orders):
+                group = np.full(len(signs), tree, np.uint64)
+                for column in order:
+                    group = mix((group << np.uint64(8)) ^ signs[:, column])
+                yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), *batch.columns], ["group", "set_key", "signature"])
+
+    return sets.select("set_key", "signature").mapInArrow(work, "group long, set_key binary, signature binary")
+
+
+def forest_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that span the set keys which are neighbours in one of the orders and agree enough over all columns."""
+    depth, found, rows = prefix_depth(threshold), None, sets
+    while True:
+        places = forest_groups(rows, depth, orders_at(depth, threshold))
+        counts = places.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
+        crowded = stored(counts.select("group", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("blocks")), "crowded")
+        size = crowded.count()
+        known = places.join(F.broadcast(crowded) if size <= BROADCAST_GROUPS else crowded, "group", "left")
+        last = not size or depth >= MOST_DEPTH
+        pairs = _group_links(known if last else known.where("blocks is null"), threshold)
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            return found.distinct()
+        rows = stored(known.where("blocks is not null").groupBy("set_key").agg(F.min("signature").alias("signature")), "descending")
+        depth = min(depth + DESCENT, MOST_DEPTH)
+
+
+def _group_links(places: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that span the rows of each group which agree enough. ``places``: group, set_key, signature, blocks (null: one)."""
+    enough = int(np.ceil((threshold - SLACK) * COLUMNS))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, ["group", "i", "j"]):
@@ -172,17 +206,13 @@ def forest_candidates(sets: DataFrame, threshold: float) -> DataFrame:
             keys = rows["set_key"].combine_chunks()
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
 
-    places = sets.select("set_key", "signature").mapInArrow(orders, "group long, set_key binary, signature binary")
-    counts = places.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
-    large = stored(counts.select("group", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("blocks")), "large_groups")
-    known = places.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, "group", "left")
-    known = known.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    known = places.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     dealt = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", "set_key", "signature", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     parts = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "signature", "set_key")
     pairs = parts.mapInArrow(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _classes(keys: list[bytes], shingles: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple]:
@@ -221,7 +251,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, num: int, d
         for batch in batches:
             data, starts = text_buffer(batch.column(3))
             for first, last in row_steps(starts):
-                sets = [s.tobytes() for s in shingle_sets(data, starts[first : last + 1], words)]
+                sets = [s.tobytes() for s, in shingle_sets(data, starts[first : last + 1], words)]
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["set_key", "family", "blocks", "shingles"])
 
@@ -256,20 +286,25 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, num: int, d
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept and is_first (one row key of each component) for each row of ``docs``."""
     sketches = stored(sketch(docs, words), "sketches")
-    sets = stored(
-        sketches.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("row"), F.min("signature").alias("signature")), "sets"
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    sets = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("row"), F.min("signature").alias("signature"), first.alias("first"))
+    sets = stored(sets, "sets")
     families = connected_components(forest_candidates(sets, percent / 100)).select(
         F.col("node").alias("set_key"), F.col("component").alias("family")
     )
     blocks = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
     members = families.join(blocks, "family").join(sets.select("set_key", "row"), "set_key")
     links = stored(confirmed_links(docs, members, words, percent, 100), "links")
+    # names by set, then by component; written, so that a join with a hot set or component can be split
     linked = connected_components(links).select(F.col("node").alias("set_key"), "component")
-    placed = sketches.join(linked, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
-    least = placed.where("set_key is not null").groupBy("component").agg(first.alias("first"))
-    return placed.join(least, "component", "left").select(
+    linked = stored(linked.join(sets.select("set_key", "first"), "set_key"), "linked")
+    least = stored(linked.groupBy("component").agg(F.min("first").alias("least")), "least")
+    named = linked.join(least, "component").select("set_key", "least")
+    names = sets.select("set_key", "first").join(named, "set_key", "left").select("set_key", F.coalesce("least", "first").alias("first"))
+    # rows without a set get keys that no set has, each its own
+    key = F.coalesce("set_key", F.col("row").cast("string").cast("binary"))
+    placed = sketches.withColumn("key", key).join(stored(names, "names").withColumnRenamed("set_key", "key"), "key", "left")
+    return placed.select(
         "doc_id", "row", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("is_first"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -12,8 +12,10 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import mix, row_steps, text_buffer
 GROUP_ROWS = 8192
 HELD_ROWS = 65_536
 #: Word forms whose ids a Python worker keeps, the most ids kept of a form, and the bytes handled in a step.
-FORM_SLOTS, FORM_IDS, TEXT_STEP = 1 << 20, 12, 4 << 20
+FORM_SLOTS, FORM_IDS, TEXT_STEP = 1 << 20, 8, 2 << 20
 #: The longest form that is kept, in bytes, and the bits of its integers that belong to a form of each length.
 FORM_BYTES = 24
 _MASKS = np.where(np.arange(FORM_BYTES) < np.arange(FORM_BYTES + 1)[:, None], 255, 0).astype(np.uint8).view(np.uint64)
@@ -47,11 +49,9 @@ class FormTokenizer:
     _of: dict[tuple, "FormTokenizer"] = {}
 
     def __init__(self, path: str, ranks: str | None, specials: bool = True) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not specials
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
+        self.path, self.specials = path, specials
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"].encode() for t in json.load(file).get("added_tokens", [])] if specials else []
         self.encoding = None
         if ranks:
             import public_tokenizers
@@ -63,10 +63,19 @@ class FormTokenizer:
             for token, rank in table.items():
                 self.token_bytes[rank] = len(token)
         self.keys = np.zeros((FORM_SLOTS, FORM_BYTES // 8), np.uint64)
-        self.sizes = np.zeros(FORM_SLOTS, np.int64)
-        self.counts = np.zeros(FORM_SLOTS, np.int64)
+        self.sizes = np.zeros(FORM_SLOTS, np.uint8)
+        self.counts = np.zeros(FORM_SLOTS, np.uint8)
         self.pool = np.zeros(FORM_SLOTS * FORM_IDS, np.uint32)
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(self.path)
+        loaded.encode_special_tokens = not self.specials
+        return loaded
+
     @classmethod
     def at(cls, path: str, ranks: str | None, specials: bool = True) -> "FormTokenizer":
         if (path, ranks, specials) not in cls._of:
@@ -102,7 +111,7 @@ class FormTokenizer:
             hashes = mix(hashes ^ words[:, k])
         slots = (hashes & np.uint64(FORM_SLOTS - 1)).astype(np.int64)
         known = short & (self.sizes[slots] == ends - begins) & (self.keys[slots] == words).all(axis=1)
-        offset, count = slots * FORM_IDS, np.where(known, self.counts[slots], 0)
+        offset, count = slots * FORM_IDS, np.where(known, self.counts[slots], 0).astype(np.int64)
         # unknown short forms once each; forms that only share a hash with another, and long ones, by themselves
         lost = np.flatnonzero(short & ~known)
         _, which, back = np.unique(hashes[lost], return_index=True, return_inverse=True)

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from reelmill.llm import near_dups, packing, pivot_index, urls
+from reelmill.llm import near_dups, packing, phrases, pivot_index, urls
 from reelmill.llm.queries import CORPUS_QUERIES, tokenizer_files
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -33,7 +33,7 @@ def folder(spark, request, tmp_path_factory):
     return path, len(rows)
 
 
-PER_DOCUMENT = [n for n in CORPUS_QUERIES if n.split("_")[0] in ("op1", "op3", "op5", "op7", "op8", "op10")]
+PER_DOCUMENT = [n for n in CORPUS_QUERIES if n.split("_")[0] in ("op1", "op3", "op5", "op7", "op8", "op10", "op12")]
 
 
 @pytest.mark.parametrize("name", PER_DOCUMENT)
@@ -57,6 +57,9 @@ def test_one_row_per_document(spark, folder, name):
     if name.startswith("op8"):
         assert by[1][0]["n_hit"] == 4 and by[1][0]["n_items"] == 1 and by[2][0]["n_words"] == 0
         assert any(r["contaminated"] for r in by[9])  # the one-word item, whose id is null
+    if name.startswith("op12"):
+        assert all((by[i][0]["n_a"], by[i][0]["n_links"], by[i][0]["count_sum"], by[i][0]["groups_sha256"]) == (0, 0, 0, "") for i in (2, 3))
+        assert by[5][0]["n_groups"] > 30_000 and by[8][0]["n_a"] >= by[8][0]["n_groups"] > 0
     if name.startswith("op10"):
         assert (by[1][0]["n_email"], by[1][0]["n_ip"]) == (1, 1) and by[2][0]["spans"] == ""
 
@@ -89,6 +92,16 @@ def test_urls(spark, folder):
         assert by[4]["rule"] is None and by[5]["rule"] == "net/fr/" and by[6]["verdict"] == "allow"
 
 
+def test_phrases_and_archives(spark, folder):
+    path, rows = folder
+    assert CORPUS_QUERIES["op11_phrase_collocations"](spark, path).count() == 0
+    found = phrases.mine(spark.read.parquet(f"{path}/documents.parquet"), least=2).collect()
+    assert {r["lang"] for r in found} == ({"en", "de"} if rows else set())
+    found = CORPUS_QUERIES["op13_warc_normaliser"](spark, path).collect()
+    assert sorted((r["page_id"] for r in found), key=str) == ([1, 1, 2, 3, 4, 5, 6, None] if rows else [])
+    assert all((r["payload_bytes"], r["record_type"], r["refers_to"]) == (0, "response", None) for r in found)
+
+
 def test_pipeline(spark, folder):
     path, rows = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
