@@ -31,6 +31,23 @@ def millis(seconds: Column) -> Column:
     return F.floor(seconds * F.lit(1000.0) + F.lit(0.5)).cast("long")
 
 
+def units(value: Column, digits: int = 8) -> Column:
+    """The value in whole units of 10^-digits, half-up: sums of these don't depend on the order of addition."""
+    return F.floor(value * F.lit(float(10**digits)) + F.lit(0.5)).cast("decimal(28,0)")
+
+
+def mean_of_units(total: Column, count: Column, digits: int, unit_digits: int = 8) -> Column:
+    """``total / count`` of units, rounded half-up to ``digits`` decimals on integers; null without rows."""
+    step = F.nullif(count, F.lit(0)).cast("decimal(20,0)") * F.lit(10 ** (unit_digits - digits))
+    whole = total * 2 + step
+    return F.call_function("div", whole - F.pmod(whole, step * 2), step * 2) / F.lit(float(10**digits))
+
+
+def exact_mean(value: Column, digits: int = 8, unit_digits: int = 8) -> Column:
+    """Aggregate: the mean as :func:`mean_of_units`, the same however the rows arrive."""
+    return mean_of_units(F.sum(units(value, unit_digits)), F.count(value), digits, unit_digits)
+
+
 def suffix_of(path: Column) -> Column:
     """Lower-case suffix of the file name with its dot, '' when there is none."""
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import round_to
+from ..functions.columns import exact_mean, round_to, units
 from ..functions.vectors import cosine, mean_squared_error
 from .vector_blocks import apply_blocks, rounded
 
@@ -64,7 +64,7 @@ def retrieval_eval(images: DataFrame, prompts: DataFrame, **blocks: int) -> Data
         F.count("*").alias("pairs"),
         (F.count_if(F.col("true_rank") == 1) / F.count("*")).alias("top1_accuracy"),
         (F.count_if(F.col("true_rank") <= 3) / F.count("*")).alias("top3_accuracy"),
-        F.avg("margin").alias("mean_margin"),
+        exact_mean(F.col("margin")).alias("mean_margin"),
     )
 
 
@@ -78,7 +78,7 @@ def embedding_drift(before: DataFrame, after: DataFrame, key: str = "point_id",
 
 def drift_summary(drift: DataFrame) -> DataFrame:
     return drift.agg(
-        F.count("*").alias("vectors"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), F.avg("mse").alias("mean_mse")
+        F.count("*").alias("vectors"), exact_mean(F.col("cosine"), 12, 12).alias("mean_cosine"), F.min("cosine").alias("min_cosine"), exact_mean(F.col("mse"), 12, 12).alias("mean_mse")
     )
 
 
@@ -90,7 +90,7 @@ def stage_latency(agent_log: DataFrame) -> DataFrame:
     steps = agent_log.select("job_id", F.posexplode("steps").alias("step_no", "step")).select("job_id", "step_no", "step.*")
     return steps.groupBy("job_id", "node", "stage").agg(
         F.count("*").alias("runs"),
-        F.sum("latency_seconds").alias("total_seconds"),
+        (F.sum(units(F.col("latency_seconds"))) / F.lit(1e8)).cast("double").alias("total_seconds"),
         F.max("latency_seconds").alias("slowest_seconds"),
         F.max_by("summary", "step_no").alias("last_summary"),
     )

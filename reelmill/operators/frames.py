@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
-from ..functions.columns import clamp, round_to
+from ..functions.columns import clamp, mean_of_units, round_to, units
 from ..functions.vectors import l2_normalize
 from ..schemas import MISSING_SCORE
 from .ordering import position_of, value_before
@@ -207,7 +207,7 @@ def tag_scene(frames: DataFrame, scenes: DataFrame, bin_seconds: float = 60.0) -
 def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None = None) -> DataFrame:
     """One row per (file, scene): unit mean vector, mean scores (missing 0.5), first frame's bounds.
 
-    All sums combine map-side, so a scene that holds very many frames costs one row per task. The score
+    Scores are added up in whole units, so the order of the frames changes nothing. All sums combine map-side, so a scene that holds very many frames costs one row per task. The score
     keys of a scene are those of its first frame that has any, unless ``score_keys`` fixes them; frames without scores don't count.
     """
     scene_rows = frames.filter((F.col("file_type") == "video") & F.col("scene_id").isNotNull())
@@ -220,7 +220,7 @@ def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None =
     )
     # per key: what scored frames hold, and MISSING_SCORE for those without it
     sums = scene_rows.select("file_id", "scene_id", F.explode("scores").alias("k", "v")).groupBy("file_id", "scene_id", "k").agg(
-        F.sum(F.coalesce("v", F.lit(MISSING_SCORE))).alias("s"), F.count("*").alias("n")
+        F.sum(units(F.coalesce("v", F.lit(MISSING_SCORE)))).alias("s"), F.count("*").alias("n")
     )
     maps = sums.groupBy("file_id", "scene_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("s", "n")))).alias("_sums"))
     grouped = grouped.join(maps, ["file_id", "scene_id"], "left")
@@ -228,8 +228,9 @@ def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None =
 
     def mean(k: Column) -> Column:
         held = F.try_element_at("_sums", k)
-        total = F.coalesce(held["s"], F.lit(0.0)) + F.lit(MISSING_SCORE) * (F.col("_scored") - F.coalesce(held["n"], F.lit(0)))
-        return round_to(F.when(F.col("_scored") > 0, total / F.col("_scored")).otherwise(F.lit(MISSING_SCORE)), 4)
+        missing = units(F.lit(MISSING_SCORE)) * (F.col("_scored") - F.coalesce(held["n"], F.lit(0))).cast("decimal(10,0)")
+        total = F.coalesce(held["s"], F.lit(0).cast("decimal(38,0)")) + missing
+        return F.coalesce(mean_of_units(total, F.col("_scored"), 4), F.lit(MISSING_SCORE))
 
     empty = F.create_map().cast("map<string,double>")
     kept = F.coalesce(F.map_from_entries(F.transform(wanted, lambda k: F.struct(k, mean(k)))), empty)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, millis, nonzero, round_to
+from ..functions.columns import clamp, exact_mean, millis, nonzero, round_to
 from ..schemas import (
     APPROVAL_SCORE,
     FALLBACK_CANDIDATES,
@@ -301,15 +301,20 @@ def score_storyboard(drafts: DataFrame, jobs: DataFrame, keys: Sequence[str] = (
     """
     nima = F.coalesce(F.try_element_at("scores", F.lit("nima_aesthetic")), F.lit(0.5))
     relevance = F.coalesce(nonzero(F.col("similarity_score")), F.lit(0.10))
-    kind = F.coalesce("segment_type", F.lit(""))
+    kind, length = F.coalesce("segment_type", F.lit("")), millis(_seconds())
     parts = drafts.groupBy(*keys, *per).agg(
-        (F.sum(millis(_seconds())) / F.lit(1000.0)).alias("total_duration"),
-        F.stddev_pop(_seconds()).alias("_std"),
-        F.avg(nima).alias("_nima"),
-        F.avg(relevance).alias("_rel"),
+        F.sum(length).alias("_ms"),
+        F.sum((length * length).cast("decimal(28,0)")).alias("_squares"),
+        exact_mean(nima).alias("_nima"),
+        exact_mean(relevance).alias("_rel"),
         (F.min(kind) != F.max(kind)).alias("_mixed"),
         F.count("*").alias("segments"),
     )
+    # the deviation from whole milliseconds: the same in any order
+    spread = F.col("_squares") * F.col("segments").cast("decimal(20,0)") - F.col("_ms").cast("decimal(19,0)") * F.col("_ms").cast("decimal(19,0)")
+    parts = parts.withColumns({
+        "total_duration": F.col("_ms") / F.lit(1000.0), "_std": F.sqrt(spread.cast("double")) / F.col("segments") / F.lit(1000.0)
+    }).drop("_ms", "_squares")
     plan = jobs.select(*keys, F.col("target_duration").cast("double").alias("target_duration"))
     joined = plan.join(parts, list(keys), "inner" if per else "left")
     total, low = F.coalesce("total_duration", F.lit(0.0)), F.col("target_duration")

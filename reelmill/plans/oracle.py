@@ -19,6 +19,18 @@ def ms(expr: str) -> str:
     return f"cast(floor(({expr})*1000.0+0.5) as bigint)"
 
 
+def total(expr: str, unit_digits: int = 8) -> str:
+    """Sum in whole units."""
+    return f"sum(cast(floor(({expr})*1e{unit_digits}+0.5) as hugeint))"
+
+
+def mean(expr: str, digits: int = 8, unit_digits: int = 8) -> str:
+    """Mean of whole units, rounded half-up on integers."""
+    step = f"(count({expr})*{10 ** (unit_digits - digits)}::hugeint)"
+    whole = f"(2*{total(expr, unit_digits)} + {step})"
+    return f"(case when count({expr}) > 0 then (({whole} - (({whole} % (2*{step})) + 2*{step}) % (2*{step})) // (2*{step})) / 1e{digits}::double end)"
+
+
 def clip(expr: str, low: str, high: str) -> str:
     return f"(case when ({expr}) is not null then greatest({low}, least({high}, {expr})) end)"
 
@@ -65,12 +77,12 @@ CTES: dict[str, str] = {
           cast(list_transform(m.v, lambda x: x / sqrt(list_dot_product(m.v, m.v))) as float[]) as vector,
           f.file_path, f.file_id, 'video' as file_type, -1 as frame_index, f.scene_start as source_offset, f.creation_timestamp, f.duration_seconds,
           'scene' as granularity, f.scene_id, f.scene_start, f.scene_end, a.n as scene_frame_count, true as is_scene_representative,
-          case when f.nima_aesthetic is not null then {rnd('a.nima',4)} end as nima_aesthetic,
-          case when f.sharpness is not null then {rnd('a.sharp',4)} end as sharpness,
-          {rnd('a.cont',4)} as contrast, {rnd('a.color',4)} as colorfulness,
-          case when f.technical_composite is not null then {rnd('a.tech',4)} end as technical_composite
+          case when f.nima_aesthetic is not null then a.nima end as nima_aesthetic,
+          case when f.sharpness is not null then a.sharp end as sharpness,
+          a.cont as contrast, a.color as colorfulness,
+          case when f.technical_composite is not null then a.tech end as technical_composite
         from scene_first f join scene_means m using (file_id, scene_id) join (
-          select file_id, scene_id, count(*) n, avg({NIMA}) nima, avg({SHARP}) sharp, avg({CONT}) cont, avg({COLOR}) color, avg({TECH}) tech
+          select file_id, scene_id, count(*) n, {mean(NIMA,4)} nima, {mean(SHARP,4)} sharp, {mean(CONT,4)} cont, {mean(COLOR,4)} color, {mean(TECH,4)} tech
           from tagged where file_type='video' group by 1, 2) a using (file_id, scene_id)""",
     "points": """select point_id, vector, file_path, file_id, file_type, frame_index, source_offset, creation_timestamp, duration_seconds,
           'frame' as granularity, scene_id, scene_start, scene_end, cast(null as bigint) as scene_frame_count, false as is_scene_representative,
@@ -123,8 +135,9 @@ CTES: dict[str, str] = {
           select job_id, sum({ms('duration')}) as used_ms, max(seq) as last_seq from kept_draft group by 1) u using (job_id)
         where coalesce(u.used_ms, 0) + a.before_ms < j.target_duration * 60000""",
     "tries": "select f.*, i.i as iteration from filled f, (values (1), (2), (3)) i(i) where f.seq % (i.i + 1) <> 0",
-    "parts": """select job_id, iteration, sum(cast(floor(duration*1000.0+0.5) as bigint)) / 1000.0::double as total_duration, stddev_pop(duration) as std,
-          avg(coalesce(nima_aesthetic, 0.5)) as nima, avg(coalesce(nullif(similarity_score,0), 0.10)) as rel,
+    "parts": f"""select job_id, iteration, sum({ms('duration')}) / 1000.0::double as total_duration,
+          sqrt(cast(sum({ms('duration')}::hugeint*{ms('duration')}) * count(*) - sum({ms('duration')})::hugeint * sum({ms('duration')}) as double)) / count(*) / 1000.0::double as std,
+          {mean('coalesce(nima_aesthetic, 0.5)')} as nima, {mean('coalesce(nullif(similarity_score,0), 0.10)')} as rel,
           count(distinct segment_type) as kinds, count(*) as segments from tries group by 1, 2""",
     "scored": f"""select p.job_id, p.iteration, p.segments, p.total_duration, j.target_duration,
           case when p.total_duration < target_duration then greatest(0.0, p.total_duration / target_duration)
@@ -471,15 +484,15 @@ ORACLE_BODIES.update({
         s as (select *, case event_type when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' else 'RUNNING' end as status from r where k = 1)
         select cast(user_id as varchar) as job_id, status, event_type as stage, {rnd('least(100.0, value)',1)} as progress_pct, event_id as event_no, n as events,
           status = 'RUNNING' and 1706659200.0 - epoch(ts) >= 15 as needs_check from s""",
-    "telemetry_rollup": f"""select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, count(*) as samples, {rnd('avg(user_id)',6)} as avg_decode_qsize, max(user_id) as max_decode_qsize,
-          {rnd('avg(value)',6)} as avg_cpu_percent, max(value) as max_cpu_percent, max(value * 2) as max_memory_rss_mb from events where event_type <> 'signup' group by 1""",
+    "telemetry_rollup": f"""select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, count(*) as samples, {rnd(mean('user_id'),6)} as avg_decode_qsize, max(user_id) as max_decode_qsize,
+          {rnd(mean('value'),6)} as avg_cpu_percent, max(value) as max_cpu_percent, max(value * 2) as max_memory_rss_mb from events where event_type <> 'signup' group by 1""",
     "telemetry_runs": """with r as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over (order by ts, event_id) as run_id from events)
         select cast(run_id as bigint) as run_id, count(*) as samples, min(epoch(ts)) as first_sample, max(epoch(ts)) as last_sample, max(user_id) as max_decode_qsize, max(value) as max_cpu_percent
         from r where event_type <> 'signup' group by 1""",
     "stage_latency": f"""with s as (select cast(event_id as varchar) as job_id, 0 as n, upper(event_type) as node, event_type as stage, value as secs, props as summary from events
           union all select cast(event_id as varchar), 1, 'EDITOR', 'editing', value / 2, event_type from events
           union all select cast(event_id as varchar), 2, upper(event_type), event_type, value, props from events)
-        select job_id, node, stage, count(*) as runs, {rnd('sum(secs)',4)} as total_seconds, {rnd('max(secs)',4)} as slowest_seconds, arg_max(summary, n) as last_summary from s group by 1, 2, 3""",
+        select job_id, node, stage, count(*) as runs, {rnd(total('secs') + '/1e8',4)} as total_seconds, {rnd('max(secs)',4)} as slowest_seconds, arg_max(summary, n) as last_summary from s group by 1, 2, 3""",
 })
 del ORACLE_BODIES["epic_similarity"]
 ORACLE_BODIES["measure_pixels"] = ORACLE_BODIES["measure_frames"]
@@ -514,11 +527,11 @@ _pairs = f"""with p as (select vec_id, embedding as v, list_transform(range(1, 6
       {rnd('t.true_s - coalesce(max(case when s.j <> s.i then s.s end), 0.0)',8)} as margin from t join s on s.i = t.i group by t.i, t.true_s)"""
 ORACLE_BODIES["retrieval_ranks"] = _pairs + " select pair_id, true_similarity, true_rank, margin from r"
 ORACLE_BODIES["retrieval_eval"] = _pairs + f""" select count(*) as pairs, {rnd('avg(case when true_rank = 1 then 1.0 else 0.0 end)',6)} as top1_accuracy,
-    {rnd('avg(case when true_rank <= 3 then 1.0 else 0.0 end)',6)} as top3_accuracy, {rnd('avg(margin)',6)} as mean_margin from r"""
+    {rnd('avg(case when true_rank <= 3 then 1.0 else 0.0 end)',6)} as top3_accuracy, {rnd(mean('margin'),6)} as mean_margin from r"""
 _drift = f"""with c as (select vec_id, embedding::double[] as a, list_transform(embedding, lambda x: floor(cast(x as double)*100+0.5)/100) as b from embeddings),
     d as (select vec_id, list_cosine_similarity(a, b) as cosine, list_avg(list_transform(range(1, 65), lambda i: pow(a[i] - b[i], 2))) as mse from c)"""
 ORACLE_BODIES["embedding_drift"] = _drift + f" select vec_id, {rnd('cosine',8)} as cosine, {rnd('mse',10)} as mse, {rnd('cosine*100',6)} as retention_pct from d"
-ORACLE_BODIES["drift_summary"] = _drift + f" select count(*) as vectors, {rnd('avg(cosine)',8)} as mean_cosine, {rnd('min(cosine)',8)} as min_cosine, {rnd('avg(mse)',10)} as mean_mse from d"
+ORACLE_BODIES["drift_summary"] = _drift + f" select count(*) as vectors, {rnd(mean('cosine',12,12),8)} as mean_cosine, {rnd('min(cosine)',8)} as min_cosine, {rnd(mean('mse',12,12),10)} as mean_mse from d"
 
 
 def _generated(profiles: list[str], columns: str) -> str:

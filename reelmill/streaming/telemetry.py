@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_mean
 from ..operators.ordering import sums_before
 
 
@@ -25,9 +26,9 @@ def telemetry_rollup(telemetry: DataFrame, window: str = "1 minute", slide: str
     frame = F.window("event_time", window, slide) if slide else F.window("event_time", window)
     return rows.groupBy(frame.alias("w")).agg(
         F.count("*").alias("samples"),
-        F.avg("decode_qsize").alias("avg_decode_qsize"),
+        exact_mean(F.col("decode_qsize")).alias("avg_decode_qsize"),
         F.max("decode_qsize").alias("max_decode_qsize"),
-        F.avg("cpu_percent").alias("avg_cpu_percent"),
+        exact_mean(F.col("cpu_percent")).alias("avg_cpu_percent"),
         F.max("cpu_percent").alias("max_cpu_percent"),
         F.max("memory_rss_mb").alias("max_memory_rss_mb"),
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "samples", "avg_decode_qsize",
@@ -40,7 +41,7 @@ def session_rollup(telemetry: DataFrame, gap: str = "10 seconds", watermark: str
     if watermark is not None:
         rows = rows.withWatermark("event_time", watermark)
     return rows.groupBy(F.session_window("event_time", gap).alias("w")).agg(
-        F.count("*").alias("samples"), F.avg("cpu_percent").alias("avg_cpu_percent"), F.max("cpu_percent").alias("max_cpu_percent")
+        F.count("*").alias("samples"), exact_mean(F.col("cpu_percent")).alias("avg_cpu_percent"), F.max("cpu_percent").alias("max_cpu_percent")
     ).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "samples", "avg_cpu_percent", "max_cpu_percent")
 
 
