@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -261,5 +262,6 @@ def diversity_penalty(cands: DataFrame, keys: Sequence[str] = ("job_id",), place
 
     Described in the reference's documents only. ``place`` is the 0-based rank position per key.
     """
-    counted = better_neighbour_counts(cands, keys, place, vector, lambda a, b: (a @ b.T) > threshold, "similar_before")
+    counted = better_neighbour_counts(cands, keys, place, vector, lambda a, b: (a @ b.T) > threshold, "similar_before",
+                                      reach=math.sqrt(max(0.0, 2.0 * (1.0 - threshold))))
     return counted.withColumn("adjusted_rank", F.col("composite_rank") * F.pow(F.lit(0.5), F.col("similar_before")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -263,17 +264,22 @@ def _flag_all_but(items: DataFrame, survivors: DataFrame, keys: Sequence[str]) -
     return items.join(kept, [*keys, "point_id"], "left").withColumn("is_duplicate", F.col("_kept").isNull()).drop("_kept")
 
 
+def _reach(max_distance: float) -> float:
+    """How far unit vectors may lie apart whose cosine distance is within a bound."""
+    return math.sqrt(max(0.0, 2.0 * max_distance))
+
+
 def near_duplicates(items: DataFrame, keys: Sequence[str], max_distance: float = 0.05) -> DataFrame:
     """Rows of a selection with ``is_duplicate``: a better row of the key lies within the cosine distance.
 
     Whatever is near a copy is near the best copy too, so only one row per distinct vector is compared,
-    in blocks. A zero vector is near nothing, not even its copies.
+    in blocks of rows that lie close along two fixed directions. A zero vector is near nothing, not even its copies.
     """
     limit = 1.0 - max_distance
     zero = F.when(~F.exists("vector", lambda x: x != 0), F.col("point_id"))
     distinct = _best_copies(items.select(*keys, "point_id", "vector", "score"), keys, [F.col("vector"), zero])
     counted = better_neighbour_counts(
-        _best_first(distinct, keys), keys, "_place", "vector", lambda a, b: np.round(a @ b.T, 12) > limit, "_better"
+        _best_first(distinct, keys), keys, "_place", "vector", lambda a, b: np.round(a @ b.T, 12) > limit, "_better", reach=_reach(max_distance)
     )
     return _flag_all_but(items, counted.filter("_better = 0"), keys)
 

@@ -1,24 +1,28 @@
 """Exact many-to-many vector work in blocks: matrix products per Arrow batch, only results leave a task.
 
-Queries travel as one broadcast matrix while their count is within ``BROADCAST_ROWS``. Beyond that,
-both sides are packed into blocks and joined block by block on a salted key, so neither the driver nor
-one task ever holds a whole side.
+Queries travel as one broadcast matrix while they are within ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES``. Beyond that both sides
+meet in a grid: the larger one moves once, cut into fragments of about ``FRAGMENT_BYTES`` that a task holds, and the smaller one streams past
+every fragment, so neither the driver nor one task ever holds a whole side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import matrix_of, unit_rows
 
 BROADCAST_ROWS = 4096
-SALTS = 32
+BROADCAST_BYTES = 64 << 20
+FRAGMENT_BYTES = 64 << 20
+#: Queries of one request that are read at once; their width tells how many may be broadcast.
+FIRST_ROWS = 64
 SCORE_DIGITS = 8
 SCORE_CELLS = 1 << 22
 
@@ -47,11 +51,15 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _parts(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose score matrix stays within ``SCORE_CELLS``."""
+def _parts(batch: pa.RecordBatch, queries: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a batch, and where they begin, whose score matrix stays within ``SCORE_CELLS``."""
     rows = max(1, SCORE_CELLS // max(1, queries))
     for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+        yield start, batch.slice(start, rows)
+
+
+def _row_bytes(width: int) -> int:
+    return 8 * width + 64
 
 
 def apply_blocks(
@@ -62,6 +70,7 @@ def apply_blocks(
     out: T.StructType,
     make_kernel: Callable[[], BlockKernel],
     broadcast_rows: int = BROADCAST_ROWS,
+    fragment_bytes: int = FRAGMENT_BYTES,
 ) -> DataFrame:
     """Run a kernel on (point block, query block) pairs that together cover every combination.
 
@@ -71,65 +80,92 @@ def apply_blocks(
     spark = points.sparkSession
     points = points.filter(F.col(point_vector).isNotNull())
     queries = queries.filter(F.col(query_vector).isNotNull())
-    head = queries.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows <= broadcast_rows:
-        table = head.drop_columns([query_vector])
-        matrix = unit_rows(matrix_of(head.column(query_vector)))
-        shared = spark.sparkContext.broadcast((_pack(table), matrix))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packed, query_matrix = shared.value
-            query_table = _unpack(packed)
-            kernel = make_kernel()
-            if query_table.num_rows == 0:
-                return
-            for batch in batches:
-                for part in _parts(batch, len(query_matrix)):
-                    result = kernel(part, unit_rows(matrix_of(part.column(point_vector))), query_table, query_matrix)
-                    if result is not None and result.num_rows:
-                        yield result
-
-        return points.mapInArrow(scan, out)
-
-    blocks = -(-queries.count() // broadcast_rows)
-    query_names = queries.columns
-
-    def pack_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = min(FIRST_ROWS, broadcast_rows)
+    head = queries.limit(first + 1).toArrow()
+    width = max([len(v) for v in head.column(query_vector).to_pylist()], default=0)
+    if head.num_rows > first:
+        broadcast_rows = min(broadcast_rows, max(first, BROADCAST_BYTES // _row_bytes(width)))
+        head = queries.limit(broadcast_rows + 1).toArrow()
+    if head.num_rows > broadcast_rows:
+        return _grid(points, queries, point_vector, query_vector, out, make_kernel, width, fragment_bytes)
+    table = head.drop_columns([query_vector])
+    matrix = unit_rows(matrix_of(head.column(query_vector)))
+    shared = spark.sparkContext.broadcast((_pack(table), matrix))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, query_matrix = shared.value
+        query_table = _unpack(packed)
+        kernel = make_kernel()
+        if query_table.num_rows == 0:
+            return
         for batch in batches:
-            if batch.num_rows:
-                blob = _pack(pa.Table.from_batches([batch]))
-                yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["points"])
-
-    # every point block meets every query block; the salt spreads one query block over many tasks
-    salts = F.array([F.lit(i) for i in range(SALTS)])
-    query_blocks = (
-        queries.withColumn("_block", F.pmod(F.xxhash64(F.struct(*[c for c in query_names if c != query_vector])), F.lit(blocks)))
-        .groupBy("_block")
-        .agg(F.collect_list(F.struct(*query_names)).alias("queries"))
-        .withColumn("_salt", F.explode(salts))
-    )
-    point_blocks = (
-        points.mapInArrow(pack_points, "points binary")
-        .withColumn("_salt", F.pmod(F.xxhash64("points"), F.lit(SALTS)).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    )
-    pairs = point_blocks.join(query_blocks, ["_block", "_salt"]).select("_block", "points", "queries")
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernels: dict[int, BlockKernel] = {}
+            for _, part in _parts(batch, len(query_matrix)):
+                result = kernel(part, unit_rows(matrix_of(part.column(point_vector))), query_table, query_matrix)
+                if result is not None and result.num_rows:
+                    yield result
+
+    return points.mapInArrow(scan, out)
+
+
+def _grid(
+    points: DataFrame,
+    queries: DataFrame,
+    point_vector: str,
+    query_vector: str,
+    out: T.StructType,
+    make_kernel: Callable[[], BlockKernel],
+    width: int,
+    fragment_bytes: int,
+) -> DataFrame:
+    """Fragments of the larger side, each in one task, against the whole smaller side in a stream.
+
+    The larger side is shuffled once; the smaller one once for each fragment. Rows stay rows: no block is ever one value.
+    """
+    n_points, n_queries = points.count(), queries.count()
+    hold_points = n_points >= n_queries
+    cells = max(1, -(-max(n_points, n_queries) * _row_bytes(width) // fragment_bytes))
+    large, small = (points, queries) if hold_points else (queries, points)
+    plain = [f.name for f in large.schema if not isinstance(f.dataType, T.MapType)]
+    kinds = (large.schema.simpleString(), small.schema.simpleString())
+
+    def side(df: DataFrame, cell: Column, number: int) -> DataFrame:
+        whole = F.struct(*df.columns)
+        return df.select(
+            cell.alias("cell"), F.lit(number).alias("side"),
+            (F.lit(None).cast(kinds[0]) if number else whole).alias("held"), (whole if number else F.lit(None).cast(kinds[1])).alias("passing"),
+        )
+
+    fragments = side(large, F.pmod(F.xxhash64(*plain), F.lit(cells)).cast("int"), 0)
+    stream = side(small, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))), 1)
+    dealt = fragments.unionByName(stream).repartition(cells, "cell").sortWithinPartitions("cell", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
-            for block, blob, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                found = _unpack(blob.as_py()).combine_chunks().to_batches()
-                query_table = pa.Table.from_struct_array(packed.values)
-                query_matrix = unit_rows(matrix_of(query_table.column(query_vector)))
-                kernel = kernels.setdefault(block, make_kernel())
-                for part in (p for b in found for p in _parts(b, len(query_matrix))):
-                    matrix = unit_rows(matrix_of(part.column(point_vector)))
-                    result = kernel(part, matrix, query_table.drop_columns([query_vector]), query_matrix)
-                    if result is not None and result.num_rows:
-                        yield result
+            if not batch.num_rows:
+                continue
+            places = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            bounds = np.concatenate([[0], np.flatnonzero((np.diff(places) != 0).any(axis=0)) + 1, [batch.num_rows]]).tolist()
+            for begin, end in zip(bounds, bounds[1:]):
+                if places[0, begin] != cell:
+                    cell, held = places[0, begin], []
+                if places[1, begin] == 0:
+                    rows = pa.RecordBatch.from_struct_array(batch.column(2).slice(begin, end - begin))
+                    vectors = unit_rows(matrix_of(rows.column(point_vector if hold_points else query_vector)))
+                    held.append((rows, vectors, None if hold_points else make_kernel()))
+                    continue
+                rows = pa.RecordBatch.from_struct_array(batch.column(3).slice(begin, end - begin))
+                vectors = unit_rows(matrix_of(rows.column(query_vector if hold_points else point_vector)))
+                fresh = make_kernel() if hold_points else None
+                for other, matrix, kernel in held:
+                    found, found_matrix, asked, asked_matrix = (other, matrix, rows, vectors) if hold_points else (rows, vectors, other, matrix)
+                    table = pa.Table.from_batches([asked]).drop_columns([query_vector])
+                    for start, part in _parts(found, len(asked_matrix)):
+                        result = (fresh or kernel)(part, found_matrix[start : start + part.num_rows], table, asked_matrix)
+                        if result is not None and result.num_rows:
+                            yield result
 
-    return pairs.mapInArrow(cross, out)
+    return dealt.mapInArrow(meet, out)
 
 
 class RunningBest:
@@ -212,6 +248,34 @@ def top_k_kernel(k: int, id_column: str, point_cols: Sequence[str], query_cols:
     return make
 
 
+#: Fixed directions that vectors are laid along, and how far rounding may move a vector.
+_SLAB_AXES, _SLAB_MARGIN = 2, 1e-6
+
+
+def _slabs(matrix: np.ndarray, reach: float) -> np.ndarray:
+    """Slab numbers of unit rows along each axis; rows closer than ``reach`` lie in the same or in neighbouring slabs."""
+    axes = np.random.default_rng(0).normal(size=(matrix.shape[1], _SLAB_AXES))
+    lengths = np.linalg.norm(axes, axis=0)
+    return np.floor(matrix @ (axes / np.where(lengths == 0, 1.0, lengths)) / (reach + _SLAB_MARGIN)).astype(np.int64)
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of one cell each from batches sorted by ``_cell``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("_cell").to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(bounds, bounds[1:]):
+            if held and held[-1].column("_cell")[0].as_py() != names[begin]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def better_neighbour_counts(
     df: DataFrame,
     keys: Sequence[str],
@@ -220,48 +284,67 @@ def better_neighbour_counts(
     near: Callable[[np.ndarray, np.ndarray], np.ndarray],
     out: str,
     block_rows: int = 1024,
+    reach: float | None = None,
 ) -> DataFrame:
     """For each row, how many rows of its key with a smaller ``place`` are near it.
 
-    ``place`` is the 0-based position inside the key. A key is cut into blocks of ``block_rows``
-    consecutive places, blocks are paired, and a task returns one count per row, never the pairs.
-    ``near(a, b)`` gives a boolean matrix for two unit matrices (or two columns of 64-bit words).
+    ``place`` is the 0-based position inside the key. ``near(a, b)`` gives a boolean matrix for two unit matrices (or two columns
+    of 64-bit words). A key of up to ``block_rows`` rows is one cell. In a larger one, rows meet only along slabs of width ``reach``,
+    the largest distance of unit vectors that are near (None: one slab), and a slab that is still full is a grid of
+    cells, each a block of rows against a block of possible neighbours. A task returns one count per row, never the pairs.
     """
-    rows = df.withColumn("_block", F.floor(F.col(place) / F.lit(block_rows)).cast("long"))
-    packed = rows.groupBy(*keys, "_block").agg(
-        F.collect_list(F.struct(F.col(place).alias("place"), F.col(vector).alias("vector"))).alias("items")
-    )
-    last = packed.groupBy(*keys).agg(F.max("_block").alias("_last"))
-    left = packed.select(*keys, F.col("_block").alias("_left"), F.col("items").alias("earlier"))
-    # each earlier block meets itself and every later block of its key
-    left = left.join(last, list(keys)).withColumn("_block", F.explode(F.sequence("_left", "_last"))).drop("_last")
-    pairs = left.join(packed, [*keys, "_block"])
-    key_types = [df.schema[k] for k in keys]
-    schema = T.StructType([*key_types, T.StructField(place, T.LongType()), T.StructField(out, T.LongType())])
+    keys = list(keys)
+    key_fields = [df.schema[k] for k in keys]
+    words = not isinstance(df.schema[vector].dataType, T.ArrayType)
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows).select(*keys, F.lit(True).alias("_large"))
+    rows = df.select(*keys, place, vector).join(large, keys, "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
+    small = rows.filter("not _large").select(*keys, place, vector, F.lit("").alias("_slab"), F.lit(2).alias("_role"))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.zeros((batch.num_rows, _SLAB_AXES), np.int64)
+            steps = [(0,) * _SLAB_AXES]
+            if reach is not None and not words:
+                own = _slabs(unit_rows(matrix_of(batch.column(vector))), reach)
+                steps = list(product((-1, 0, 1), repeat=_SLAB_AXES))
+            for role, moves in ((0, [(0,) * _SLAB_AXES]), (1, steps)):
+                for move in moves:
+                    names = pa.array([f"{a}/{b}" for a, b in (own + np.array(move)).tolist()])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(np.full(batch.num_rows, role, np.int32))], [*batch.schema.names, "_slab", "_role"])
+
+    crowd = rows.filter("_large").drop("_large")
+    laid = crowd.mapInArrow(lay, T.StructType([*crowd.schema.fields, T.StructField("_slab", T.StringType()), T.StructField("_role", T.IntegerType())]))
+    blocks = lambda role: F.ceil(F.count_if(F.col("_role") == role) / F.lit(block_rows)).cast("int")
+    shape = laid.select(*keys, "_slab", "_role").groupBy(*keys, "_slab").agg(blocks(0).alias("_rows"), blocks(1).alias("_others"))
+    placed = laid.join(shape.filter("_rows > 0"), [*keys, "_slab"])
+    sent = lambda own, n: F.when(F.col("_role") == own, F.array(F.pmod(F.xxhash64(place), F.col(n)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = placed.withColumn("_row_block", F.explode(sent(0, "_rows"))).withColumn("_other_block", F.explode(sent(1, "_others"))).drop("_rows", "_others")
+    cells = small.withColumns({"_row_block": F.lit(0), "_other_block": F.lit(0)}).unionByName(placed)
+    cells = cells.withColumn("_cell", F.to_json(F.struct(*keys, "_slab", "_row_block", "_other_block"))).drop("_slab", "_row_block", "_other_block")
+    schema = T.StructType([*key_fields, T.StructField(place, T.LongType()), T.StructField(out, T.LongType())])
     arrow_schema = _arrow_schema(schema)
 
-    def items_of(packed_items: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        table = pa.Table.from_struct_array(packed_items.values)
-        places = table.column("place").to_numpy()
-        column = table.column("vector")
-        if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
-            return places, unit_rows(matrix_of(column))
-        return places, column.to_numpy()
+    def vectors_of(table: pa.Table) -> np.ndarray:
+        return table.column(vector).to_numpy() if words else unit_rows(matrix_of(table.column(vector)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                earlier_places, earlier = items_of(batch.column("earlier")[i])
-                places, items = items_of(batch.column("items")[i])
-                hits = near(items, earlier) & (earlier_places[None, :] < places[:, None])
-                counts = hits.sum(axis=1)
-                found = np.flatnonzero(counts)
-                if not len(found):
-                    continue
-                arrays = [pa.array([batch.column(k)[i].as_py()] * len(found), arrow_schema.field(k).type) for k in keys]
-                arrays += [pa.array(places[found]).cast(pa.int64()), pa.array(counts[found]).cast(pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, arrow_schema.names)
-
-    counts = pairs.select(*keys, "earlier", "items").mapInArrow(count, schema)
+        for table in _whole_cells(batches):
+            role = table.column("_role").to_numpy()
+            targets = table.take(pa.array(np.flatnonzero(role != 1)))
+            others = targets if role[0] == 2 else table.take(pa.array(np.flatnonzero(role == 1)))
+            if not targets.num_rows or not others.num_rows:
+                continue
+            places = targets.column(place).to_numpy()
+            earlier = others.column(place).to_numpy()[None, :] < places[:, None]
+            counts = (near(vectors_of(targets), vectors_of(others)) & earlier).sum(axis=1)
+            found = np.flatnonzero(counts)
+            if len(found):
+                kept = targets.take(pa.array(found))
+                arrays = [kept.column(k).combine_chunks().cast(arrow_schema.field(k).type) for k in [*keys, place]]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts[found].astype(np.int64))], arrow_schema.names)
+
+    counts = cells.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(count, schema)
     totals = counts.groupBy(*keys, place).agg(F.sum(out).alias(out))
     return df.join(totals, [*keys, place], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long")))

@@ -355,7 +355,7 @@ ORACLE_BODIES.update({
         select vec_id, case when vec_id % 50 = 1 then 0.5 when vec_id % 7 = 0 then 0.4321 else {rnd(clip('(weighted / total - 1.0) / 9.0','0.0','1.0'),4)} end as nima_aesthetic from s""",
     "epic_composite": f"""select vec_id, {rnd('0.55*nima_aesthetic + 0.45*technical_composite',4)} as epic_composite from frames""",
     "prompt_text": """select doc_id, case doc_id % 4 when 0 then 'a photo of ' || rtrim(text, ' ') when 1 then 'a video of ' || rtrim(text, ' ') else 'a photo of ' || trim(text, ' ') end as prompt from documents""",
-    "build_points": "select point_id, file_path, granularity, frame_index, source_offset, scene_id, is_scene_representative, scene_frame_count from points",
+    "build_points": "select point_id, file_path, granularity, frame_index, source_offset, scene_id, is_scene_representative, scene_frame_count, nima_aesthetic, sharpness, technical_composite from points",
     "search_topk": _topk("points", "queries", 10, "q.query_id = 3"),
     "search_threshold": _topk("points", "queries", 25, floor="score >= 0.15"),
     "search_filtered": _topk("points", "queries", 5, "p.creation_timestamp between 1704200000 and 1704900000 and p.file_type='video' and p.granularity='frame' and p.scene_id = 1"),

@@ -346,7 +346,8 @@ def _(m: Media) -> DataFrame:
 
 @query("build_points")
 def _(m: Media) -> DataFrame:
-    return m.points.select("point_id", "file_path", "granularity", "frame_index", "source_offset", "scene_id", "is_scene_representative", "scene_frame_count")
+    kept = ("point_id", "file_path", "granularity", "frame_index", "source_offset", "scene_id", "is_scene_representative", "scene_frame_count")
+    return m.points.select(*kept, *[F.try_element_at("scores", F.lit(k)).alias(k) for k in ("nima_aesthetic", "sharpness", "technical_composite")])
 
 
 # --- search -------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.vectors import l2_normalize
 from reelmill.operators import search
+from reelmill.operators.vector_blocks import better_neighbour_counts
 from reelmill.schemas import POINTS
 
 
@@ -49,18 +50,20 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     assert "scores" not in plan
 
 
-@pytest.mark.parametrize("broadcast_rows", [4096, 7])
-def test_many_queries_with_a_hot_group_of_copies(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, fragment_bytes, copies", [(4096, 64 << 20, 1), (7, 64 << 20, 1), (7, 9000, 1), (7, 9000, 40)])
+def test_many_queries_with_a_hot_group_of_copies(spark, broadcast_rows, fragment_bytes, copies):
+    """By broadcast, in one fragment, in many fragments of points, and of queries where those are more."""
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(600, 8)).astype("f4")
     vectors[100:320] = vectors[100]  # a third are copies
     rows = [dict(point_id=f"p{i:03d}", vector=v.tolist(), file_path="/x") for i, v in enumerate(vectors)]
     points = points_of(spark, rows).repartition(4)
-    queries = spark.createDataFrame([(i, vectors[90 + i].tolist()) for i in range(30)], "query_id int, query_vector array<float>")
-    got = search.search_many(points, queries, 5, broadcast_rows=broadcast_rows)
+    asked = [(i + 30 * c, vectors[90 + i].tolist()) for i in range(30) for c in range(copies)]
+    queries = spark.createDataFrame(asked, "query_id int, query_vector array<float>")
+    got = search.search_many(points, queries, 5, broadcast_rows=broadcast_rows, fragment_bytes=fragment_bytes)
     unit = vectors.astype("f8") / np.linalg.norm(vectors.astype("f8"), axis=1)[:, None]
     scores = np.floor(unit[90:120] @ unit.T * 1e8 + 0.5) / 1e8
-    want = {(q, n + 1, f"p{j:03d}") for q in range(30) for n, j in enumerate(sorted(range(600), key=lambda j: (-scores[q, j], j))[:5])}
+    want = {(q + 30 * c, n + 1, f"p{j:03d}") for q in range(30) for n, j in enumerate(sorted(range(600), key=lambda j: (-scores[q, j], j))[:5]) for c in range(copies)}
     assert {(r.query_id, r["rank"], r.point_id) for r in got.collect()} == want
 
 
@@ -99,6 +102,42 @@ def test_near_duplicates_in_a_hot_group(spark):
         assert got[name] == any(unit[i] @ unit[k] > 0.95 for k in better)
 
 
+def test_the_larger_side_moves_once(spark):
+    """Beyond the broadcast there is one exchange to the cells, the points are not multiplied, and no block is collected into a row."""
+    rng = np.random.default_rng(6)
+    points = points_of(spark, [dict(point_id=f"p{i:04d}", vector=v.tolist(), file_path="/x") for i, v in enumerate(rng.normal(size=(400, 4)))])
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 4)))], "query_id int, query_vector array<float>")
+    hits = search.search_many(points, queries, 3, broadcast_rows=16, fragment_bytes=4000)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "collect_list" not in plan and plan.count("RepartitionByExpression") == 1
+    assert hits.count() == 270
+
+
+@pytest.mark.parametrize("reach, block_rows", [(0.3, 16), (0.3, 4096), (None, 16), (None, 50)])
+@pytest.mark.parametrize("width", [1, 3])
+def test_neighbour_counts_of_a_crowded_key(spark, reach, block_rows, width):
+    """Nine tenths of all rows share a key; no task compares more than a few blocks of them."""
+    rng = np.random.default_rng(7)
+    vectors = np.concatenate([rng.normal(size=(250, width)), np.ones((60, width)) + rng.normal(scale=0.05, size=(60, width)), np.zeros((2, width))])
+    keys = ["hot" if i % 10 else f"k{i % 4}" for i in range(len(vectors))]
+    place, seen = [], {}
+    for k in keys:
+        place.append(seen.get(k, 0))
+        seen[k] = place[-1] + 1
+    df = spark.createDataFrame([(k, p, v.tolist()) for k, p, v in zip(keys, place, vectors)], "key string, place long, vector array<double>")
+    norms = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(norms == 0, 1, norms)[:, None]
+    limit = 1 - 0.3**2 / 2
+
+    def near(a, b):
+        assert len(a) <= 4 * block_rows and len(b) <= 4 * block_rows
+        return a @ b.T > limit
+
+    found = {(r.key, r.place): r.n for r in better_neighbour_counts(df, ["key"], "place", "vector", near, "n", block_rows, reach).collect()}
+    for i, (k, p) in enumerate(zip(keys, place)):
+        assert found[k, p] == sum(unit[i] @ unit[j] > limit for j in range(i) if keys[j] == k)
+
+
 def test_ragged_vectors_are_an_error(spark):
     points = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 0.0, 0.0])], "point_id string, vector array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
