@@ -48,6 +48,11 @@ def exact_mean(value: Column, digits: int = 8, unit_digits: int = 8) -> Column:
     return mean_of_units(F.sum(units(value, unit_digits)), F.count(value), digits, unit_digits)
 
 
+def event_time() -> Column:
+    """The ``timestamp`` column (epoch seconds) as a timestamp."""
+    return F.timestamp_micros((F.col("timestamp") * F.lit(1e6)).cast("long"))
+
+
 def suffix_of(path: Column) -> Column:
     """Lower-case suffix of the file name with its dot, '' when there is none."""
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalog import apply_changes, classify, mark_errors, mark_indexed, with_fast_hash, with_mime_type
-from ..sources.listing import _listed, _media, hash_contents, read_headers, sniff_type
+from ..sources.listing import _listed, _media, read_contents, sniff_type
 from ..sources.versions import PointStore, VersionedTable
 
 IN_FLIGHT_FRAMES = 512
@@ -45,7 +45,7 @@ def ingest_stream(
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         files = catalogue.read()
-        listing = hash_contents(with_fast_hash(with_mime_type(sniff_type(read_headers(batch)))))
+        listing = with_mime_type(sniff_type(read_contents(with_fast_hash(batch))))
         classified = classify(files, listing)
         merged = apply_changes(files, classified, F.unix_micros(F.current_timestamp()) / F.lit(1e6))
         broken = listing.filter(F.col("read_error").isNotNull()).select("file_path", F.col("read_error").alias("message"))

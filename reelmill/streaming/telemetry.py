@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_mean
+from ..functions.columns import event_time, exact_mean
 from ..operators.ordering import sums_before
 
 
-def event_time() -> Column:
-    return F.timestamp_micros((F.col("timestamp") * F.lit(1e6)).cast("long"))
-
-
 def samples(telemetry: DataFrame) -> DataFrame:
     """Measurements without the start and stop markers."""
     return telemetry.filter(F.col("event").isNull())

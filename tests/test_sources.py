@@ -61,6 +61,41 @@ def test_second_scan_reads_nothing_and_prunes(spark, corpus):
     assert store.read().count() == 3 and store.read().filter("status <> 'INDEXED'").count() == 0
 
 
+def test_each_new_file_is_opened_once_and_known_ones_never(spark, corpus, tmp_path):
+    for n in range(40):
+        write(corpus, f"deep/level{n % 3}/more/p{n}.jpg", JPEG + bytes([n]))
+    log = str(tmp_path / "opened")
+
+    def counted(path):
+        with open(log, "a") as file:
+            file.write(path + "\n")
+        return listing.open_file(path)
+
+    empty = spark.createDataFrame([], FILES)
+    ready = listing.read_listing(spark, str(corpus), empty, opener=counted)
+    first = spark.createDataFrame(ready.collect(), ready.schema)
+    opened = open(log).read().split()
+    assert len(opened) == len(set(opened)) == 43 and first.filter("content_hash is null").count() == 0
+    files = catalog.apply_scan(empty, catalog.classify(empty, first), F.lit(1.0))
+    write(corpus, "deep/new.jpg", JPEG)
+    again = listing.read_listing(spark, str(corpus), files, opener=counted).collect()
+    assert len(again) == 44 and [p.rsplit("/", 1)[1] for p in open(log).read().split()[43:]] == ["new.jpg"]
+    assert {r.file_type for r in again} == {"image", "video"}
+    assert listing.read_listing(spark, str(corpus), files, force=True).filter("content_hash is not null").count() == 44
+
+
+@pytest.mark.parametrize("folders", [1, 3, 64])
+def test_folders_are_partitions(spark, corpus, folders):
+    """Files are listed by tasks; the driver's plan holds folders only, and the times are those of Spark's own listing."""
+    for n in range(12):
+        write(corpus, f"a{n % 4}/b{n}/c.jpg", JPEG)
+    parts = listing.FolderReader(str(corpus), folders).partitions()
+    assert all(not p.folder.endswith(".jpg") for p in parts) and len(parts) >= min(folders, 5)
+    found = sorted(tuple(r) for r in listing.scan_corpus(spark, str(corpus), folders).collect())
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(corpus))
+    assert found == sorted(tuple(r) for r in listing._media(listing._listed(own)).collect()) and len(found) == 15
+
+
 def test_a_missing_file_only_marks_its_row(spark, tmp_path):
     write(tmp_path, "a.jpg", JPEG)
     df = spark.createDataFrame([(str(tmp_path / "a.jpg"),), (str(tmp_path / "none.jpg"),)], "file_path string")
