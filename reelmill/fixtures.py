@@ -252,6 +252,9 @@ class Media:
             F.when(~start, F.col("user_id") % 7).alias("index_qsize"),
             F.when(~start, F.col("value")).alias("cpu_percent"),
             F.when(~start, F.col("value") * 2).alias("memory_rss_mb"),
+            F.when(~start, F.col("value") / 4).alias("system_cpu_percent"),
+            F.when(~start, (F.col("user_id") % 100).cast("double")).alias("system_ram_percent"),
+            F.concat(F.lit("host"), F.col("event_id") % 5).alias("source"),
         )
 
     @cached_property

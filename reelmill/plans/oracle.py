@@ -484,11 +484,18 @@ ORACLE_BODIES.update({
         s as (select *, case event_type when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' else 'RUNNING' end as status from r where k = 1)
         select cast(user_id as varchar) as job_id, status, event_type as stage, {rnd('least(100.0, value)',1)} as progress_pct, event_id as event_no, n as events,
           status = 'RUNNING' and 1706659200.0 - epoch(ts) >= 15 as needs_check from s""",
-    "telemetry_rollup": f"""select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, count(*) as samples, {rnd(mean('user_id'),6)} as avg_decode_qsize, max(user_id) as max_decode_qsize,
-          {rnd(mean('value'),6)} as avg_cpu_percent, max(value) as max_cpu_percent, max(value * 2) as max_memory_rss_mb from events where event_type <> 'signup' group by 1""",
-    "telemetry_runs": """with r as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over (order by ts, event_id) as run_id from events)
-        select cast(run_id as bigint) as run_id, count(*) as samples, min(epoch(ts)) as first_sample, max(epoch(ts)) as last_sample, max(user_id) as max_decode_qsize, max(value) as max_cpu_percent
-        from r where event_type <> 'signup' group by 1""",
+    "telemetry_rollup": f"""select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, count(*) as samples,
+          {rnd(mean('user_id'),6)} as avg_decode_qsize, {rnd(mean('user_id % 7'),6)} as avg_index_qsize, {rnd(mean('value'),6)} as avg_cpu_percent,
+          {rnd(mean('value * 2'),6)} as avg_memory_rss_mb, {rnd(mean('value / 4'),6)} as avg_system_cpu_percent, {rnd(mean('user_id % 100'),6)} as avg_system_ram_percent,
+          max(user_id) as max_decode_qsize, max(user_id % 7) as max_index_qsize, max(value) as max_cpu_percent, max(value * 2) as max_memory_rss_mb,
+          max(value / 4) as max_system_cpu_percent, max(cast(user_id % 100 as double)) as max_system_ram_percent
+          from events where event_type <> 'signup' group by 1""",
+    "telemetry_runs": """with r as (select *, 'host' || event_id % 5 as source,
+          sum(case when event_type = 'signup' then 1 else 0 end) over (partition by event_id % 5 order by ts, event_id) as run_id from events)
+        select source, cast(run_id as bigint) as run_id, count(*) as samples, min(epoch(ts)) as first_sample, max(epoch(ts)) as last_sample,
+          max(user_id) as max_decode_qsize, max(user_id % 7) as max_index_qsize, max(value) as max_cpu_percent, max(value * 2) as max_memory_rss_mb,
+          max(value / 4) as max_system_cpu_percent, max(cast(user_id % 100 as double)) as max_system_ram_percent
+        from r where event_type <> 'signup' group by 1, 2""",
     "stage_latency": f"""with s as (select cast(event_id as varchar) as job_id, 0 as n, upper(event_type) as node, event_type as stage, value as secs, props as summary from events
           union all select cast(event_id as varchar), 1, 'EDITOR', 'editing', value / 2, event_type from events
           union all select cast(event_id as varchar), 2, upper(event_type), event_type, value, props from events)

@@ -831,8 +831,9 @@ def _(m: Media) -> DataFrame:
 @query("telemetry_rollup")
 def _(m: Media) -> DataFrame:
     found = telemetry_stream.telemetry_rollup(m.telemetry, "1 hour")
-    return found.select(F.unix_timestamp("window_start").alias("window_start"), "samples", round_to(F.col("avg_decode_qsize"), 6).alias("avg_decode_qsize"), "max_decode_qsize",
-                        round_to(F.col("avg_cpu_percent"), 6).alias("avg_cpu_percent"), "max_cpu_percent", "max_memory_rss_mb")
+    means = [round_to(F.col(f"avg_{m}"), 6).alias(f"avg_{m}") for m in telemetry_stream.MEASURES]
+    highest = [f"max_{m}" for m in telemetry_stream.MEASURES]
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "samples", *means, *highest)
 
 
 @query("telemetry_runs")

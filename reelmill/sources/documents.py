@@ -29,8 +29,8 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON-lines log: lifecycle rows carry ``event``, samples carry measurements."""
-    return spark.read.schema(TELEMETRY).json(path)
+    """JSON-lines logs: lifecycle rows carry ``event``, samples carry measurements; ``source`` is the file, one per producer."""
+    return spark.read.schema(TELEMETRY).json(path).withColumn("source", F.col("_metadata.file_path"))
 
 
 def export_session(

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelmill.fixtures import Media
@@ -70,6 +71,50 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(jobs.progress(rows).collect())
 
 
+def test_run_stream_equals_batch(spark, tmp_path):
+    """Rows of all sources mixed and out of order within the watermark; a last file moves the watermark past all of them."""
+    rows = Media(spark, FOLDER).telemetry
+    rows = rows.select(*rows.columns)
+    end = rows.agg(F.max("timestamp")).first()[0]
+    path = str(tmp_path / "in")
+    rows.withColumn("_part", F.ntile(6).over(Window.orderBy(F.col("timestamp") + F.pmod(F.hash("event_no"), F.lit(7200))))).write.partitionBy("_part").parquet(path + "-parts")
+    for n in range(1, 7):
+        spark.read.schema(rows.schema).parquet(f"{path}-parts/_part={n}").coalesce(1).write.mode("append").parquet(path)
+    for late in (1e7, 2e7):
+        rows.limit(1).withColumns({"timestamp": F.lit(end + late), "source": F.lit("end"), "event": F.lit(None).cast("string")}).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(spark, telemetry.run_rollup_stream(stream, "3 hours"), "runs", tmp_path, "append")
+    best = {}
+    for r in got.filter("source <> 'end'").collect():
+        if (r.source, r.run_id) not in best or best[r.source, r.run_id].samples < r.samples:
+            best[r.source, r.run_id] = r
+    batch = telemetry.run_rollup(rows)
+    assert sorted(tuple(r) for r in best.values()) == sorted(tuple(r) for r in batch.collect())
+    plan = batch._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(source" in plan and "windowspecdefinition(0" not in plan
+
+
+def test_progress_stream_forgets_and_counts_replays_once(spark, tmp_path):
+    """A running job is reported as it moves, replays change nothing, and finished jobs leave the state."""
+    schema = "job_id string, stage string, event_no long, processed long, total long, timestamp double"
+    path = str(tmp_path / "in")
+    batches = [[(f"j{n}", "scan", n, 1, 10, 100.0 + n) for n in range(20)], [("j1", "scan", 1, 1, 10, 101.0), ("j1", "scan", 50, 5, 10, 111.0)],
+               [("k", "scan", 90, 1, 2, 400.0)], [("k", "scan", 91, 2, 2, 401.0)], [("k", "scan", 92, 2, 2, 402.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = jobs.progress_stream(stream, "5 seconds", 30.0).writeStream.outputMode("append").format("memory").queryName("moves").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("moves").collect()
+    j1 = sorted((r.processed, r.percentage, r.elapsed_seconds) for r in got if r.job_id == "j1")
+    assert j1 == [(1, 10.0, 0.0), (5, 50.0, 10.0)]
+    last = max((r for r in got if r.job_id == "k"), key=lambda r: (r.processed, r.elapsed_seconds))
+    assert (last.percentage, last.elapsed_seconds, last.files_per_second) == (100.0, 2.0, 1.0)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert sizes[-1] < sizes[0]
+
+
 def test_latest_state_stream_and_silence(spark, tmp_path):
     events = [("a", 1, "progress", 0.0, 100.0), ("a", 2, "progress", 50.0, 101.0), ("b", 3, "progress", 10.0, 102.0), ("b", 4, "completed", 100.0, 103.0),
               ("z", 5, "progress", 1.0, 400.0), ("z", 6, "progress", 2.0, 500.0)]
