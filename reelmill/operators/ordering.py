@@ -92,13 +92,34 @@ def value_before(
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, right_cols: Sequence[str], width: float
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, right_cols: Sequence[str], width: float,
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """Each left row with ``right_cols`` of the right row of its key whose position is closest.
 
-    The smaller position wins a tie; ``right`` has one row per (key, position). Both sides are merged
-    into one order and the last seen right row is carried forwards and backwards, so a key with many
-    rows on both sides costs their sum, not their product. ``width`` is the span of one bucket.
+    The smaller position wins a tie; ``right`` has one row per (key, position). Only distinct positions of a key are matched. Those
+    that more than ``hot_rows`` rows share, at most one in ``hot_rows`` rows, reach their rows by broadcast; the others by a join in which no
+    key holds more than that.
+    """
+    at = F.coalesce(F.col(left_at).cast("double"), F.lit(0.0))
+    spots = left.groupBy(*keys, at.alias("_at_left")).agg(F.count("*").alias("_rows"))
+    matched = _nearest_spots(spots, right, keys, "_at_left", right_at, right_cols, width)
+    marked = left.withColumn("_at_left", at)
+    place, found = [*keys, "_at_left"], F.struct(*right_cols)
+    hot = matched.filter(F.col("_rows") > hot_rows).select(*place, found.alias("_found"))
+    split = marked.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), place, "left")
+    common = split.filter("_hot").drop("_hot")
+    rest = split.filter("_hot is null").drop("_hot", "_found").join(
+        matched.filter(F.col("_rows") <= hot_rows).select(*place, found.alias("_found")), place, "left"
+    )
+    return common.unionByName(rest).select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in right_cols])
+
+
+def _nearest_spots(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, right_cols: Sequence[str], width: float
+) -> DataFrame:
+    """:func:`nearest` for distinct positions: both sides are merged into one order and the last seen right row is carried
+    forwards and backwards, so a key costs the sum of its rows on both sides, not their product. ``width`` is the span of one bucket.
     """
     payload = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
     found = F.struct(F.col(right_at).cast("double").alias("_at"), *[F.col(c) for c in right_cols])

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -138,15 +143,30 @@ def prompt_text(text: Column) -> Column:
     return F.when(known, trimmed).otherwise(F.concat(F.lit("a photo of "), trimmed))
 
 
-def embed_table(df: DataFrame, column: str, model_fn: Callable[[Sequence], np.ndarray], out: str = "vector") -> DataFrame:
+def worker_model(name: str, loader: Callable[[], Callable[[Sequence], np.ndarray]]) -> Callable[[Sequence], np.ndarray]:
+    """The model of a plan, loaded by the first task that this Python worker runs for it.
+
+    This package travels by value, anew with each task; what a worker shall keep needs a module of the worker's own.
+    """
+    module = sys.modules.setdefault("worker_models", ModuleType("worker_models"))
+    held: dict = module.__dict__.setdefault("loaded", {})
+    if name not in held:
+        held.clear()  # a worker serves one plan at a time; older models would only take room
+        held[name] = loader()
+    return held[name]
+
+
+def embed_table(df: DataFrame, column: str, loader: Callable[[], Callable[[Sequence], np.ndarray]], out: str = "vector") -> DataFrame:
     """Unit vectors from a caller's batch model, one call per Arrow batch.
 
-    ``model_fn(values) -> matrix``. When a batch fails it is retried row by row, so a bad row only loses
-    its own vector and reports in ``embed_error``.
+    ``loader()`` gives the model, ``model(values) -> matrix``; it runs once per Python worker, so weights are read there and never travel
+    with a task. When a batch fails it is retried row by row, so a bad row only loses its own vector and reports in ``embed_error``.
     """
+    name = uuid.uuid4().hex
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_fn = worker_model(name, loader)
         for batch in batches:
             values = batch.column(column).to_pylist()
             vectors: list = []
@@ -167,6 +187,26 @@ def embed_table(df: DataFrame, column: str, model_fn: Callable[[Sequence], np.nd
     return df.mapInArrow(embed, schema).withColumn(out, l2_normalize(F.col(out)).cast("array<float>"))
 
 
+def word_count_model(dim: int = 64) -> Callable[[], Callable[[Sequence[str]], np.ndarray]]:
+    """A loader for tests: words counted in the slot that the first 32 bits of their MD5 name."""
+
+    def load() -> Callable[[Sequence[str]], np.ndarray]:
+        slots: dict[str, int] = {}
+
+        def model(texts: Sequence[str]) -> np.ndarray:
+            out = np.zeros((len(texts), dim))
+            for row, text in enumerate(texts):
+                for word, n in Counter((text or "").split(" ")).items():
+                    if word:
+                        slot = slots.setdefault(word, int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dim)
+                        out[row, slot] += n
+            return out
+
+        return model
+
+    return load
+
+
 def hash_embed_text(df: DataFrame, column: str, dim: int = 64, out: str = "vector") -> DataFrame:
     """A model-free text embedder for tests: hashed word counts, normalised, all on the JVM."""
     prompts = df.withColumn("_prompt", prompt_text(F.coalesce(F.col(column), F.lit(""))))

@@ -562,6 +562,12 @@ def _generated(profiles: list[str], columns: str) -> str:
 ORACLE_BODIES["alternatives"] = _generated(list(PROFILES), "profile,")
 ORACLE_BODIES["generate_timelines"] = _generated(["journey"], "")
 ORACLE_BODIES["hash_embed_text"] = "select doc_id, cast(64 as integer) as dimension, 1.0::double as norm from documents"
+ORACLE_BODIES["embed_table"] = f"""with w as (select doc_id, unnest(string_split(coalesce(text, ''), ' ')) as word from documents),
+    b as (select doc_id, cast('0x' || substr(md5(word), 1, 8) as bigint) % 64 as slot, count(*) as n from w where word <> '' group by 1, 2),
+    l as (select doc_id, sqrt(cast(sum(n * n) as double)) as length from b group by 1),
+    s as (select doc_id, sum(cast(cast(n / length as float) as double) * slot) as by_slot, sum(case when slot % 2 = 0 then cast(cast(n / length as float) as double) else 0 end) as even
+      from b join l using (doc_id) group by 1)
+    select doc_id, true as embedded, {rnd('coalesce(by_slot, 0.0)',3)} as by_slot, {rnd('coalesce(even, 0.0)',3)} as even_slots from documents left join s using (doc_id)"""
 ORACLE_BODIES["detect_scenes"] = f"""with recursive c as (select file_id, idx, src_fps, abs(value - lag(value) over (partition by file_id order by idx)) as change from frame_index),
     l as (select a.file_id, a.idx, any_value(a.change) as change, avg(b.change) as local from c a join c b on b.file_id = a.file_id and b.idx between a.idx - 2 and a.idx + 2 and b.idx <> a.idx group by 1, 2),
     cand as (select file_id, idx from l where change > 0.1 and change / greatest(local, 1e-9) >= 2.0),

@@ -344,6 +344,15 @@ def _(m: Media) -> DataFrame:
     return m.table("documents").select("doc_id", quality.prompt_text(text).alias("prompt"))
 
 
+@query("embed_table")
+def _(m: Media) -> DataFrame:
+    """Each text's unit vector against two fixed directions."""
+    made = quality.embed_table(m.table("documents").select("doc_id", "text"), "text", quality.word_count_model(64))
+    along = lambda weight: round_to(F.aggregate(F.zip_with("vector", F.sequence(F.lit(0), F.lit(63)), weight), F.lit(0.0), lambda s, x: s + x), 3)
+    return made.select("doc_id", F.col("embed_error").isNull().alias("embedded"), along(lambda x, i: x.cast("double") * i).alias("by_slot"),
+                       along(lambda x, i: F.when(i % 2 == 0, x.cast("double")).otherwise(0.0)).alias("even_slots"))
+
+
 @query("build_points")
 def _(m: Media) -> DataFrame:
     kept = ("point_id", "file_path", "granularity", "frame_index", "source_offset", "scene_id", "is_scene_representative", "scene_frame_count")

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -126,11 +128,25 @@ def test_embedding_hook_loses_only_the_bad_row(spark):
         return np.array([[len(v), 1.0] for v in values])
 
     df = spark.createDataFrame([("aaa",), ("bad",), ("b",)], "text string").coalesce(1)
-    got = {r.text: r for r in quality.embed_table(df, "text", model).collect()}
+    got = {r.text: r for r in quality.embed_table(df, "text", lambda: model).collect()}
     assert got["bad"].vector is None and got["bad"].embed_error == "no pixels"
     assert abs(np.linalg.norm(got["aaa"].vector) - 1) < 1e-6
 
 
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        with open(log, "a") as file:
+            file.write(f"{os.getpid()}\n")
+        return lambda values: np.array([[len(v), 1.0] for v in values])
+
+    df = spark.range(400).select(F.col("id").cast("string").alias("text")).repartition(40)
+    assert quality.embed_table(df, "text", load).filter("vector is not null").count() == 400
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) < 40
+
+
 def test_prompt_prefix(spark):
     df = spark.createDataFrame([("  a dog ",), ("a photo of x",), ("a video of y",)], "t string")
     assert [r.p for r in df.select(quality.prompt_text(F.col("t")).alias("p")).collect()] == ["a photo of a dog", "a photo of x", "a video of y"]
