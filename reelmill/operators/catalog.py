@@ -162,16 +162,17 @@ def upsert_files(files: DataFrame, changes: DataFrame, now: Column | None = None
     return joined.select(*cols)
 
 
-def _hash_slice(slices: int) -> Column:
-    return F.pmod(F.xxhash64("file_path"), F.lit(slices))
+def _hash_slice() -> Column:
+    """The first three digits of the path's digest: 4,096 slices that any engine can name."""
+    return F.substring(F.md5("file_path"), 1, 3)
 
 
-def assign_ids(new_rows: DataFrame, max_id: int | Column, slices: int = 4096) -> DataFrame:
-    """Consecutive ids after ``max_id`` in the order of (hash of the path, path).
+def assign_ids(new_rows: DataFrame, max_id: int | Column) -> DataFrame:
+    """Consecutive ids after ``max_id`` in the order of (slice of the path's digest, path).
 
     The order is by hash so that the rows can be numbered slice by slice; the ids are repeatable.
     """
-    hashed = new_rows.withColumn("_h", _hash_slice(slices))
+    hashed = new_rows.withColumn("_h", _hash_slice())
     placed = position_of(hashed, [], [F.col("_h"), F.col("file_path")], [F.col("_h")], "_n")
     start = max_id if isinstance(max_id, Column) else F.lit(max_id)
     return placed.withColumn("id", F.col("_n") + F.lit(1).cast("long") + start).drop("_n", "_h")
@@ -190,7 +191,7 @@ def apply_changes(files: DataFrame, classified: DataFrame, now: Column | None =
 def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str) -> DataFrame:
     stamp = F.lit(None).cast("double") if now is None else now
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
-    judged = classified.withColumn("_h", _hash_slice(4096))
+    judged = classified.withColumn("_h", _hash_slice())
     fresh = F.col("known_id").isNull().cast("long")
     numbered = sum_before(judged, [], [F.col("_h"), F.col("file_path")], [F.col("_h")], fresh, "_n").drop("_h")
     reused = F.col("action") == "reuse"

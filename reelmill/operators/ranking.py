@@ -43,7 +43,7 @@ def retrieve(points: DataFrame, queries: DataFrame, mode: str = "dual", k: int =
     single = filter_points(points, granularity="frame").withColumn("pass", F.lit(FRAME_PASS))
     sides = {"scene": scenes, "frame": single, "dual": scenes.unionByName(single)}
     hits = search_many(sides[mode], queries, k, query_keys=[*keys, "query_idx"], per="pass")
-    seq = (F.col("query_idx").cast("long") * 2 + F.col("pass")) * F.lit(1000) + F.col("rank")
+    seq = (F.col("query_idx").cast("long") * 2 + F.col("pass")) * F.lit(max(1000, k + 1)) + F.col("rank")
     return hits.withColumn("seq", seq)
 
 
@@ -85,6 +85,21 @@ def filter_report(cands: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFr
     return cands.groupBy(*keys).agg(total.alias("candidates"), removed.cast("long").alias("filtered_out_low_score"))
 
 
+def retrieval_summary(cands: DataFrame, final: DataFrame, jobs: DataFrame, weights: Column, keys: Sequence[str] = ("job_id",)) -> DataFrame:
+    """What a retrieval reports per job: candidates in the end, those below the score threshold, the threshold, the weights used.
+
+    ``cands`` come before the score filter, ``final`` after filter and file cap; a job without any candidate reports zeros.
+    """
+    ended = final.groupBy(*keys).agg(F.count("*").alias("total_candidates"))
+    found = jobs.join(ended, list(keys), "left").join(filter_report(cands, keys).drop("candidates"), list(keys), "left")
+    shown = F.transform_values(weights, lambda _, v: round_to(v, 4))
+    return found.select(
+        *keys, F.coalesce("total_candidates", F.lit(0).cast("long")).alias("total_candidates"),
+        F.coalesce("filtered_out_low_score", F.lit(0).cast("long")).alias("filtered_out_low_score"),
+        F.lit(MIN_SCORE).alias("min_score_threshold"), shown.alias("scoring_weights"),
+    )
+
+
 # --- weights ------------------------------------------------------------------------------------
 
 
@@ -180,12 +195,24 @@ def min_score_filter(cands: DataFrame, keys: Sequence[str] = ("job_id",), floor:
     return marked.filter(passes | (~F.col("_any") & (F.col("_n") <= FALLBACK_CANDIDATES))).drop("_any", "_n")
 
 
-def cap_per_file(cands: DataFrame, keys: Sequence[str] = ("job_id",), clips: int = 2) -> DataFrame:
-    """First ``clips`` candidates of each file in rank order."""
-    return top_n(cands, [*keys, "file_path"], candidate_order(), clips, "_n").drop("_n")
+def profile_clips(profile: Column) -> Column:
+    """Clips of one file that a creative profile takes; unknown names use ``journey``."""
+    choice = F.lit(PROFILES["journey"]["clips_per_file"])
+    for name in ("personal", "cinematic"):
+        choice = F.when(F.lower(profile) == name, F.lit(PROFILES[name]["clips_per_file"])).otherwise(choice)
+    return choice
+
+
+def cap_per_file(cands: DataFrame, keys: Sequence[str] = ("job_id",), clips: int | None = None) -> DataFrame:
+    """First candidates of each file in rank order: ``clips`` of them, else as many as the row's ``profile`` takes (``journey`` without one)."""
+    if clips is not None:
+        return top_n(cands, [*keys, "file_path"], candidate_order(), clips, "_n").drop("_n")
+    most = max(p["clips_per_file"] for p in PROFILES.values())
+    allowed = profile_clips(F.col("profile") if "profile" in cands.columns else F.lit("journey"))
+    return top_n(cands, [*keys, "file_path"], candidate_order(), most, "_n").filter(F.col("_n") <= allowed).drop("_n")
 
 
-def rank_candidates(cands: DataFrame, keys: Sequence[str] = ("job_id",), clips: int = 2) -> DataFrame:
+def rank_candidates(cands: DataFrame, keys: Sequence[str] = ("job_id",), clips: int | None = None) -> DataFrame:
     """Score filter and file cap over candidates that have their composite rank."""
     return cap_per_file(min_score_filter(cands, keys), keys, clips)
 

@@ -35,11 +35,17 @@ def check_one_time_per_file(cands: DataFrame, keys: Sequence[str] = ("job_id",))
     return times.filter("times > 1")
 
 
+def one_time_per_file(cands: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
+    """Candidates of a file all get its earliest capture time, so that the check finds nothing."""
+    own = W.partitionBy(*keys, "file_path")
+    return cands.withColumn("creation_timestamp", F.min("creation_timestamp").over(own))
+
+
 # --- time buckets and selection -----------------------------------------------------------------
 
 
 def _whole(keys: Sequence[str]) -> W:
-    """A key's candidates: at most 20 queries of 30 hits (checked at retrieval), so a window is small.
+    """A key's candidates: some queries of k hits each. A job with very many of them sorts and spills in one task.
 
     All steps up to the finished storyboard share this partitioning and need one shuffle together.
     """

@@ -293,7 +293,8 @@ ORACLE_BODIES.update({
           case when f.id is null then 200.0::double else 50.0::double end as scanned_at,
           case when c.action in ('reuse','modified','new') then 200.0::double else 100.0::double end as updated_at
         from classified c left join files f on f.file_path = c.file_path""",
-    "assign_ids": """select file_path, true as new_id, cast(1 as bigint) as files_of_id from listing l where not exists (select 1 from files f where f.file_path = l.file_path)""",
+    "assign_ids": """select file_path, 100000 + row_number() over (order by substr(md5(file_path), 1, 3), file_path) as id
+        from listing l where not exists (select 1 from files f where f.file_path = l.file_path)""",
     "select_for_processing": "select id, status from files where status <> 'INDEXED'",
     "by_status": "select id, file_path, error_message from files where status = 'ERROR'",
     "lookup": "select id, file_path, 'path' as found_by from files where file_path = '/media/src1/1.png' union all select id, file_path, 'id' from files where id = 4",
@@ -302,6 +303,16 @@ ORACLE_BODIES.update({
         select f.id, case when p.id is not null then 'INDEXED' else status end as status, case when p.id is not null then '2.0' else model_version end as model_version,
           coalesce(p.ids, f.point_ids) as point_ids, case when p.id is not null then 300.0::double else embedded_at end as embedded_at,
           case when p.id is not null then 300.0::double else 100.0::double end as updated_at from files f left join p on p.id = f.id""",
+    "link_points": """with p as (select distinct user_id * 2 as file_id, 'e' || event_type as point_id from events)
+        select * from p union all select id, point_ids from files where point_ids <> '' and id not in (select file_id from p)""",
+    "mark_linked": """with p as (select distinct user_id * 2 as id from events)
+        select f.id, case when p.id is not null then 'INDEXED' else status end as status, case when p.id is not null then '2.0' else model_version end as model_version,
+          case when p.id is not null then 300.0::double else embedded_at end as embedded_at, case when p.id is not null then 300.0::double else 100.0::double end as updated_at
+        from files f left join p on p.id = f.id""",
+    "removed_links": "select id, file_path, point_ids as point_id from removed where point_ids <> ''",
+    "linked_donors": "select content_hash, donor_id from donors",
+    "donate_links": """with r as (select known_id as id, donor_id, donor_points from classified where action = 'reuse' and known_id is not null and known_id <> donor_id)
+        select id as file_id, point_ids as point_id from files where point_ids <> '' and id not in (select id from r) union all select id, donor_points from r""",
     "mark_errors": """select id, case when id % 13 = 0 then 'ERROR' else status end as status, case when id % 13 = 0 then 'cannot decode ' || file_path else error_message end as error_message,
           case when id % 13 = 0 then 300.0::double else 100.0::double end as updated_at from files""",
     "update_status": """select id, case when status = 'ERROR' then 'PENDING' else status end as status, case when status = 'ERROR' then null else error_message end as error_message,
@@ -373,6 +384,9 @@ ORACLE_BODIES.update({
         from points where granularity = 'scene'""",
     "scene_breakdown": """select file_path, count(*) filter (granularity='scene') as total_scenes, count(*) filter (granularity<>'scene') as total_frames,
           coalesce(round(sum(case when granularity='scene' then scene_end - scene_start end), 2), 0.0) as scene_seconds from points group by 1""",
+    "scene_list": f"""select file_path, coalesce(scene_id, 0) as scene_id, point_id, coalesce(scene_start, 0.0) as start_sec, coalesce(scene_end, duration_seconds, 0.0) as end_sec,
+          {rnd('coalesce(scene_end, 0.0) - coalesce(scene_start, 0.0)',2)} as duration_sec, coalesce(scene_frame_count, 0) as frame_count from points where granularity = 'scene'""",
+    "frame_list": "select file_path, point_id, frame_index, source_offset, scene_id from points where granularity <> 'scene'",
     "upsert_points": "select point_id, file_path, case when file_id % 3 = 0 then file_type || '-new' else file_type end as file_type from points",
     "delete_points": "select point_id, granularity from points where not (coalesce(scene_id, -1) = 0 and granularity = 'frame')",
     "delete_by_path": "select point_id, file_path from points where file_path <> '/media/v16.mp4'",
@@ -407,7 +421,14 @@ ORACLE_BODIES.update({
     "diversity_penalty": f"""with v as (select r.*, p.vector as pv from ranked r join points p using (point_id)),
         c as (select a.job_id, a.candidate_key, a.composite_rank, count(b.place) as n from v a left join v b on b.job_id = a.job_id and b.place < a.place and {cosine('a.pv','b.pv')} > 0.3 group by 1, 2, 3)
         select job_id, candidate_key, n as similar_before, {rnd('composite_rank * pow(0.5, n)',8)} as adjusted_rank from c""",
-    "retrieval_report": "select job_id, query_idx, count(*) filter (pass = 0) as matched_scenes, count(*) filter (pass = 1) as matched_frames from hits group by 1, 2",
+    "retrieval_report": """select q.job_id, q.query_idx, count(*) filter (h.pass = 0) as matched_scenes, count(*) filter (h.pass = 1) as matched_frames
+        from (select 'job' || (query_id % 3) as job_id, query_id as query_idx from queries) q
+        left join hits h on h.job_id = q.job_id and h.query_idx = q.query_idx and h.query_idx % 4 <> 1 group by 1, 2""",
+    "retrieval_summary": """with e as (select job_id, count(*) as n from ranked where job_id <> 'job2' group by 1),
+        o as (select job_id, case when count(*) filter (score >= 0.08) > 0 then count(*) filter (score < 0.08) else greatest(count(*) - 10, 0) end as gone
+          from composed where job_id <> 'job2' group by 1)
+        select job_id, coalesce(e.n, 0) as total_candidates, coalesce(o.gone, 0) as filtered_out_low_score, 0.08::double as min_score_threshold, signal, weight
+        from jobs left join e using (job_id) left join o using (job_id), (values ('cosine', 0.45::double), ('nima', 0.45::double), ('technical', 0.1::double)) w(signal, weight)""",
     "filter_report": """select job_id, count(*) as candidates, case when count(*) filter (score >= 0.08) > 0 then count(*) filter (score < 0.08) else greatest(count(*) - 10, 0) end as filtered_out_low_score from composed group by 1""",
     "time_buckets": "select job_id, candidate_key, bucket, n_buckets from bucketed",
     "bucket_best": """select job_id, bucket, file_path, len / 1000.0::double as duration, case when file_type='video' then source_offset else 0.0 end as start_offset,
@@ -420,7 +441,10 @@ ORACLE_BODIES.update({
     "curate": """select row_number() over (partition by job_id order by coalesce(creation_timestamp,0), pick) - 1 as position, job_id, file_path, len / 1000.0::double as duration,
           case when file_type='video' then source_offset else 0.0 end as start_offset, case when file_type='video' then source_offset + len / 1000.0::double else 0.0 end as end_offset,
           case when file_type='video' then 'video_clip' else 'image' end as segment_type from curated""",
-    "one_time_per_file": "select job_id, file_path, count(distinct coalesce(creation_timestamp, 0)) as times from ranked group by 1, 2 having count(distinct coalesce(creation_timestamp, 0)) > 1",
+    "one_time_per_file": """with t as (select *, case when seq % 3 = 0 then coalesce(creation_timestamp, 0) + 5 else creation_timestamp end as seen_at from composed)
+        select job_id, file_path, count(distinct coalesce(seen_at, 0)) as times from t group by 1, 2 having count(distinct coalesce(seen_at, 0)) > 1""",
+    "one_time_enforced": """with t as (select *, case when seq % 3 = 0 then coalesce(creation_timestamp, 0) + 5 else creation_timestamp end as seen_at from composed)
+        select job_id, candidate_key, min(seen_at) over (partition by job_id, file_path) as creation_timestamp from t""",
     "draft_dedupe": """select job_id, seq, file_path, file_id, similarity_score, composite_rank, creation_timestamp,
           cast(2 + (nima_aesthetic is not null)::int + (sharpness is not null)::int + (technical_composite is not null)::int as integer) as score_count from deduped""",
     "autofill": "select job_id, seq, file_path, duration, start_offset, end_offset, segment_type from filled",

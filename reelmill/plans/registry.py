@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Media
 from ..functions.columns import round_to
 from ..functions.vectors import l2_normalize
-from ..operators import catalog, evaluate, frames, quality, ranking, search, storyboard, timeline
+from ..operators import catalog, evaluate, frames, links, quality, ranking, search, storyboard, timeline
 from ..schemas import PRESETS, PROFILES
 from ..sources import listing as listings
 from ..streaming import jobs as job_stream
@@ -137,7 +137,7 @@ def _(m: Media) -> DataFrame:
 @query("assign_ids")
 def _(m: Media) -> DataFrame:
     new = m.listing.join(m.files.select("file_path"), "file_path", "left_anti")
-    return catalog.assign_ids(new, 100000).select("file_path", (F.col("id") > 100000).alias("new_id"), F.count("*").over(Window.partitionBy("id")).alias("files_of_id"))
+    return catalog.assign_ids(new, 100000).select("file_path", "id")
 
 
 @query("select_for_processing")
@@ -168,6 +168,34 @@ def _(m: Media) -> DataFrame:
     return marked.select("id", "status", "model_version", F.array_join("point_ids", ",").alias("point_ids"), "embedded_at", "updated_at")
 
 
+@query("link_points")
+def _(m: Media) -> DataFrame:
+    points = m.table("events").select((F.col("user_id") * 2).alias("file_id"), F.concat(F.lit("e"), "event_type").alias("point_id"))
+    return links.link_points(links.links_of(m.files), points)
+
+
+@query("mark_linked")
+def _(m: Media) -> DataFrame:
+    points = m.table("events").select((F.col("user_id") * 2).alias("file_id"), F.concat(F.lit("e"), "event_type").alias("point_id"))
+    return links.mark_linked(m.files, points, "siglip2", "2.0", F.lit(300.0)).select("id", "status", "model_version", "embedded_at", "updated_at")
+
+
+@query("removed_links")
+def _(m: Media) -> DataFrame:
+    return links.removed_points(m.files, links.links_of(m.files), m.listing)
+
+
+@query("linked_donors")
+def _(m: Media) -> DataFrame:
+    return links.linked_donors(m.files, links.links_of(m.files))
+
+
+@query("donate_links")
+def _(m: Media) -> DataFrame:
+    reused = catalog.classify(m.files, m.listing).filter("action = 'reuse' and known_id is not null").select(F.col("known_id").alias("id"), "donor_id")
+    return links.donate_links(links.links_of(m.files), reused)
+
+
 @query("mark_errors")
 def _(m: Media) -> DataFrame:
     errors = m.files.filter("id % 13 = 0").select("id", F.concat(F.lit("cannot decode "), "file_path").alias("message"))
@@ -432,6 +460,16 @@ def _(m: Media) -> DataFrame:
     return search.scene_breakdown(m.points)
 
 
+@query("scene_list")
+def _(m: Media) -> DataFrame:
+    return search.scene_list(m.points)
+
+
+@query("frame_list")
+def _(m: Media) -> DataFrame:
+    return search.frame_list(m.points)
+
+
 @query("upsert_points")
 def _(m: Media) -> DataFrame:
     changed = m.points.filter("file_id % 3 = 0").withColumn("label_note", F.lit("new"))
@@ -590,7 +628,13 @@ def _(m: Media) -> DataFrame:
 
 @query("retrieval_report")
 def _(m: Media) -> DataFrame:
-    return ranking.retrieval_report(m.hits)
+    return ranking.retrieval_report(m.hits.filter("query_idx % 4 <> 1"), queries=m.job_queries)
+
+
+@query("retrieval_summary")
+def _(m: Media) -> DataFrame:
+    found = ranking.retrieval_summary(m.composed.filter("job_id <> 'job2'"), m.ranked.filter("job_id <> 'job2'"), m.jobs, ranking.resolve_weights(F.lit("journey")))
+    return found.select("job_id", "total_candidates", "filtered_out_low_score", "min_score_threshold", F.explode("scoring_weights").alias("signal", "weight"))
 
 
 @query("filter_report")
@@ -634,7 +678,17 @@ def _(m: Media) -> DataFrame:
 
 @query("one_time_per_file")
 def _(m: Media) -> DataFrame:
-    return storyboard.check_one_time_per_file(m.ranked)
+    return storyboard.check_one_time_per_file(_two_times(m))
+
+
+def _two_times(m: Media) -> DataFrame:
+    """Candidates of which some carry another capture time than the rest of their file."""
+    return m.composed.withColumn("creation_timestamp", F.when(F.col("seq") % 3 == 0, F.coalesce("creation_timestamp", F.lit(0.0)) + 5).otherwise(F.col("creation_timestamp")))
+
+
+@query("one_time_enforced")
+def _(m: Media) -> DataFrame:
+    return storyboard.one_time_per_file(_two_times(m)).select("job_id", "candidate_key", "creation_timestamp")
 
 
 @query("draft_dedupe")

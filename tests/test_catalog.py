@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reelmill.operators import catalog
+from reelmill.operators import catalog, links
 from reelmill.schemas import FILES, META
 
 
@@ -102,3 +102,29 @@ def test_several_changes_of_one_file(spark):
     changes = spark.createDataFrame([(1, "X", 1.0), (1, "Y", 2.0)], "id long, status string, changed_at double")
     assert sorted((r.id, r.status) for r in catalog.update_status(files, changes).collect()) == [(1, "Y"), (2, "B")]
     assert catalog.update_status(files, changes.drop("changed_at")).count() == 2
+
+
+def test_a_file_with_very_many_points_has_no_wide_row(spark):
+    """Links stay rows: a file with a million points marks, goes and donates without an array."""
+    points = spark.range(1_000_000).select(F.lit(1).cast("long").alias("file_id"), F.concat(F.lit("p"), "id").alias("point_id"))
+    columns = {"id": "long", "file_path": "string", "content_hash": "string", "status": "string", "model_name": "string", "model_version": "string", "embedded_at": "double", "updated_at": "double"}
+    files = spark.createDataFrame([(1, "/a", "h", "SCANNED", None, None, None, None), (2, "/b", "h", "SCANNED", None, None, None, None)], ", ".join(f"{k} {v}" for k, v in columns.items()))
+    empty = points.limit(0)
+    marked = links.mark_linked(files, points, "m")
+    table = links.link_points(empty, points)
+    for plan in (marked, table):
+        assert "collect_set" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.status for r in marked.collect()} == {1: "INDEXED", 2: "SCANNED"}
+    assert [tuple(r) for r in links.linked_donors(marked, table).collect()] == [("h", 1)]
+    given = links.donate_links(table, spark.createDataFrame([(2, 1)], "id long, donor_id long"))
+    assert {r.file_id: r["count"] for r in given.groupBy("file_id").count().collect()} == {1: 1_000_000, 2: 1_000_000}
+    assert links.removed_points(files, table, files.filter("id = 2")).count() == 1_000_000
+    again = links.link_points(table, spark.createDataFrame([(1, "q")], "file_id long, point_id string"))
+    assert [tuple(r) for r in again.collect()] == [(1, "q")]
+
+
+def test_ids_follow_their_paths(spark):
+    paths = [(f"/p{i}",) for i in range(500)]
+    first = {r.file_path: r.id for r in catalog.assign_ids(spark.createDataFrame(paths, "file_path string").repartition(7), 40).collect()}
+    again = {r.file_path: r.id for r in catalog.assign_ids(spark.createDataFrame(paths[::-1], "file_path string").coalesce(1), 40).collect()}
+    assert first == again and sorted(first.values()) == list(range(41, 541))

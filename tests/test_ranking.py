@@ -120,3 +120,13 @@ def test_epic_parity_flag(spark):
     assert ranking.epic_similarity(cands, points, refs).first().epic_sim == 1.0
     assert ranking.epic_similarity(cands, points, refs, parity=True).first().epic_sim == 0.0
     assert ranking.epic_similarity(cands, points, refs.limit(0)).first().epic_sim == 0.0
+
+
+def test_clips_per_file_come_from_the_profile(spark, monkeypatch):
+    rows = [("j", profile, "/f", float(i), 0.5, i) for profile in ("journey", "personal", "cinematic", "other") for i in range(5)]
+    cands = spark.createDataFrame(rows, "job_id string, profile string, file_path string, composite_rank double, score double, seq long")
+    changed = {name: {**p, "clips_per_file": n} for (name, p), n in zip(ranking.PROFILES.items(), (1, 3, 4))}
+    monkeypatch.setattr(ranking, "PROFILES", changed)
+    kept = ranking.cap_per_file(cands, ("job_id", "profile"))
+    assert {r.profile: r["count"] for r in kept.groupBy("profile").count().collect()} == {"cinematic": 1, "personal": 3, "journey": 4, "other": 4}
+    assert ranking.cap_per_file(cands, ("job_id", "profile"), clips=2).count() == 8
