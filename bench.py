@@ -50,6 +50,18 @@ def main() -> None:
     label_queries = cut(media.job_queries)
     shots = cut(media.frame_index.select("file_id", F.col("idx").alias("frame_index"), "src_fps", F.array("value").alias("features")))
 
+    # more queries than one broadcast, of 768 dimensions; a key with nearly all rows; a photo that most segments show
+    wide = F.flatten(F.array_repeat("vector", 12))
+    wide_points = cut(points.filter("granularity = 'frame'").select("point_id", wide.alias("vector")))
+    wide_queries = cut(wide_points.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
+        F.xxhash64("point_id", "_c").alias("query_id"), F.transform("vector", lambda x, i: x + (F.col("_c") * i) / 1e4).alias("query_vector")))
+    crowd = cut(points.filter("granularity = 'frame'").withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(8)))).select(
+        F.when(F.col("file_id") % 10 == 0, "rest").otherwise("hot").alias("key"), F.concat_ws("-", "point_id", "_c").alias("point_id"),
+        F.transform("vector", lambda x, i: x + F.col("_c") * F.pmod(i, F.col("_c")) / 200).alias("vector"), F.lit(0.5).alias("score")))
+    shown = cut(media.table("events").select(
+        F.concat(F.lit("j"), F.col("event_id") % 500).alias("job_id"), F.col("event_id").alias("position"), F.col("value").alias("start_offset"),
+        F.when(F.col("event_id") % 5 < 4, F.lit(0)).otherwise(F.col("user_id")).cast("long").alias("file_id"), F.lit("image").alias("segment_type"), F.lit(2.0).alias("duration")))
+
     cases = {
         "topk_13_queries": lambda: search.search_many(points, thirteen, 15),
         "topk_all_pairs": lambda: search.search_many(points, queries, 10),
@@ -65,6 +77,9 @@ def main() -> None:
         "scene_points": lambda: frames.build_points(tagged),
         "detect_scenes": lambda: frames.detect_scenes(shots, 2.0),
         "measure_frames": lambda: quality.technical_composite(quality.measure_frames(images)),
+        "topk_grid_768d": lambda: search.search_many(wide_points, wide_queries, 10),
+        "near_duplicates_hot_key": lambda: search.near_duplicates(crowd, ["key"]),
+        "inventory_hot_photo": lambda: timeline.inventory(shown, media.media_files, points),
         "retrieval_eval": lambda: evaluate.retrieval_eval(
             media.table("embeddings").select(F.col("vec_id").alias("pair_id"), F.col("embedding").alias("vector")),
             media.table("embeddings").select(F.col("vec_id").alias("pair_id"), F.reverse("embedding").alias("vector"))),
