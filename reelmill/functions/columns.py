@@ -33,7 +33,14 @@ def millis(seconds: Column) -> Column:
 
 def units(value: Column, digits: int = 8) -> Column:
     """The value in whole units of 10^-digits, half-up: sums of these don't depend on the order of addition."""
-    return F.floor(value * F.lit(float(10**digits)) + F.lit(0.5)).cast("decimal(28,0)")
+    return F.floor(value * F.lit(float(10**digits)) + F.lit(0.5)).cast("long")
+
+
+def sum_units(value: Column, digits: int = 8) -> Column:
+    """Aggregate: the sum of units. High and low bits are added up as longs, which stay far from their bounds."""
+    whole = units(value, digits)
+    high, low = F.sum(F.shiftright(whole, 20)), F.sum(whole.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (high.cast("decimal(19,0)") * F.lit(1 << 20) + low.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def mean_of_units(total: Column, count: Column, digits: int, unit_digits: int = 8) -> Column:
@@ -45,7 +52,7 @@ def mean_of_units(total: Column, count: Column, digits: int, unit_digits: int =
 
 def exact_mean(value: Column, digits: int = 8, unit_digits: int = 8) -> Column:
     """Aggregate: the mean as :func:`mean_of_units`, the same however the rows arrive."""
-    return mean_of_units(F.sum(units(value, unit_digits)), F.count(value), digits, unit_digits)
+    return mean_of_units(sum_units(value, unit_digits), F.count(value), digits, unit_digits)
 
 
 def event_time() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import exact_mean, round_to, units
+from ..functions.columns import exact_mean, round_to, sum_units
 from ..functions.vectors import cosine, mean_squared_error
 from .vector_blocks import apply_blocks, rounded
 
@@ -90,7 +90,7 @@ def stage_latency(agent_log: DataFrame) -> DataFrame:
     steps = agent_log.select("job_id", F.posexplode("steps").alias("step_no", "step")).select("job_id", "step_no", "step.*")
     return steps.groupBy("job_id", "node", "stage").agg(
         F.count("*").alias("runs"),
-        (F.sum(units(F.col("latency_seconds"))) / F.lit(1e8)).cast("double").alias("total_seconds"),
+        (sum_units(F.col("latency_seconds")) / F.lit(1e8)).cast("double").alias("total_seconds"),
         F.max("latency_seconds").alias("slowest_seconds"),
         F.max_by("summary", "step_no").alias("last_summary"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
-from ..functions.columns import clamp, mean_of_units, round_to, units
+from ..functions.columns import clamp, mean_of_units, round_to, sum_units, units
 from ..functions.vectors import l2_normalize
 from ..schemas import MISSING_SCORE
 from .ordering import position_of, value_before
@@ -220,7 +220,7 @@ def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None =
     )
     # per key: what scored frames hold, and MISSING_SCORE for those without it
     sums = scene_rows.select("file_id", "scene_id", F.explode("scores").alias("k", "v")).groupBy("file_id", "scene_id", "k").agg(
-        F.sum(units(F.coalesce("v", F.lit(MISSING_SCORE)))).alias("s"), F.count("*").alias("n")
+        sum_units(F.coalesce("v", F.lit(MISSING_SCORE))).alias("s"), F.count("*").alias("n")
     )
     maps = sums.groupBy("file_id", "scene_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("s", "n")))).alias("_sums"))
     grouped = grouped.join(maps, ["file_id", "scene_id"], "left")
@@ -228,7 +228,7 @@ def scene_representatives(frames: DataFrame, score_keys: Sequence[str] | None =
 
     def mean(k: Column) -> Column:
         held = F.try_element_at("_sums", k)
-        missing = units(F.lit(MISSING_SCORE)) * (F.col("_scored") - F.coalesce(held["n"], F.lit(0))).cast("decimal(10,0)")
+        missing = units(F.lit(MISSING_SCORE)).cast("decimal(20,0)") * (F.col("_scored") - F.coalesce(held["n"], F.lit(0))).cast("decimal(10,0)")
         total = F.coalesce(held["s"], F.lit(0).cast("decimal(38,0)")) + missing
         return F.coalesce(mean_of_units(total, F.col("_scored"), 4), F.lit(MISSING_SCORE))
 

@@ -1,10 +1,12 @@
 import os
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import round_to
+from reelmill.fixtures import Media
+from reelmill.functions.columns import exact_mean, round_to
 from reelmill.operators import evaluate, frames, quality
 
 
@@ -163,3 +165,26 @@ def test_retrieval_ranks_in_blocks_and_alone(spark):
     assert one.true_rank == 1 and one.margin == one.true_similarity
     pdf = pd.DataFrame(whole)
     assert pdf[2].min() == 1 and pdf[2].max() <= 60
+
+
+def test_exact_means_do_not_depend_on_the_order(spark):
+    """Means on a rounding edge, large and negative values; the same at any number of partitions."""
+    rows = [(i % 3, (i * 7919 % 1000) / 1000.0 - 0.25, 1e10 + i / 8) for i in range(999)]
+    df = spark.createDataFrame(rows, "k int, v double, w double")
+    found = []
+    for parts in (1, 7, 211):
+        got = df.repartition(parts).groupBy("k").agg(exact_mean(F.col("v"), 4).alias("v"), exact_mean(F.col("w"), 4).alias("w"), F.count(F.lit(1)).alias("n"))
+        found.append(sorted(tuple(r) for r in got.collect()))
+    assert found[0] == found[1] == found[2]
+    for k, v, w, n in found[0]:
+        own = [r for r in rows if r[0] == k]
+        assert abs(v - sum(Fraction(str(r[1])) for r in own) / n) <= Fraction(1, 20000) and abs(w - sum(r[2] for r in own) / n) < 1e-3
+    edge = spark.createDataFrame([(0.27895,)] * 2 + [(0.2789,), (0.2790,)], "v double").agg(exact_mean(F.col("v"), 4).alias("m")).first()
+    assert edge.m == 0.279
+    assert spark.createDataFrame([], "v double").agg(exact_mean(F.col("v")).alias("m")).first().m is None
+
+
+def test_scene_scores_are_the_same_at_any_partition_count(spark):
+    rows = Media(spark, "/root/testdata/sf0.01").tagged
+    results = [sorted(str((r.point_id, sorted(r.scores.items()))) for r in frames.scene_representatives(rows.repartition(n)).select("point_id", "scores").collect()) for n in (1, 7, 211)]
+    assert results[0] == results[1] == results[2] and len(results[0]) > 50
