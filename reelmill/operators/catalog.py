@@ -183,12 +183,15 @@ def apply_scan(files: DataFrame, classified: DataFrame, now: Column | None = Non
     return _apply(files, classified, now, "right")
 
 
-def apply_changes(files: DataFrame, classified: DataFrame, now: Column | None = None) -> DataFrame:
-    """Changed files are upserted, reused ones take their donor's points; files not listed stay."""
-    return _apply(files, classified, now, "full")
+def apply_changes(files: DataFrame, classified: DataFrame, now: Column | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Changed files are upserted, reused ones take their donor's points; files not listed stay.
+
+    ``rows`` may hold just the catalogue rows of the listed paths; the result then holds those and the new ones.
+    """
+    return _apply(files, classified, now, "full", rows)
 
 
-def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str) -> DataFrame:
+def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str, rows: DataFrame | None = None) -> DataFrame:
     stamp = F.lit(None).cast("double") if now is None else now
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
     judged = classified.withColumn("_h", _hash_slice())
@@ -207,7 +210,7 @@ def _apply(files: DataFrame, classified: DataFrame, now: Column | None, how: str
         }
     )
     columns = [c for c in FILES.fieldNames() if c in changes.columns]
-    return upsert_files(files, changes.select(*columns, "applies"), now, ("point_ids", "model_name", "model_version", "embedded_at"),
+    return upsert_files(files if rows is None else rows, changes.select(*columns, "applies"), now, ("point_ids", "model_name", "model_version", "embedded_at"),
                         "applies", how)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalog import apply_changes, classify, mark_errors, mark_indexed, with_fast_hash, with_mime_type
 from ..sources.listing import _listed, _media, read_contents, sniff_type
-from ..sources.versions import PointStore, VersionedTable
+from ..sources.tables import HashedTable, PointStore
 
 IN_FLIGHT_FRAMES = 512
 
@@ -30,7 +30,7 @@ def media_stream(spark: SparkSession, root: str, max_files: int = IN_FLIGHT_FRAM
 def ingest_stream(
     spark: SparkSession,
     root: str,
-    catalogue: VersionedTable,
+    catalogue: HashedTable,
     checkpoint: str,
     index: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
     points: PointStore | None = None,
@@ -38,26 +38,34 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Upsert found files batch by batch; failed files become ERROR and the others go on.
 
+    ``catalogue`` is keyed by ``file_path``. A batch reads each of its files once and rewrites only the buckets that hold them.
     ``index(files to process)`` may return (points, errors) for the batch: the caller's decoding and
     model. A batch that is replayed after a failure writes the same rows again. Deletions are not seen by
     a file stream; run a full scan for them.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        files = catalogue.read()
-        listing = with_mime_type(sniff_type(read_contents(with_fast_hash(batch))))
-        classified = classify(files, listing)
-        merged = apply_changes(files, classified, F.unix_micros(F.current_timestamp()) / F.lit(1e6))
-        broken = listing.filter(F.col("read_error").isNotNull()).select("file_path", F.col("read_error").alias("message"))
-        failed = merged.join(broken, "file_path").select("id", "message")
-        catalogue.write(mark_errors(merged, failed, check=False))
-        if index is not None:
-            current = catalogue.read()
-            waiting = current.join(batch.select("file_path"), "file_path", "left_semi").filter("status in ('SCANNED', 'PENDING')")
-            new_points, errors = index(waiting)
-            if points is not None:
-                points.upsert(new_points)
-            catalogue.write(mark_errors(mark_indexed(current, new_points, "caller"), errors, check=False))
+        listing = with_mime_type(sniff_type(read_contents(with_fast_hash(batch)))).persist()
+        try:
+            paths = listing.select("file_path")
+            numbers = catalogue.touched(paths)
+            files, own = catalogue.read(), catalogue.read_buckets(numbers).join(paths, "file_path", "left_semi")
+            classified = classify(files, listing)
+            merged = apply_changes(files, classified, F.unix_micros(F.current_timestamp()) / F.lit(1e6), own)
+            broken = listing.filter(F.col("read_error").isNotNull()).select("file_path", F.col("read_error").alias("_problem"))
+            failed = merged.join(broken, "file_path", "left")
+            hit = F.col("_problem").isNotNull()
+            catalogue.upsert(failed.withColumns(
+                {"status": F.when(hit, "ERROR").otherwise(F.col("status")), "error_message": F.when(hit, F.col("_problem")).otherwise(F.col("error_message"))}
+            ))
+            if index is not None:
+                current = catalogue.read_buckets(numbers).join(paths, "file_path", "left_semi")
+                new_points, errors = index(current.filter("status in ('SCANNED', 'PENDING')"))
+                if points is not None:
+                    points.upsert(new_points)
+                catalogue.upsert(mark_errors(mark_indexed(current, new_points, "caller"), errors, check=False))
+        finally:
+            listing.unpersist()
 
     return (
         media_stream(spark, root, max_files)

@@ -3,11 +3,12 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelmill.operators import catalog
 from reelmill.schemas import FILES
 from reelmill.sources import documents, listing
-from reelmill.sources.versions import PointStore, VersionedTable, save_timeline
+from reelmill.sources.tables import HashedTable, PointStore, save_timeline
 from test_search import points_of
 
 JPEG = b"\xff\xd8\xff\xe0" + b"0" * 40
@@ -45,11 +46,11 @@ def test_scan_sniff_and_hash(spark, corpus):
 def test_second_scan_reads_nothing_and_prunes(spark, corpus):
     empty = spark.createDataFrame([], FILES)
     first = listing.read_listing(spark, str(corpus), empty)
-    store = VersionedTable(spark, str(corpus.parent / "catalogue"), FILES)
-    store.write(catalog.apply_scan(empty, catalog.classify(empty, first), F.lit(1.0)))
+    store = HashedTable(spark, str(corpus.parent / "catalogue"), FILES, "file_path", 8)
+    store.replace(catalog.apply_scan(empty, catalog.classify(empty, first), F.lit(1.0)))
     assert store.read().count() == 3
     indexed = store.read().withColumn("status", F.lit("INDEXED")).withColumn("point_ids", F.array(F.lit("p")))
-    store.write(indexed)
+    store.replace(indexed)
     (corpus / "photo1.jpg").unlink()
     write(corpus, "copy.mp4", MP4)
     files = store.read()
@@ -57,7 +58,7 @@ def test_second_scan_reads_nothing_and_prunes(spark, corpus):
     assert again.filter("content_hash is not null").count() == 1
     actions = {os.path.basename(r.file_path): r.action for r in catalog.classify(files, again).collect()}
     assert actions == {"photo2.png": "skip", "clip1.mp4": "skip", "copy.mp4": "reuse"}
-    store.write(catalog.apply_scan(files, catalog.classify(files, again), F.lit(2.0)))
+    store.replace(catalog.apply_scan(files, catalog.classify(files, again), F.lit(2.0)))
     assert store.read().count() == 3 and store.read().filter("status <> 'INDEXED'").count() == 0
 
 
@@ -110,17 +111,33 @@ def test_live_photos(spark):
     assert got == {"/m/a.HEIC": "/m/a.MOV", "/m/c.png": "/m/c.mov"}
 
 
-def test_versions_and_unfinished_writes(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"), FILES)
+def stamps(root):
+    return {p.name: max(f.stat().st_mtime_ns for f in p.iterdir()) for p in root.iterdir() if p.name.startswith("bucket=")}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    schema = T.StructType.fromDDL("id long, name string")
+    table = HashedTable(spark, str(tmp_path / "t"), schema, "id", 8)
     assert not table.exists() and table.read().count() == 0
-    row = spark.createDataFrame([(1, "/a")], "id long, file_path string")
-    full = row.select(*[F.col(f.name) if f.name in row.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in FILES])
-    assert table.write(full) == 1
-    (tmp_path / "t" / "v=2").mkdir()  # a writer that died
-    assert table.read().count() == 1
-    assert table.write(table.read().union(full.withColumn("file_path", F.lit("/b")))) == 2
-    assert table.read().count() == 2 and table.versions() == [1, 2]
-    assert table.vacuum(keep=1) == [1] and table.drop() and not table.exists()
+    table.delete(spark.createDataFrame([(1,)], "id long"))
+    table.create()
+    table.create()
+    assert table.exists() and table.read().count() == 0 and len(stamps(tmp_path / "t")) == 8
+    table.upsert(spark.createDataFrame([(i, f"n{i}") for i in range(40)] + [(None, "no key")], schema))
+    assert table.read().count() == 40
+    before = stamps(tmp_path / "t")
+    table.upsert(spark.createDataFrame([(7, "new")], schema))
+    after = stamps(tmp_path / "t")
+    assert sum(before[k] != after[k] for k in before) == 1
+    assert table.read().count() == 40 and table.read().filter("id = 7").first().name == "new"
+    own = table.touched(spark.createDataFrame([(7,)], "id long"))
+    inside = [r.id for r in table.read_buckets(own).collect()]
+    table.delete(spark.createDataFrame([(i,) for i in inside], "id long"))  # a whole bucket
+    assert table.read().count() == 40 - len(inside) and table.read_buckets(own).count() == 0
+    assert sum(after[k] != v for k, v in stamps(tmp_path / "t").items()) == 1
+    with pytest.raises(Exception, match="boom"):
+        table.upsert(spark.createDataFrame([(3, "x")], schema).withColumn("name", F.raise_error(F.lit("boom"))))
+    assert table.read().filter("id = 3").count() == (3 not in inside) and table.drop() and not table.exists()
 
 
 def test_point_store(spark, tmp_path):
@@ -132,7 +149,7 @@ def test_point_store(spark, tmp_path):
     rows = [dict(point_id=f"p{i}", vector=[1.0, float(i)], file_path="/a" if i < 2 else "/b") for i in range(3)]
     store.upsert(points_of(spark, rows))
     assert store.count() == 3 and store.dimension() == 2
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="dimension 2"):
         store.upsert(points_of(spark, [dict(point_id="x", vector=[1.0], file_path="/c")]))
     store.delete_path("/a")
     assert store.count() == 1

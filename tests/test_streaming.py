@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from reelmill.fixtures import Media
 from reelmill.schemas import FILES
-from reelmill.sources.versions import PointStore, VersionedTable
+from reelmill.sources.tables import HashedTable, PointStore
 from reelmill.streaming import jobs, telemetry
 from reelmill.streaming.ingest import ingest_stream
 from test_search import points_of
-from test_sources import JPEG, MP4, write
+from test_sources import JPEG, MP4, stamps, write
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_ingest_resumes_and_isolates_failures(spark, tmp_path):
     root = tmp_path / "corpus"
     write(root, "a.jpg", JPEG)
     write(root, "b.mp4", MP4)
-    catalogue = VersionedTable(spark, str(tmp_path / "catalogue"), FILES)
+    catalogue = HashedTable(spark, str(tmp_path / "catalogue"), FILES, "file_path", 16)
     points = PointStore(spark, str(tmp_path / "points"))
 
     def index(files):
@@ -42,6 +42,11 @@ def test_ingest_resumes_and_isolates_failures(spark, tmp_path):
     assert state["bad.jpg"].status == "ERROR" and state["bad.jpg"].error_message == "cannot decode"
     assert state["copy.jpg"].status == "INDEXED" and state["copy.jpg"].point_ids == state["a.jpg"].point_ids
     assert len({r.id for r in state.values()}) == 4 and points.count() == 2
+    before = stamps(tmp_path / "catalogue")
+    write(root, "one.jpg", JPEG + b"?")
+    run()
+    assert catalogue.read().count() == 5 and points.count() == 3
+    assert sum(before[k] != v for k, v in stamps(tmp_path / "catalogue").items() if k in before) <= 1
 
 
 def stream_of(spark, tmp_path, df, parts=4):
