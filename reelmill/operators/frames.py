@@ -187,18 +187,20 @@ def detect_scenes(frames: DataFrame, threshold: float = 3.0, min_seconds: float
 def tag_scene(frames: DataFrame, scenes: DataFrame, bin_seconds: float = 60.0) -> DataFrame:
     """Each frame gets the first scene that holds its offset (both ends inclusive), else the file's first.
 
-    Scenes are laid into time bins and folded into one short array per (file, bin), so a frame meets the
-    scenes of its minute only and a long video spreads over its bins.
+    Scenes are laid into time bins and folded into one short array per (file, bin), beside the file's first scene, so a frame meets the
+    scenes of its minute only, in one join, and a long video spreads over its bins.
     """
     def bin_of(seconds: Column) -> Column:
-        return F.floor(seconds / F.lit(bin_seconds))
+        return F.coalesce(F.floor(seconds / F.lit(bin_seconds)), F.lit(-1).cast("long"))
 
     scene = F.struct("scene_id", "scene_start", "scene_end")
     binned = scenes.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("scene_start")), bin_of(F.col("scene_end")))))
     lists = binned.groupBy("file_id", "_bin").agg(F.sort_array(F.collect_list(scene)).alias("_scenes"))
     firsts = scenes.groupBy("file_id").agg(F.min(scene).alias("_first"))
     holding = F.filter("_scenes", lambda s: (s.scene_start <= F.col("source_offset")) & (F.col("source_offset") <= s.scene_end))
-    placed = frames.withColumn("_bin", bin_of(F.col("source_offset"))).join(lists, ["file_id", "_bin"], "left").join(firsts, "file_id", "left")
+    rows = frames.withColumn("_bin", bin_of(F.col("source_offset")))
+    slots = rows.select("file_id", "_bin").distinct().join(firsts, "file_id").join(lists, ["file_id", "_bin"], "left")
+    placed = rows.join(slots, ["file_id", "_bin"], "left")
     tagged = placed.withColumn("_scene", F.coalesce(F.try_element_at(holding, F.lit(1)), F.col("_first")))
     fields = {c: F.col(f"_scene.{c}") for c in ("scene_id", "scene_start", "scene_end")}
     return tagged.withColumns(fields).drop("_scene", "_scenes", "_first", "_bin")

@@ -36,7 +36,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 def export_session(
     timeline: DataFrame, files: DataFrame, points: DataFrame, jobs: DataFrame, out: str, alternatives: DataFrame | None = None
 ) -> None:
-    """Inventory, order audit and duration audit as JSON, one folder per job in each; likewise the alternatives, if given."""
+    """Inventory, order audit and duration audit as JSON tables, the rows of a job together; likewise the alternatives, if given."""
     tables = {
         "inventory": inventory(timeline, files, points),
         "chronology": chronology_audit(timeline, files),
@@ -45,4 +45,5 @@ def export_session(
     if alternatives is not None:
         tables["alternatives"] = alternatives
     for name, table in tables.items():
-        table.write.mode("overwrite").partitionBy("job_id").json(f"{out.rstrip('/')}/{name}")
+        dealt = table.repartition("job_id").sortWithinPartitions("job_id")
+        dealt.write.mode("overwrite").json(f"{out.rstrip('/')}/{name}")

@@ -15,7 +15,7 @@ BUCKET = "bucket"
 
 
 class HashedTable:
-    """Rows by key in a Parquet folder partitioned by a hash of the key.
+    """Rows by key (one or many of a key) in a Parquet folder partitioned by a hash of the key.
 
     A change reads and writes the buckets of its keys only, by Spark's dynamic partition overwrite: a write that fails changes nothing,
     a repeated one gives the same rows. One writer at a time; a reader that began before a write may have to begin again. Each written
@@ -74,7 +74,7 @@ class HashedTable:
         self._write(rows.filter(F.col(self.key).isNotNull()), list(range(self.buckets)))
 
     def upsert(self, new: DataFrame) -> None:
-        """Rows by key, the new row wins. Rows without a key are left out."""
+        """All rows of the new rows' keys are replaced by the new ones. Rows without a key are left out."""
         keyed = new.filter(F.col(self.key).isNotNull())
         numbers = self.touched(keyed)
         if numbers:
@@ -142,6 +142,8 @@ class PointStore:
         return self.table.drop()
 
 
-def save_timeline(timeline: DataFrame, root: str) -> None:
-    """Replace the rows of exactly the jobs in ``timeline``; other jobs' rows stay."""
-    timeline.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(root)
+def save_timeline(timeline: DataFrame, root: str, buckets: int = 64) -> HashedTable:
+    """Replace the rows of exactly the jobs in ``timeline``; other jobs' rows stay. The returned table reads them all."""
+    table = HashedTable(timeline.sparkSession, root, timeline.schema, "job_id", buckets)
+    table.upsert(timeline)
+    return table
