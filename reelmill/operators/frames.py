@@ -105,9 +105,10 @@ def gate_cuts(candidates: DataFrame, gate: str = "min_frames", slice_frames: int
     """Cuts that keep every scene at least ``gate`` frames long: each accepted cut blocks the next ones.
 
     The rule is sequential, but what a slice of a video does depends only on how far before its start
-    the last cut lies, and only up to ``gate`` frames. So each slice first tabulates its exit for every
-    possible entry, a pass over one short row per video resolves the entries, and the slices then accept
-    in parallel. A slice holds at most ``slice_frames`` candidates.
+    the last cut lies, and only up to ``gate`` frames. So each slice tabulates its exit for every possible entry. In nearly all
+    slices every entry leads to one exit (a pause longer than the gate is enough), and the next slice starts from there without
+    knowing more. Only runs of slices that keep several exits are followed one after the other. Candidates are read once;
+    a slice holds at most ``slice_frames`` of them, and a video's slices are numbered from one narrow row each.
     """
     key = candidates.schema["file_id"].dataType.simpleString()
     sliced = candidates.withColumn("_slice", F.floor(F.col("frame_index") / F.lit(slice_frames)).cast("long"))
@@ -117,43 +118,38 @@ def gate_cuts(candidates: DataFrame, gate: str = "min_frames", slice_frames: int
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(_lists(batch.column("frames")), batch.column("width").to_pylist(), batch.column("_slice").to_pylist())
-            # entry e: the last cut lies e frames before the slice; e = width already means "not blocked"
-            ends = [[_accept(f, width, n * slice_frames - e)[1] for e in range(width + 1)] for f, width, n in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("_slice"), batch.column("width"), pa.array(ends, pa.list_(pa.int64()))],
-                ["file_id", "_slice", "width", "exits"],
-            )
-
-    table = packed.mapInArrow(exits, f"file_id {key}, _slice long, width long, exits array<long>")
-    chains = table.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("_slice", "width", "exits"))).alias("chain"))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends, fixed = [], []
+            for found, width, n in zip(_lists(batch.column("frames")), batch.column("width").to_pylist(), batch.column("_slice").to_pylist()):
+                # entry e: the last cut lies e frames before the slice; e = width already means "not blocked"
+                table = [_accept(found, width, n * slice_frames - e)[1] for e in range(width + 1)]
+                ends.append(table)
+                fixed.append(table[0] if min(table) == max(table) and table[0] >= n * slice_frames else None)
+            columns = [batch.column(c) for c in ("file_id", "_slice", "width", "frames")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ends, pa.list_(pa.int64())), pa.array(fixed, pa.int64())],
+                                             ["file_id", "_slice", "width", "frames", "exits", "fixed"])
+
+    table = packed.mapInArrow(exits, f"file_id {key}, _slice long, width long, frames array<long>, exits array<long>, fixed long")
+    order = W.partitionBy("file_id").orderBy("_slice")
+    settled = F.col("fixed").isNotNull().cast("long")
+    runs = table.withColumns({
+        "_run": F.coalesce(F.sum(settled).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_before": F.lag("fixed").over(order)
+    })
+    chains = runs.groupBy("file_id", "_run").agg(F.sort_array(F.collect_list(F.struct("_slice", "_before", "width", "exits", "frames"))).alias("chain"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            taken = []
             for chain in batch.column("chain").to_pylist():
-                last, lasts = 0, []
+                last, cuts = chain[0]["_before"] or 0, []
                 for step in chain:
-                    lasts.append({"_slice": step["_slice"], "last": last})
                     start = step["_slice"] * slice_frames
+                    cuts += _accept(np.array(step["frames"], np.int64), step["width"], last)[0]
                     outcome = step["exits"][min(start - last, step["width"])]
                     last = outcome if outcome >= start else last
-                found.append(lasts)
-            kind = pa.list_(pa.struct([("_slice", pa.int64()), ("last", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(found, kind)], ["file_id", "entries"])
-
-    resolved = chains.mapInArrow(entries, f"file_id {key}, entries array<struct<_slice:long,last:long>>")
-    entry = resolved.select("file_id", F.inline("entries"))
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(_lists(batch.column("frames")), batch.column("width").to_pylist(), batch.column("last").to_pylist())
-            taken = [_accept(f, width, last)[0] for f, width, last in rows]
+                taken.append(cuts)
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(taken, pa.list_(pa.int64()))], ["file_id", "taken"])
 
-    accepted = packed.join(entry, ["file_id", "_slice"]).select("file_id", "frames", "width", "last")
-    accepted = accepted.mapInArrow(take, f"file_id {key}, taken array<long>")
-    return accepted.select("file_id", F.explode("taken").alias("frame_index"))
+    return chains.mapInArrow(take, f"file_id {key}, taken array<long>").select("file_id", F.explode("taken").alias("frame_index"))
 
 
 def detect_scenes(frames: DataFrame, threshold: float = 3.0, min_seconds: float = 2.0, min_change: float = 0.0) -> DataFrame:
