@@ -41,7 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Places of candidates, without overlaps."""
-    found, done = [], 0
+    found, done, next_ = [], 0, 0
     assigned = [m.span(1) for m in _ASSIGNED.finditer(text)]
     for m in _FROM_DIGIT.finditer(text):
         if m.start() < done:
@@ -49,7 +49,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
         head = text[done : m.start()]
         begin = m.start() - (len(head) - len(head.rstrip(_KEY_CHARACTERS)))
         done = m.end()
-        if done - begin >= LEAST and not any(a < done and b > begin for a, b in assigned):
+        # both lists go forwards: values that end before this run can't meet a later one
+        while next_ < len(assigned) and assigned[next_][1] <= begin:
+            next_ += 1
+        if done - begin >= LEAST and not (next_ < len(assigned) and assigned[next_][0] < done):
             found.append((begin, done))
     return sorted(found + assigned)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -376,6 +377,28 @@ def test_secrets(spark):
     assert any(r["is_secret"] for r in found)
 
 
+def test_secret_candidates_against_all_pairs():
+    """Runs that overlap an assigned value are left to it; many of both cost no more than their number."""
+    rng = np.random.default_rng(4)
+    parts = ["token=", "abc123def456ghi", " ", "pwd: 9x8y7z6w5v4u", "\n", "word", "0123456789ab", "\"", "a=1", "secret='", "--", "é7"]
+    for _ in range(300):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), 40))
+        assigned = [m.span(1) for m in secrets._ASSIGNED.finditer(text)]
+        runs, done = [], 0
+        for m in secrets._FROM_DIGIT.finditer(text):
+            if m.start() >= done:
+                begin = m.start()
+                while begin > done and text[begin - 1] in secrets._KEY_CHARACTERS:
+                    begin -= 1
+                done = m.end()
+                runs.append((begin, done))
+        free = [r for r in runs if r[1] - r[0] >= secrets.LEAST and not any(a < r[1] and b > r[0] for a, b in assigned)]
+        assert secrets.candidates(text) == sorted(free + assigned)
+    long = "token=abc123def456 0123456789abcdef " * 20_000
+    start = time.perf_counter()
+    assert len(secrets.candidates(long)) == 40_000 and time.perf_counter() - start < 5
+
+
 def test_secrets_are_whole_and_counted_over_all_documents(spark):
     key = "aB3x" * 75
     assert secrets.candidates(f"token={key} end") == [(6, 306)]
