@@ -91,7 +91,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_positional_decontamination")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    return decontaminate.contamination(docs, items, window=13, share=20).drop("row")
+    found = decontaminate.contamination(docs, items, window=13, share=20, slop=1)
+    near = [F.size("near_items").cast("long").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256")]
+    return found.select("*", *near).drop("row", "near_items")
 
 
 CORPUS_ORACLE["op8_positional_decontamination"] = r"""
@@ -102,7 +104,19 @@ with d as (
   select cast(item_id as varchar) item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') w from benchmark
 ), windows as (
-  select distinct item_id, list_slice(w, p + 1, p + 13) words from (select item_id, w, unnest(range(greatest(len(w) - 13, 0) + 1)) p from i where len(w) > 0)
+  select distinct item_id, list_slice(w, p + 1, p + 13) words, p % 13 = 0 or p = greatest(len(w) - 13, 0) block
+  from (select item_id, w, unnest(range(greatest(len(w) - 13, 0) + 1)) p from i where len(w) > 0)
+), blocks as (
+  select words, len(words) size, row_number() over () id from (select distinct words from windows where block and len(words) >= 5)
+), places as (
+  select doc_id, id, size, o, x - o + s p
+  from (select doc_id, unnest(w) term, unnest(range(len(w))) x from d) join (select id, size, unnest(words) term, unnest(range(size)) o from blocks) using (term),
+    (values (-1), (0), (1)) shifts(s)
+), near as (
+  select distinct doc_id, id from (select doc_id, id, size, p from places group by all having count(distinct o) >= size - size // 5)
+), near_named as (
+  select doc_id, count(*) n_near, string_agg(item_id, ',' order by item_id) items
+  from (select distinct doc_id, item_id from near join blocks using (id) join windows using (words)) group by 1
 ), sizes as (select distinct len(words) size from windows),
 starts as (
   select doc_id, size, list_slice(w, p + 1, p + size) words, p from (
@@ -114,9 +128,10 @@ starts as (
 ), named as (
   select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items from (select distinct doc_id, item_id from hits) group by 1
 )
-select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from d left join covered using (doc_id) left join named using (doc_id)
+select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(named.items, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated,
+  coalesce(n_near, 0) n_near, sha256(coalesce(near_named.items, '')) near_sha256
+from d left join covered using (doc_id) left join named using (doc_id) left join near_named using (doc_id)
 """
 
 

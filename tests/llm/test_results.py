@@ -251,14 +251,59 @@ def test_local_search_improves():
 # --- decontamination and search
 
 
+def brute_near(docs, items, window, slop):
+    """Blocks set at every place of every text."""
+    found = {}
+    for doc_id, text in docs:
+        words, own = re.findall("[0-9a-z]+", text.lower()), set()
+        for item_id, item in items:
+            all_ = re.findall("[0-9a-z]+", item.lower())
+            last = max(0, len(all_) - window)
+            for at in {*range(0, last + 1, window), last}:
+                block = all_[at : at + window]
+                for start in range(-window, len(words) + window if len(block) >= 5 else -window):
+                    right = sum(w in words[max(0, start + o - slop) : max(0, start + o + slop + 1)] for o, w in enumerate(block))
+                    if right >= len(block) - len(block) // 5:
+                        own.add(str(item_id))
+        found[doc_id] = sorted(own)
+    return found
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta very gamma delta"), (3, "alpha x y z w v u t s r delta")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    windows, _ = decontaminate.test_windows(items, 13)
-    index = decontaminate.PositionalIndex(docs, windows)
-    assert index.phrases().count() >= 1
-    near = index.near(2).select("row", "gap").collect()
-    assert all(0 < abs(r["gap"]) <= 2 for r in near)
+    texts = [
+        "alpha beta gamma delta omega", "so alpha beta very gamma delta omega", "alpha beta gamma delta", "beta gamma delta omega and more",
+        "alpha beta sigma delta omega", "alpha gamma beta delta omega", "alpha beta x y z gamma delta omega", "omega delta gamma beta alpha",
+        "alpha beta gamma", "alpha beta gamma delta iota", "", "one two three", "say one two nine four five six seven eight extra nine ten",
+    ]
+    docs = list(enumerate(texts))
+    items = [(1, "alpha beta gamma delta omega"), (2, "one two three four five six seven eight nine ten"), (3, "alpha beta"), (4, "unseen beta gamma delta omega")]
+    rows = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 7, 20, slop=1
+    ).collect()
+    found = {r["doc_id"]: r["near_items"] for r in rows}
+    assert found == brute_near(docs, items, 7, 1)
+    assert sorted(n for n in found if "1" in found[n]) == [0, 1, 2, 3, 4, 5, 9] and found[12] == ["2"]
+
+
+def test_proximity_of_random_texts(spark):
+    draw = np.random.default_rng(3)
+    words = np.array([f"w{n}" for n in range(40)])
+    items = [(n, " ".join(draw.choice(words, size))) for n, size in enumerate([5, 6, 9, 13, 14, 20, 31, 40])]
+    docs = []
+    for n in range(120):
+        text = items[n % len(items)][1].split()
+        for _ in range(n % 7):
+            at = int(draw.integers(len(text)))
+            text[at : at + int(draw.integers(0, 2))] = list(draw.choice(words, int(draw.integers(0, 2))))
+            text = text or ["w0"]
+        docs.append((n, " ".join([*draw.choice(words, n % 5), *text])))
+    rows = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 13, 20, slop=1
+    ).collect()
+    wanted = brute_near(docs, items, 13, 1)
+    # a block names all items that hold it as a window
+    assert {r["doc_id"] for r in rows if r["near_items"]} == {n for n, own in wanted.items() if own}
+    assert all(set(wanted[r["doc_id"]]) <= set(r["near_items"]) for r in rows)
 
 
 def test_search_with_ties_and_odd_vectors(spark):
