@@ -25,6 +25,11 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, whole): each row's key by doc_id and text, and all its columns as one struct, so that their names can't clash with others."""
+    return docs.select(row_key("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step's result to the shared folder and read it back: no lineage, and no loss with an executor."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

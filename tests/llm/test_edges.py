@@ -13,14 +13,15 @@ DOCS = [
     (2, None, "en"), (3, "", None), (4, " \n\t ", "en"), (None, "a text without an id", "en"), (None, None, None),
     (5, LONG, "en"), (6, LONG, "de"), (7, "12345 !!", "de"), (8, "é", "fr"), (9, "short", "en"), (9, "another text of the same id", "en"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, spans string, score int, term string, head long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, spans string, score int, term string, head long, "
+SCHEMA += "__row long, __score double, whole string, number int, __number int, __spans string, found string, near string"
 
 
 @pytest.fixture(scope="module", params=["odd", "empty"])
 def folder(spark, request, tmp_path_factory):
     path = str(tmp_path_factory.mktemp(request.param))
     rows = DOCS if request.param == "odd" else []
-    docs = [(i, t, x, None, len(t or ""), 0, "s", 1, "t", 2) for i, t, x in rows]
+    docs = [(i, t, x, None, len(t or ""), 0, "s", 1, "t", 2, 7, 0.5, "w", 8, 9, "s", "f", "n") for i, t, x in rows]
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{path}/documents.parquet")
     labels = [(1, 1, 0), (2, 0, None), (None, 1, 0), (5, 1, 0), (5, 1, 0), (99, None, None)] if rows else []
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -116,7 +117,7 @@ def test_pipeline(spark, folder):
     if rows:
         near = corpus_pipeline.without_near_duplicates(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()
         assert sum(r["doc_id"] in (5, 6) for r in near) == 1 and sum(r["doc_id"] == 1 for r in near) == 1
-        assert sum(r["text"] is None for r in near) == 2
+        assert sum(r["text"] is None for r in near) == 2 and all((r["__row"], r["whole"], r["number"]) == (7, "w", 8) for r in near)
 
 
 def test_hot_copies_keep_one_representative(spark):

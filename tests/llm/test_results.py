@@ -368,6 +368,38 @@ def test_revealing_terms_with_copies_and_footers(spark):
     assert all("[TERM]" not in t for t in clean[:204])
 
 
+def test_narrowing_terms_become_broader_ones(spark):
+    """A nickname of a few people, all of them sailors, is generalised to the word that the corpus has beside it everywhere."""
+    rng = np.random.default_rng(8)
+    filler = lambda: " ".join(rng.choice(["river", "stone", "cloud", "garden", "window", "paper", "candle", "meadow"], 4))
+    rows = [f"{filler()} sailor zorblax ann@x.org {filler()}" for _ in range(4)] + [f"{filler()} sailor zorblax v{i}@y.org {filler()}" for i in range(4)]
+    rows += [f"{filler()} sailor u{i}@y.org {filler()}" for i in range(100)] + [f"{filler()} w{i}@y.org {filler()}" for i in range(200)]
+    # the same without a companion in common: nothing broader is known
+    rows += [f"quibnor bob@x.org {n}{'z' * n}abc" for n in range(4, 8)] + [f"quibnor t{n}@y.org {n}{'y' * n}abc" for n in range(4, 8)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = [r["text"] for r in personal.sanitise(docs).orderBy("doc_id").collect()]
+    assert all(t == r.replace("zorblax", "[sailor]").replace("ann@x.org", "[EMAIL]") for t, r in zip(clean[:4], rows))
+    assert all("sailor zorblax [EMAIL]" in t for t in clean[4:8])
+    assert all(t.startswith("[TERM] [EMAIL]") for t in clean[-8:-4]) and not any("[TERM]" in t for t in clean[:-8])
+
+
+def test_nearby_terms_by_words():
+    """Six terms a side however far, without those in spans; many spans of a long text take one pass."""
+    text = "one1 alpha beta " + "1 " * 2000 + "gamma delta omega kappa 10.0.0.1 " + "- " * 900 + "sigma ann@x.org theta"
+    spans = personal.base_spans(text)
+    terms = personal.clear_terms(text, spans)
+    begins = [t[1] for t in terms]
+    near = {text[a:b]: [t for t, _, _ in personal.nearby_terms(terms, begins, a, b)] for _, a, b in spans}
+    assert near["10.0.0.1"] == ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
+    assert near["ann@x.org"] == ["beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
+    long = "10.0.0.1 ann@xyzzy.org " * 30_000
+    began = time.time()
+    spans = personal.base_spans(long)
+    terms = personal.clear_terms(long, spans)
+    begins = [t[1] for t in terms]
+    assert len(spans) == 60_000 and not any(personal.nearby_terms(terms, begins, a, b) for _, a, b in spans) and time.time() - began < 10
+
+
 # --- classifiers
 
 
