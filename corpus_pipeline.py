@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelmill.llm import decontaminate, near_dups, packing, personal, quality
-from reelmill.llm.common import row_key, stored, table
+from reelmill.llm.common import stored, table, whole_rows
 from reelmill.llm.queries import tokenizer_files
 
 QUALITY_LEAST, SHINGLE_WORDS, NEAR_PERCENT, WINDOW_WORDS, HIT_SHARE, SEQUENCE_TOKENS, END_TOKEN = 0.3, 5, 80, 13, 20, 1024, 2
@@ -19,24 +19,27 @@ QUALITY_LEAST, SHINGLE_WORDS, NEAR_PERCENT, WINDOW_WORDS, HIT_SHARE, SEQUENCE_TO
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the positive-unlabelled scorer accepts; it learns from all trusted positives among ``docs``."""
-    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
-    return quality.score(docs, model, docs.columns).where(F.col("__score") >= QUALITY_LEAST).select(*docs.columns)
+    named = docs.toDF(*[c if c in ("doc_id", "text") else f"c{n}" for n, c in enumerate(docs.columns)])
+    model = quality.fit_quality(named, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull())
+    good = quality.score(named, model, named.columns).where(F.col("__score") >= QUALITY_LEAST)
+    return good.select(*named.columns).toDF(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts with a similarity of ``NEAR_PERCENT`` or more, that of the smallest doc_id."""
     found = near_dups.near_duplicates(docs, SHINGLE_WORDS, NEAR_PERCENT)
-    keep = found.where("is_first").select(F.col("row").alias("__row"), (F.col("n_shingles") > 0).alias("__linked")).distinct()
-    joined = docs.withColumn("__row", row_key("doc_id", "text")).join(keep, "__row")
-    number = F.row_number().over(Window.partitionBy("__row").orderBy("__linked"))
-    return joined.withColumn("__number", number).where("__number = 1 or not __linked").select(*docs.columns)
+    keep = found.where("is_first").select("row").distinct()
+    # rows without words are linked with nothing: they all stay, and meet nowhere
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    joined = whole_rows(docs.where(words)).join(keep, "row")
+    first = joined.withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("number = 1")
+    return first.select("whole.*").unionByName(docs.where(~words))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the contamination rule leaves."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), WINDOW_WORDS, HIT_SHARE)
-    gone = found.where("contaminated").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", row_key("doc_id", "text")).join(gone, "__row", "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(found.where("contaminated").select("row"), "row", "left_anti").select("whole.*")
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
