@@ -1,6 +1,7 @@
 import os
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from reelmill.fixtures import Media
 from reelmill.functions.columns import exact_mean, round_to
 from reelmill.operators import evaluate, frames, quality
+from reelmill.plans.oracle import ORACLE
 
 
 def test_rounding_is_half_up(spark):
@@ -58,6 +60,22 @@ def test_cut_candidates_across_slice_borders(spark):
     assert {r.frame_index for r in frames.cut_candidates(df, 2.0, 0.1).collect()} == want
 
 
+def test_cut_candidates_on_exact_ties_add_up_as_their_sql(spark):
+    """Changes of three times their local average to the cent: the last bits decide, so the order of addition has to be the twin's."""
+    videos = [
+        [80.0, 44.39, 52.37, 136.07, 105.74, 68.06], [80.0, 56.58, 63.6, 136.5, 96.73, 69.74], [80.0, 70.74, 107.24, 41.27, 77.33, 83.47],
+        [80.0, 41.51, 73.47, 156.75, 129.05, 116.16], [80.0, 46.38, 79.25, 155.54, 143.71, 120.31], [80.0, 55.18, 91.0, 28.27, 32.88, 51.27],
+    ]
+    rows = [(f, i, [v]) for f, video in enumerate(videos) for i, v in enumerate(video)]
+    df = spark.createDataFrame(rows, "file_id int, frame_index long, features array<double>")
+    got = {(r.file_id, r.frame_index) for r in frames.cut_candidates(df).collect()}
+    events = pd.DataFrame([(i * 10 + f, f, v[0]) for f, i, v in rows], columns=["event_id", "user_id", "value"])
+    con = duckdb.connect()
+    con.register("events", events)
+    assert got == {(r[0], r[1]) for r in con.execute(ORACLE["cut_candidates"]).fetchall()}
+    assert {f for f, i in got if i == 3} == {0, 1, 2}
+
+
 def test_scenes_of_a_synthetic_video(spark):
     noise = np.random.default_rng(9).random(200) * 0.01
     level = np.where(np.arange(200) < 70, 0.0, np.where(np.arange(200) < 140, 5.0, 1.0)) + noise
