@@ -185,6 +185,28 @@ def test_retrieval_ranks_in_blocks_and_alone(spark):
     assert pdf[2].min() == 1 and pdf[2].max() <= 60
 
 
+def test_retrieval_ranks_of_copies_in_bounded_cells(spark):
+    """Equal similarities rank by id, an image's own prompt is no rival; in fragments of prompts and strips of images, by brute force."""
+    rng = np.random.default_rng(13)
+    vectors = rng.normal(size=(700, 6))
+    vectors[100:300] = vectors[100]
+    asked = vectors + rng.normal(scale=0.4, size=vectors.shape)
+    asked[200:320] = asked[200]
+    sides = [spark.createDataFrame([(i * 11 % 700, v.tolist()) for i, v in enumerate(side)], "pair_id long, vector array<double>") for side in (vectors, asked)]
+    unit = [side / np.linalg.norm(side, axis=1)[:, None] for side in (vectors, asked)]
+    scores = np.floor(unit[0] @ unit[1].T * 1e8 + 0.5) / 1e8
+    ids = np.arange(700) * 11 % 700
+    want = {}
+    for i in range(700):
+        own = scores[i, i]
+        ahead = ((scores[i] > own) | ((scores[i] == own) & (ids < ids[i]))) & (ids != ids[i])
+        want[int(ids[i])] = (1 + int(ahead.sum()), round((own - np.where(ids == ids[i], -np.inf, scores[i]).max()) * 1e8))
+    cells = dict(broadcast_rows=16, fragment_bytes=30_000, cell_pairs=20_000)
+    for blocks in ({}, cells):
+        got = {r.pair_id: (r.true_rank, round(r.margin * 1e8)) for r in evaluate.retrieval_ranks(*sides, **blocks).collect()}
+        assert got == want
+
+
 def test_exact_means_do_not_depend_on_the_order(spark):
     """Means on a rounding edge, large and negative values; the same at any number of partitions."""
     rows = [(i % 3, (i * 7919 % 1000) / 1000.0 - 0.25, 1e10 + i / 8) for i in range(999)]
