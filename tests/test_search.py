@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelmill.functions.vectors import l2_normalize
-from reelmill.operators import search
+from reelmill.operators import search, vector_blocks
 from reelmill.operators.vector_blocks import better_neighbour_counts
 from reelmill.schemas import POINTS
 
@@ -67,6 +68,40 @@ def test_many_queries_with_a_hot_group_of_copies(spark, broadcast_rows, fragment
     assert {(r.query_id, r["rank"], r.point_id) for r in got.collect()} == want
 
 
+def test_no_task_of_the_grid_compares_more_than_its_pairs(spark):
+    """One fragment of points against strips of queries: the work of a task is bounded, results stay, also with copies and broken vectors."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(500, 6))
+    vectors[50:150] = vectors[50]
+    vectors[7], vectors[8, 2] = 0.0, np.nan
+    points = points_of(spark, [dict(point_id=f"p{i:03d}", vector=v.tolist(), file_path="/x") for i, v in enumerate(vectors)])
+    queries = spark.createDataFrame([(i, vectors[i].astype("f4").tolist()) for i in range(400)], "query_id int, query_vector array<float>")
+    seen = spark.sparkContext.accumulator(0)
+    schema = T.StructType.fromDDL("query_id int, point_id string, score double")
+    kernel = vector_blocks.top_k_kernel(4, "point_id", ["point_id"], ["query_id"], schema, None)
+
+    def counted():
+        inner, pairs = kernel(), [0]
+
+        def run(found, matrix, asked, asked_matrix):
+            pairs[0] += len(matrix) * len(asked_matrix)
+            assert pairs[0] <= 2 * 20_000
+            seen.add(len(matrix) * len(asked_matrix))
+            return inner(found, matrix, asked, asked_matrix)
+
+        return run
+
+    grid = vector_blocks.apply_blocks(points.select("point_id", "vector"), queries, "vector", "query_vector", schema, counted, broadcast_rows=16, cell_pairs=20_000)
+    grid.count()
+    assert seen.value == 500 * 400
+    got = {(r.query_id, r["rank"], r.point_id) for r in search.search_many(points, queries, 4, broadcast_rows=16, cell_pairs=20_000).collect()}
+    a, b = vectors[:400].astype("f4").astype("f8"), vectors.astype("f4").astype("f8")
+    unit = [m / np.where(np.linalg.norm(m, axis=1) == 0, 1, np.linalg.norm(m, axis=1))[:, None] for m in (a, b)]
+    scores = np.floor(unit[0] @ unit[1].T * 1e8 + 0.5) / 1e8
+    sound = [i for i in range(500) if i != 8]
+    assert got == {(q, n + 1, f"p{j:03d}") for q in range(400) if q != 8 for n, j in enumerate(sorted(sound, key=lambda j: (-scores[q, j], j))[:4])}
+
+
 def test_similar_leaves_itself_out_and_knows_missing_points(spark):
     got = search.similar_to(small(spark), "p1", 2).orderBy("rank").collect()
     assert [r.point_id for r in got] == ["p2", "p3"]
