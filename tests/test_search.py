@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from reelmill.functions.vectors import l2_normalize
 from reelmill.operators import search, vector_blocks
 from reelmill.operators.vector_blocks import better_neighbour_counts
+from reelmill.plans.registry import QUERIES
 from reelmill.schemas import POINTS
 
 
@@ -109,6 +110,12 @@ def test_similar_leaves_itself_out_and_knows_missing_points(spark):
         search.similar_to(small(spark), "nope")
 
 
+def test_similar_points_travel_without_their_payload(spark):
+    """Only ids and vectors reach the workers, not the score maps."""
+    plan = QUERIES["similar_to"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "technical_composite" not in plan and "map(" not in plan
+
+
 def test_upsert_twice_is_once(spark):
     new = points_of(spark, [dict(point_id="p1", vector=[0.0, 1.0, 0.0, 0.0], file_path="/new"), dict(point_id="p9", vector=[1.0] * 4, file_path="/9")])
     once = search.upsert_points(small(spark), new)
